@@ -68,16 +68,17 @@ def pack(docs: DataFrame, n_buckets: int = 16, budget: int = 16384, shard_rows:
     """
     names = docs.columns
     rows = docs.select(*[docs[c].alias(f"__sw_{i}") for i, c in enumerate(names)], word_count(docs[text_col]).alias("n_tokens"))
-    hist = rows.groupBy(edge(F.col("n_tokens")).alias("e")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("s")).orderBy("e").collect()
+    slim = stage(rows.select(F.xxhash64(f"__sw_{names.index(id_col)}").alias("__sw_h"), "n_tokens"), "lengths")
+    hist = slim.groupBy("n_tokens").agg(F.count("*").alias("n")).groupBy(edge(F.col("n_tokens")).alias("e")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n_tokens")).alias("s")).orderBy("e").collect()
     bounds = optimal_bounds([r.e for r in hist], [r.n for r in hist], [r.s for r in hist], n_buckets) or [0]
     total = sum(r.n for r in hist)
     shards = max(1, -(-total // shard_rows))
     at = F.array(*[F.lit(b).cast("long") for b in bounds])
-    bucket = F.size(F.filter(at, lambda b: b < F.col("n_tokens")))
-    key = F.xxhash64(F.col(f"__sw_{names.index(id_col)}"))
-    rows = rows.withColumn("bucket", bucket).withColumn("__sw_h", key).withColumn("__sw_shard", F.pmod(F.col("__sw_h"), F.lit(shards)))
+    bucket = sum(((F.col("n_tokens") > b).cast("int") for b in bounds[:-1]), F.lit(0))
+    shard = F.pmod(F.col("__sw_h"), F.lit(shards))
+    rows = rows.withColumn("__sw_h", F.xxhash64(f"__sw_{names.index(id_col)}")).withColumn("bucket", bucket).withColumn("__sw_shard", shard)
     inner = Window.partitionBy("bucket", "__sw_shard").orderBy("__sw_h", f"__sw_{names.index(id_col)}")
-    sizes = stage(rows.groupBy("bucket", "__sw_shard").agg(F.count("*").alias("__sw_n")), "shards")
+    sizes = stage(slim.groupBy(bucket.alias("bucket"), shard.alias("__sw_shard")).agg(F.count("*").alias("__sw_n")), "shards")
     before = Window.partitionBy("bucket").orderBy("__sw_shard").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(F.col("bucket").alias("__sw_b"), F.col("__sw_shard").alias("__sw_s"), F.coalesce(F.sum("__sw_n").over(before), F.lit(0)).alias("__sw_before"))
     rows = rows.withColumn("__sw_r", F.row_number().over(inner) - 1)
