@@ -9,7 +9,7 @@ lines keep their neighbours, are left to document-level deduplication. Only hash
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import GAP, discard, stage
@@ -17,37 +17,52 @@ from .common import GAP, discard, stage
 VARIABLE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*+[0-9])[^\x20\x09-\x0D]++"
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].alias("k"), F.xxhash64(docs[text_col]).alias("kh"), docs[text_col].alias("t"))
+def _masked(lines: Column) -> Column:
+    """The lines with their variable fields masked, tokens parted by single spaces. Most lines need neither regex.
+
+    One transform after the other: what a lambda's argument is bound to is computed once, however often the body has it.
+    """
+    lines = F.transform(lines, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, VARIABLE, "<*>")).otherwise(x))
+    odd = lambda x: x.contains("  ") | x.contains("\t") | x.contains("\x0b") | x.contains("\x0c") | x.contains("\r")
+    return F.transform(lines, lambda x: F.trim(F.when(odd(x), F.regexp_replace(x, GAP, " ")).otherwise(x)))
+
+
+def _lines(docs: DataFrame, depth: int, min_tokens: int, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    """A row for each line of at least min_tokens tokens: leaf, h (the masked line's hash), and either its masked text m (whole) or
+    its place (k, kh: the document's id and text hash; line: from 0; context: a hash of the neighbouring lines with a word)."""
+    d = docs.filter(docs[text_col].isNotNull()).select(docs[id_col].alias("k"), F.xxhash64(docs[text_col]).alias("kh"), F.split(docs[text_col], "\n", -1).alias("ls"))
+    d = d.select("k", "kh", _masked(F.col("ls")).alias("ls"))
+    leaf = lambda x: F.xxhash64(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))), F.substring_index(x, " ", depth))
+    size = lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+    if whole:
+        return d.select(F.explode("ls").alias("m")).select("m", size(F.col("m")).alias("size")).filter(F.col("size") >= min_tokens).select(leaf(F.col("m")).alias("leaf"), F.xxhash64("m").alias("h"), "m")
+    facts = F.transform("ls", lambda x, i: F.struct(i.alias("line"), size(x).alias("size"), F.xxhash64(x).alias("h"), leaf(x).alias("leaf")))
+    d = d.select("k", "kh", F.filter(facts, lambda x: x["size"] > 0).alias("ls"))
+    near = lambda i: F.coalesce(F.get(F.col("ls"), i)["h"], F.lit(0))
+    places = F.transform("ls", lambda x, i: F.struct(x["line"].alias("line"), x["size"].alias("size"), x["h"].alias("h"), x["leaf"].alias("leaf"), F.xxhash64(near(i - 1), near(i + 1)).alias("context")))
+    return d.select("k", "kh", F.explode(places).alias("x")).select("k", "kh", "x.*").filter(F.col("size") >= min_tokens).drop("size")
 
 
-def line_templates(docs: DataFrame, depth: int = 3, min_tokens: int = 4, similarity: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per line with at least min_tokens tokens: k, kh (its document's id and text hash), line (from 0), template, context.
+def line_templates(docs: DataFrame, min_contexts: int = 10, depth: int = 3, min_tokens: int = 4, similarity: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per line with at least min_tokens tokens: k, kh, line, context, template; see _lines() for the first four.
 
     template is a hash of the leaf's template for lines that joined it, else of the line with its variable fields masked.
+    Only leaves of several different lines in min_contexts surroundings can bear a template that matters, so only their
+    lines' tokens are looked at, once for each different line.
     """
-    d = _lines(docs, id_col, text_col).filter(F.col("t").isNotNull())
-    masked = F.transform(F.split("t", "\n", -1), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, VARIABLE, "<*>"), GAP, " ")))
-    d = d.select("k", "kh", F.transform(masked, lambda m: F.struct(m.alias("m"), F.when(m != "", F.xxhash64(m)).alias("h"))).alias("ls"))
-    d = d.select("k", "kh", F.filter(F.transform("ls", lambda x, i: F.struct(i.alias("line"), x["m"].alias("m"), x["h"].alias("h"))), lambda x: x["m"] != "").alias("ls"))
-    near = lambda i: F.get(F.col("ls"), i)["h"]
-    d = d.select("k", "kh", F.explode(F.transform("ls", lambda x, i: F.struct(
-        x["line"].alias("line"), x["h"].alias("h"), F.xxhash64(F.coalesce(near(i - 1), F.lit(0)), F.coalesce(near(i + 1), F.lit(0))).alias("context"),
-        F.split(x["m"], " ").alias("tokens")))).alias("x")).select("k", "kh", "x.*")
-    d = d.filter(F.size("tokens") >= min_tokens)
-    d = d.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
-    # a leaf's distinct lines; the tokens travel once for each of them
-    slim = stage(d.select("k", "kh", "line", "h", "context", "leaf"), "lines")
-    leaves = slim.groupBy("leaf", "h").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("forms")).filter("forms > 1")
+    slim = stage(_lines(docs, depth, min_tokens, id_col, text_col, False), "lines")
+    seen = slim.select("leaf", "h", "context").distinct().groupBy("leaf", "h").agg(F.count("*").alias("n"))
+    leaves = seen.groupBy("leaf").agg(F.count("*").alias("forms"), F.sum("n").alias("n")).filter((F.col("forms") > 1) & (F.col("n") >= min_contexts))
     leaves = stage(leaves.select("leaf", "forms"), "leaves")
-    several = d.select("leaf", "h", "tokens").join(leaves, "leaf").groupBy("leaf", "forms", "h").agg(F.first("tokens").alias("tokens"))
-    several = stage(several, "forms")
+    several = _lines(docs, depth, min_tokens, id_col, text_col, True).join(leaves, "leaf").groupBy("leaf", "forms", "h").agg(F.first("m").alias("m"))
+    several = stage(several.select("leaf", "forms", "h", F.split("m", " ").alias("tokens")), "forms")
     cells = several.select("leaf", "forms", F.posexplode("tokens").alias("pos", "token"))
     major = cells.groupBy("leaf", "forms", "pos", "token").agg(F.count("*").alias("n")).filter("2 * n > forms").groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("fixed"))
     fits = several.join(major, "leaf").withColumn("same", F.size(F.filter(F.transform("tokens", lambda t, i: F.element_at("fixed", i) == t), lambda x: x)))
     joined = stage(fits.filter(F.col("same") >= similarity * F.size("tokens")).select("leaf", "h"), "joined").withColumn("fits", F.lit(True))
     discard(several)
-    return slim.join(joined, ["leaf", "h"], "left").select("k", "kh", "line", "context", F.when(F.col("fits"), F.xxhash64("leaf", F.lit("*"))).otherwise(F.col("h")).alias("template"))
+    template = F.when(F.col("fits"), F.xxhash64("leaf", F.lit("*"))).otherwise(F.col("h"))
+    return slim.join(joined, ["leaf", "h"], "left").select("k", "kh", "line", "context", template.alias("template"))
 
 
 def dedup_lines(docs: DataFrame, min_contexts: int = 10, depth: int = 3, min_tokens: int = 4, similarity: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,7 +72,7 @@ def dedup_lines(docs: DataFrame, min_contexts: int = 10, depth: int = 3, min_tok
     tokens, and lines without a word, stay. Nulls: a null text stays null with no lines; null ids count as one id.
     Repeated rows (equal id and text) get equal results and count once. Empty input gives no rows.
     """
-    lines = line_templates(docs, depth, min_tokens, similarity, id_col, text_col)
+    lines = line_templates(docs, min_contexts, depth, min_tokens, similarity, id_col, text_col)
     lines = stage(lines, "templates")
     often = lines.select("template", "context").distinct().groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_contexts)
     often = stage(often.select("template"), "often")
