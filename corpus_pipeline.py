@@ -36,9 +36,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the row with the smallest doc_id stays; of rows with that id, one."""
     groups = simhash.near_groups(docs).select("doc_id", "component_id")
-    kept = stage(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__sw_id")).distinct(), "kept")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__sw_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = stage(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept")
+    # one shuffle of texts, by the id, serves the join and the choice of one row; the few rows without an id go apart
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.filter(F.col("doc_id").isNull() & F.lit(not kept.filter(F.col("doc_id").isNull()).isEmpty()))
+    return named.select(*docs.columns).unionByName(nameless.dropDuplicates(["doc_id"]).select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
