@@ -6,8 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Start positions a chunk: short, as substring() walks from the chunk's start.
-CHUNK = 256
+#: Start positions a chunk, in two rounds of cutting: substring() walks from the start of what it cuts.
+CHUNKS = (8192, 64)
+
+
+def _cut(size: int, max_n: int):
+    """A piece of `size` start positions from b on, with the character before it and the max_n characters after it."""
+    return lambda b: F.struct(
+        (F.col("base") + b).alias("base"), F.least(F.col("lead") + b, F.lit(1)).alias("lead"), F.least(F.lit(size), F.col("starts") - b).alias("starts"),
+        F.substring(F.col("text"), F.greatest(F.col("lead") + b, F.lit(1)), F.lit(size + max_n + 1)).alias("text"),
+    )
 
 
 def occurrences(corpus: DataFrame, max_n: int | None = None, min_n: int = 1, ngrams_only: bool = False) -> DataFrame:
@@ -21,13 +29,10 @@ def occurrences(corpus: DataFrame, max_n: int | None = None, min_n: int = 1, ngr
     if max_n is None:
         d = d.select("text_id", F.lit(0).alias("base"), F.lit(0).alias("lead"), F.length("text").alias("starts"), F.length("text").alias("len"), "text")
     else:
-        d = d.select("text_id", F.length("text").alias("size"), F.regexp_extract_all("text", F.lit("(?s)."), 0).alias("c"))
-        cut = lambda b: F.struct(
-            b.alias("base"), F.least(b, F.lit(1)).alias("lead"), F.least(F.lit(CHUNK), F.col("size") - b).alias("starts"),
-            F.array_join(F.slice("c", F.greatest(b, F.lit(1)), F.lit(CHUNK + max_n + 1)), "").alias("text"),
-        )
-        d = d.select("text_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - 1, F.lit(CHUNK)), cut)).alias("x"))
-        d = d.select("text_id", "x.base", "x.lead", "x.starts", (F.length("x.text") - F.col("x.lead")).alias("len"), "x.text")
+        d = d.select("text_id", F.lit(0).alias("base"), F.lit(0).alias("lead"), F.length("text").alias("starts"), "text")
+        for size in CHUNKS:
+            d = d.select("text_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("starts") - 1, F.lit(size)), _cut(size, max_n))).alias("x")).select("text_id", "x.*")
+        d = d.withColumn("len", F.length("text") - F.col("lead"))
     most = F.col("len") if max_n is None else F.least(F.lit(max_n), F.col("len"))
     sub = lambda at, n: F.substring(F.col("text"), at, n)
     one = lambda p, n: sub(F.col("lead") + p + 1, n) if ngrams_only else F.struct(

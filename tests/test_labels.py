@@ -69,7 +69,7 @@ def test_random_corpora_against_brute_force(spark):
 def test_bounded_ngrams_cross_chunks(spark):
     from spanweave.functions import ngrams
 
-    text = "".join(random.Random(5).choice("abc\n😀") for _ in range(1000))
+    text = "".join(random.Random(5).choice("abc\n😀") for _ in range(9000))
     got = {r.ngram: r.cnt for r in ngrams.counts(from_texts(spark, [text, ""]), 3).collect()}
     want = {}
     for n in (1, 2, 3):
