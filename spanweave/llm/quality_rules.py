@@ -75,3 +75,22 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host:
     verdicts = host_verdicts(d, max_rate).select(F.col("host").alias("__host"), F.col("shrunk").alias("host_rate"), "host_ok")
     d = d.join(verdicts, d["host"] == verdicts["__host"], "left")
     return d.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).drop("__host", "host_ok")
+
+
+#: The same in DuckDB SQL, with windows compared as texts and the prior in one row.
+ORACLE = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) AS g FROM d WHERE len(w) > 5),
+again AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1),
+covered AS (SELECT rid, sum(least(5, coalesce(i - before, 5)))::BIGINT AS n FROM (SELECT *, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM again) GROUP BY rid),
+lines AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+s AS (SELECT doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM d JOIN lines USING (rid) LEFT JOIN covered c USING (rid)),
+j AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s),
+h AS (SELECT host, count(*) AS n, sum((base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_words)::INT) AS f FROM j WHERE host IS NOT NULL GROUP BY host),
+p AS (SELECT sum(n)::DOUBLE AS n, (sum(f) + 0.5::DOUBLE) / (sum(n) + 1) AS m, count(*) AS k, sum(f::DOUBLE * f / n) AS q FROM h),
+v AS (SELECT m, greatest(2.0::DOUBLE, m * (1 - m) / greatest(q / n - m * m - m * (1 - m) * (k - 1) / n, 1e-6::DOUBLE) - 1) AS weight FROM p),
+r AS (SELECT host, (m * weight + f) / (weight + n) AS mean, weight + n AS size FROM h, v)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(mean - 2 * sqrt(mean * (1 - mean) / (size + 1)) <= 0.5, true) AS kept FROM j LEFT JOIN r ON j.host = r.host
+"""

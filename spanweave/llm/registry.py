@@ -13,7 +13,7 @@ from .common import table
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality_rules.judge(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op10_mixing": mixing.ORACLE}
