@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,22 +73,31 @@ class Novelty:
 
     def spans(self, text: str, low: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Candidates that a sensitive word precedes on their line within `reach` characters, that mix letters and digits,
-        that no base span touches, and whose marginal cost is at least `least` bytes a character."""
+        that no base span touches, and whose marginal cost is at least `least` bytes a character. They never overlap: a run
+        of candidate characters is judged from the first sensitive word before it and, if that fails, from the last one in
+        it, so each is read a bounded number of times, however many sensitive words it holds."""
         if not any(w in low for w in CONTEXT):
             return []
-        found, taken = [], sorted((s, e) for s, _, e in base)
-        done = -1
+        starts, ends = _disjoint(base)
+        found: list[tuple[int, int, int]] = []
+        done = stop = 0
         for word in _CONTEXT.finditer(text):
-            line = text.find("\n", word.end())
-            end = min(len(text) if line < 0 else line, word.end() + self.reach)
-            for near in CANDIDATE.finditer(text, word.end(), end + 16):
-                if near.start() >= end or near.start() <= done:
-                    continue
-                done = near.start()
-                m = CANDIDATE.match(text, near.start())
-                s = m[0]
-                if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not any(a < m.end() and m.start() < b for a, b in taken) and self.novel(text, m.start(), m.end()):
-                    found.append((m.start(), 3, m.end()))
+            reach = min(len(text), word.end() + self.reach)
+            line = text.find("\n", word.end(), reach)
+            end = reach if line < 0 else line
+            while near := CANDIDATE.search(text, max(word.end(), done), end + 16):
+                at = near.start()
+                if at >= end:
+                    break
+                if at >= stop:
+                    stop = CANDIDATE.match(text, at).end()
+                s, done = text[at:stop], stop
+                i = bisect_left(starts, stop) - 1
+                free = i < 0 or ends[i] <= at
+                if free and any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and self.novel(text, at, stop):
+                    found.append((at, 3, stop))
+                else:
+                    done = max((w.end() for w in _CONTEXT.finditer(text, at, stop)), default=stop)
         return found
 
     def novel(self, text: str, start: int, end: int) -> bool:
@@ -96,6 +106,19 @@ class Novelty:
         return len(self.size.compress(full)) - len(self.size.compress(bare)) >= self.least * (end - start)
 
 
+def _disjoint(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of (start, place, end)."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in sorted(spans):
+        if starts and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def scan_text(text: str, novelty: Novelty) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and added spans of a text, each (start, place of the kind, end) in code points, sorted."""
     low = text.lower()

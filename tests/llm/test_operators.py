@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -233,6 +234,18 @@ def test_secret_scan(spark):
     assert got[5].spans == "hex:2:42" and got[6].spans == "" and got[7].spans == "" and got[8].spans == "assign:0:19"
 
 
+def test_secret_scan_long_runs():
+    """Added spans never overlap, and a run with many sensitive words is not read once for each."""
+    novelty, key = secret_scan.Novelty(), "q7Zk29fLmX0vB4tRw8YpN3sD"
+    assert secret_scan.scan_text("client_id token_pwd_" + key, novelty)[1] == [(10, 3, 44)]
+    late = "credential password_password_password_password_password_password_" + key
+    assert secret_scan.scan_text(late, novelty)[1] == [(late.index("_" + key), 3, len(late))]
+    assert secret_scan.scan_text("token " * 20000 + "client_id " + key, novelty)[1] == [(120010, 3, 120010 + len(key))]
+    began = time.process_time()
+    assert secret_scan.scan_text("pwd " + "token/" * 50000, novelty) == ([], [])
+    assert time.process_time() - began < 10
+
+
 def slow_bits(texts, text):
     """Estimator C by the definition, one byte at a time."""
     counts = [collections.defaultdict(collections.Counter) for _ in range(4)]
