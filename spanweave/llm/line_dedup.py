@@ -88,3 +88,22 @@ def dedup_lines(docs: DataFrame, min_contexts: int = 10, depth: int = 3, min_tok
         *[docs[c] for c in extra], text.alias(text_col),
         F.when(rows[text_col].isNull(), 0).otherwise(F.size(every)).cast("long").alias("n_lines"), F.when(F.col("__sw_lines").isNull(), 0).otherwise(F.size("__sw_lines")).cast("long").alias("n_dropped"),
     )
+
+
+#: The same in DuckDB SQL at the default parameters, with lines, leaves and templates as texts instead of hashes.
+ORACLE = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT rid, unnest(range(0, len(ls))) AS line, unnest(list_transform(ls, lambda x: list_transform(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), lambda y: CASE WHEN regexp_matches(y, '[0-9]') THEN '<*>' ELSE y END))) AS w FROM d WHERE text IS NOT NULL),
+m AS (SELECT rid, line, w, array_to_string(w, ' ') AS m, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf FROM l WHERE len(w) > 0),
+c AS MATERIALIZED (SELECT * FROM (SELECT *, coalesce(lag(m) OVER o, '') || chr(10) || coalesce(lead(m) OVER o, '') AS context FROM m WINDOW o AS (PARTITION BY rid ORDER BY line)) WHERE len(w) >= 4),
+leaves AS (SELECT leaf, count(DISTINCT m) AS forms FROM (SELECT DISTINCT leaf, m, context FROM c) GROUP BY leaf HAVING count(DISTINCT m) > 1 AND count(*) >= 10),
+several AS MATERIALIZED (SELECT DISTINCT leaf, forms, m, w FROM c JOIN leaves USING (leaf)),
+cells AS MATERIALIZED (SELECT leaf, forms, m, len(w) AS size, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM several),
+fixed AS (SELECT leaf, pos, token FROM cells GROUP BY leaf, forms, pos, token HAVING 2 * count(*) > forms),
+joined AS (SELECT leaf, m FROM cells JOIN fixed USING (leaf, pos, token) GROUP BY leaf, m, size HAVING count(*) >= 0.5 * size),
+t AS MATERIALIZED (SELECT rid, line, context, CASE WHEN j.m IS NULL THEN 'line ' || c.m ELSE 'leaf ' || c.leaf END AS template FROM c LEFT JOIN joined j ON c.leaf = j.leaf AND c.m = j.m),
+often AS (SELECT template FROM t GROUP BY template HAVING count(DISTINCT context) >= 10),
+gone AS (SELECT rid, list(line) AS gone FROM t WHERE template IN (SELECT template FROM often) GROUP BY rid)
+SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
+  CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)), '') END AS text FROM d LEFT JOIN gone USING (rid)
+"""

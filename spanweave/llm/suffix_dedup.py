@@ -282,3 +282,19 @@ def dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col:
 
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, end: long>>"
     return rows.mapInArrow(run, schema + (", kept binary" if texts else ""))
+
+
+#: The same in DuckDB SQL at 200 bytes: every window of every text is compared by its bytes' MD5, then islands are cut.
+ORACLE = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, i, md5_number(b[i + 1:i + 200]) AS h FROM (SELECT rid, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d WHERE octet_length(b) >= 200)),
+twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+s AS (SELECT rid, i FROM w SEMI JOIN twice USING (h)),
+marked AS (SELECT rid, i, CASE WHEN i <= 200 + lag(i) OVER (PARTITION BY rid ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM s),
+island AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS k FROM marked),
+run AS MATERIALIZED (SELECT rid, min(i) AS lo, max(i) + 200 AS hi FROM island GROUP BY rid, k),
+kept AS (SELECT rid, lag(hi, 1, 0) OVER (PARTITION BY rid ORDER BY lo) AS lo, lo AS hi FROM run UNION ALL SELECT d.rid, coalesce(max(hi), 0), any_value(octet_length(b)) FROM d LEFT JOIN run USING (rid) GROUP BY d.rid),
+rest AS (SELECT rid, sha256(unhex(string_agg(hex(b[lo + 1:hi]), '' ORDER BY lo))) AS kept_sha256 FROM kept JOIN d USING (rid) GROUP BY rid),
+sums AS (SELECT rid, count(*) AS n_spans, sum(hi - lo) AS n_removed FROM run GROUP BY rid)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, kept_sha256 FROM d JOIN rest USING (rid) LEFT JOIN sums USING (rid)
+"""
