@@ -58,9 +58,11 @@ def line_templates(docs: DataFrame, min_contexts: int = 10, depth: int = 3, min_
     several = stage(several.select("leaf", "forms", "h", F.split("m", " ").alias("tokens")), "forms")
     cells = several.select("leaf", "forms", F.posexplode("tokens").alias("pos", "token"))
     major = cells.groupBy("leaf", "forms", "pos", "token").agg(F.count("*").alias("n")).filter("2 * n > forms").groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("fixed"))
+    major = stage(major, "major")  # one row a leaf, so the join below broadcasts it or splits hot leaves
     fits = several.join(major, "leaf").withColumn("same", F.size(F.filter(F.transform("tokens", lambda t, i: F.element_at("fixed", i) == t), lambda x: x)))
     joined = stage(fits.filter(F.col("same") >= similarity * F.size("tokens")).select("leaf", "h"), "joined").withColumn("fits", F.lit(True))
     discard(several)
+    discard(major)
     template = F.when(F.col("fits"), F.xxhash64("leaf", F.lit("*"))).otherwise(F.col("h"))
     return slim.join(joined, ["leaf", "h"], "left").select("k", "kh", "line", "context", template.alias("template"))
 
