@@ -167,6 +167,14 @@ def pattern_splits(spark, sf):
     return partition.split_at(g, middles)
 
 
+def joined_partitions(spark, sf):
+    """What has to be joined in every label that is split in its middle: its children's ends are the inner splits."""
+    g = _grammar(spark, sf)
+    middle = F.floor(F.length("parent") / 2).cast("int")
+    inner = g.filter("offset > 0").select("parent", F.col("offset").alias("at"), F.lit(False).alias("top"))
+    return partition.joined_partitions(inner.union(g.select("parent", middle, F.lit(True)).distinct()))
+
+
 def reconstruct_texts(spark, sf):
     c = _names(spark, sf)
     return partition.reconstructed(_grammar(spark, sf), c.select("text"))
@@ -196,7 +204,7 @@ def search_root(spark, sf):
 def search_trace(spark, sf):
     vocab = settle(_vocab(spark, sf), "vocab")
     found = search.search_root(search.largest_prefix(_types(spark, sf), vocab), _labels(spark, sf))
-    return search.trace(found, settle(containment.edges(vocab), "edges"))
+    return search.trace(settle(found, "found"))
 
 
 def read_decomposition(spark, sf):
@@ -288,7 +296,7 @@ def streaming_counts(spark, sf):
 _ALL = (
     ngram_occurrences, occurrence_context, ngram_counts_all, ngram_counts_bounded9, document_ngram_counts, repeated_ngrams, count_histogram, corpus_statistics,
     vocab_roots_leaves, first_seen_roots, containment_edges, bottom_up_neighbours, node_degree, nodes_by_width, edge_offsets, frequency_labels, wrapper_labels,
-    all_labels, child_cover, cover_overlaps, cover_hull, partition_static, partition_graph, partition_offsets, partition_cells, digrams, pattern_splits,
+    all_labels, child_cover, cover_overlaps, cover_hull, partition_static, partition_graph, partition_offsets, partition_cells, digrams, pattern_splits, joined_partitions,
     reconstruct_texts, grammar_nodes, grammar_edges, count_propagation, search_largest_prefix, search_root, search_trace, read_decomposition, unknown_blocks,
     insert_texts, match_patterns, neighbourhood, cond_prob, prob_within_n, next_token, most_likely_next, backoff, node_contexts, similarity, semantic_distance,
     word_ngrams, event_ngrams, scalar_functions, streaming_counts,

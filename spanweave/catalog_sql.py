@@ -103,17 +103,26 @@ SQL = {
     "digrams": _with("grammar") + """SELECT x.child AS "left", y.child AS "right", count(*) AS patterns FROM grammar x JOIN grammar y ON x.parent = y.parent AND x.pattern_id = y.pattern_id AND y.sub_index = x.sub_index + 1 GROUP BY 1, 2""",
     "pattern_splits": _with("grammar") + """SELECT g.parent, (length(parent) // 2)::INT AS at, pattern_id, sub_index, (length(parent) // 2 - "offset")::INT AS "inner", length(parent) // 2 = "offset" AS perfect
       FROM grammar g WHERE "offset" <= length(parent) // 2 AND length(parent) // 2 < "offset" + child_n""",
+    "joined_partitions": _with("grammar") + """, cut AS (SELECT parent, (length(parent) // 2)::INT AS "at", TRUE AS top FROM grammar UNION SELECT parent, "offset", FALSE FROM grammar WHERE "offset" > 0),
+      borders AS (SELECT parent, "at" FROM cut UNION SELECT parent, 0 FROM cut UNION SELECT parent, length(parent)::INT FROM cut)
+      SELECT a.parent, a."at" AS lo, b."at" AS hi, substring(a.parent, a."at" + 1, b."at" - a."at") AS part FROM borders a JOIN borders b ON a.parent = b.parent AND a."at" < b."at"
+      WHERE EXISTS (SELECT 1 FROM cut t WHERE t.top AND t.parent = a.parent AND (a."at" >= t."at" OR b."at" <= t."at"))""",
     "reconstruct_texts": _with("corpus") + "SELECT text, text AS spelled FROM corpus",
     "grammar_nodes": _with("grammar") + "SELECT DISTINCT node, length(node)::INT AS n FROM (SELECT parent AS node FROM grammar UNION ALL SELECT child FROM grammar)",
     "grammar_edges": _with("grammar") + "SELECT DISTINCT parent, child FROM grammar",
     "count_propagation": _with("vocab") + "SELECT ngram, n, cnt FROM vocab",
     "search_largest_prefix": _with("prefix") + """SELECT query, left(query, n) AS "match", n, substring(query, n + 1) AS remainder FROM prefix""",
     "search_root": _with("prefix", "labels") + _ROOT,
-    "search_trace": _with("prefix", "labels", "edges").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""", roots AS ({_ROOT}),
-      up AS (SELECT DISTINCT child, parent FROM edges WHERE parent_n = child_n + 1),
-      walk AS (SELECT DISTINCT r.query, r."match" AS "from", u.parent AS "to", r.root, 1 AS dist FROM roots r JOIN up u ON u.child = r."match" AND contains(r.root, u.parent)
-        UNION SELECT w.query, w."to", u.parent, w.root, w.dist + 1 FROM walk w JOIN up u ON u.child = w."to" AND contains(w.root, u.parent))
-      SELECT query, "from", "to", 'up' AS dir, dist::INT AS dist FROM walk""",
+    "search_trace": _with("prefix", "labels", "edges").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""", roots AS (SELECT *, strpos(root, "match") - 1 AS s FROM ({_ROOT})),
+      step AS (SELECT DISTINCT child, parent, "offset" FROM edges WHERE parent_n = child_n + 1 AND ("offset" = 0 AND left(parent, child_n) = child OR "offset" = 1 AND right(parent, child_n) = child)),
+      walk AS (SELECT query, root, s, "match" AS node, 0 AS before, NULL::VARCHAR AS came, 0 AS dist FROM roots
+        UNION SELECT w.query, w.root, w.s, t.parent, w.before + t."offset", w.node, w.before FROM walk w JOIN step t ON t.child = w.node
+          AND w.s >= w.before + t."offset" AND substring(w.root, w.s - w.before - t."offset" + 1, length(t.parent)) = t.parent),
+      found AS (SELECT query, came AS "from", node AS "to", 'up' AS dir, dist FROM walk WHERE came IS NOT NULL
+        UNION SELECT query, left("match", k), left("match", k + 1), 'up', 0 FROM (SELECT *, unnest(range(1, length("match"))) AS k FROM roots)
+        UNION SELECT query, left(root, k), left(root, k - 1), 'down', -s FROM (SELECT *, unnest(range(s + length("match") + 1, length(root) + 1)) AS k FROM roots)
+        UNION SELECT query, left(root, s + length("match")), right("match", 1), 'down', length("match") - 1 FROM roots WHERE s + length("match") > 1)
+      SELECT query, "from", "to", dir, dist::INT AS dist FROM found""",
     "read_decomposition": _with("queries", "labels") + """, hit AS (SELECT query, pos::INT AS "offset", max(w)::INT AS n FROM (SELECT *, unnest(range(1, length(query) - pos + 1)) AS w FROM
         (SELECT query, unnest(range(0, length(query))) AS pos FROM queries)) WHERE substring(query, pos + 1, w) IN (SELECT ngram FROM labels) GROUP BY 1, 2)
       SELECT query, "offset", substring(query, "offset" + 1, n) AS ngram, n FROM hit a WHERE NOT EXISTS (SELECT 1 FROM hit b WHERE b.query = a.query AND b."offset" < a."offset" AND b."offset" + b.n >= a."offset" + a.n)""",

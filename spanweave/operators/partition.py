@@ -66,18 +66,17 @@ def partition_lines(cover: DataFrame) -> DataFrame:
     return cover.groupBy("parent").applyInPandas(_pack, EDGE)
 
 
-def partition_graph(labels: DataFrame, max_layers: int = 64) -> tuple[DataFrame, DataFrame]:
+def partition_graph(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(partition_edge, labels) from the roots down, layer by layer.
 
     All nodes of a layer use the labels of its start. Unlabelled children become labels, and so do the maximal strings that
-    two or more of them share; every new label is partitioned in a later layer.
+    two or more of them share; every new label is partitioned in a later layer. Children are narrower than their parents, so
+    there are at most as many layers as the widest label has characters.
     """
     labels = settle(labels.select("ngram", "n", "kind"), "labels")
     layer = settle(labels.filter("kind = 'root' AND n > 1").select("ngram", "n"), "layer")
     done, found = layer.limit(0), []
-    for _ in range(max_layers):
-        if layer.isEmpty():
-            break
+    while not layer.isEmpty():
         edges = settle(partition_lines(child_cover(labels, layer)), "lines")
         found.append(edges)
         done = settle(done.union(layer), "done")
@@ -128,7 +127,12 @@ def split_at(edges: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def joined_partitions(splits: DataFrame) -> DataFrame:
-    """splits(parent, at) -> (parent, lo, hi, part): the substrings between any two split positions or ends."""
-    n = F.length("parent")
-    ends = splits.select("parent", "at").union(splits.select("parent", F.lit(0))).union(splits.select("parent", n)).distinct()
-    return ends.withColumnRenamed("at", "lo").join(ends.withColumnRenamed("at", "hi"), "parent").filter("lo < hi").select("parent", "lo", "hi", F.substring("parent", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("part"))
+    """splits(parent, at, top) -> (parent, lo, hi, part): the substrings between two split positions or ends that have to be joined.
+
+    That is so if a top split, one that is asked for from outside, lies on either side of them (or at their end).
+    """
+    d = splits.groupBy("parent", "at").agg(F.max("top").alias("top"))
+    tops = d.filter("top").groupBy("parent").agg(F.min("at").alias("first_top"), F.max("at").alias("last_top"))
+    ends = d.select("parent", "at").union(d.select("parent", F.lit(0))).union(d.select("parent", F.length("parent"))).distinct()
+    pairs = ends.withColumnRenamed("at", "lo").join(ends.withColumnRenamed("at", "hi"), "parent").filter("lo < hi").join(tops, "parent")
+    return pairs.filter("lo >= first_top OR hi <= last_top").select("parent", "lo", "hi", F.substring("parent", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("part"))

@@ -40,19 +40,38 @@ def search_root(matches: DataFrame, labels: DataFrame) -> DataFrame:
     return matches.join(within, matches["match"] == within["part"]).select("query", "match", F.col("root.label").alias("root"))
 
 
-def trace(matches: DataFrame, edges: DataFrame, root: str = "root", widest: int = 64) -> DataFrame:
-    """(query, from, to, dir, dist): upward edges from the match to the root, one width a round, within the root."""
-    level = matches.select("query", F.col("match").alias("node"), F.col(root).alias("root"))
-    found = level.limit(0).select("query", F.col("node").alias("from"), F.col("node").alias("to"), F.lit("up").alias("dir"), F.lit(0).alias("dist"))
-    for dist in range(1, widest):
-        up = edges.filter("parent_n = child_n + 1").select(F.col("child").alias("node"), "parent").distinct()
-        level = level.join(up, "node").filter(F.col("root").contains(F.col("parent"))).select("query", "node", "parent", "root").distinct()
-        if level.isEmpty():
-            break
-        rows = level.select("query", F.col("node").alias("from"), F.col("parent").alias("to"), F.lit("up").alias("dir"), F.lit(dist).alias("dist"))
-        found = found.union(rows)
-        level = level.select("query", F.col("parent").alias("node"), "root")
-    return found
+def trace(matches: DataFrame) -> DataFrame:
+    """matches(query, match, root) -> (query, from, to, dir, dist): containment edges from the first character of the match up to
+    the root and down to the last one.
+
+    Upward edges widen by one character: the prefixes of the match, then all that lies between it and the root; dist is how
+    much of the node `from` precedes the match. Downward edges narrow the root from the right until it ends with the match,
+    then take its last character; dist is where the node `to` begins, from the match's start (negative before it). The
+    match is taken where it first occurs in the root. All are intervals of the root, so no edge table is walked.
+    """
+    m = matches.select("query", "root", (F.instr("root", F.col("match")) - 1).alias("s"), F.length("match").alias("m"), F.length("root").alias("n"))
+    m = m.withColumn("e", F.col("s") + F.col("m"))
+    s, e, n = F.col("s"), F.col("e"), F.col("n")
+
+    def edges(rows: DataFrame, i: Column, j: Column, k: Column, to: Column, up: bool, dist: Column) -> DataFrame:
+        part = lambda lo, hi: F.substring("root", lo + 1, hi - lo)
+        return rows.select("query", part(i, j).alias("from"), part(k, to).alias("to"), F.lit("up" if up else "down").alias("dir"), dist.cast("int").alias("dist"))
+
+    prefixes = m.filter("m > 1").select("*", F.explode(F.sequence(s + 1, e - 1)).alias("j"))
+    around = m.select("*", F.explode(F.sequence(F.lit(0), s)).alias("i")).select("*", F.explode(F.sequence(e, n)).alias("j"))
+    narrowed = m.filter("e < n").select("*", F.explode(F.sequence(e + 1, n)).alias("j"))
+    i, j, zero = F.col("i"), F.col("j"), F.lit(0)
+    found = [
+        edges(prefixes, s, j, s, j + 1, True, zero),
+        edges(around.filter("i > 0"), i, j, i - 1, j, True, s - i),
+        edges(around.filter("j < n"), i, j, i, j + 1, True, s - i),
+        edges(narrowed, zero, j, zero, j - 1, False, -s),
+        edges(m.filter("e > 1"), zero, e, e - 1, e, False, e - 1 - s),
+    ]
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return every.distinct()
 
 
 def decomposition(queries: DataFrame, labels: DataFrame) -> DataFrame:

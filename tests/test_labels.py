@@ -120,6 +120,21 @@ def test_search_and_insert(spark):
     assert "abab" in {r.ngram for r in grown.collect()} and grown.count() >= lab.count()
 
 
+def test_trace(spark):
+    found = spark.createDataFrame([("bcx", "bc", "abcd"), ("q", "q", "q")], "query string, match string, root string")
+    assert {tuple(r) for r in search.trace(found).collect()} == {
+        ("bcx", "b", "bc", "up", 0), ("bcx", "bc", "abc", "up", 0), ("bcx", "bc", "bcd", "up", 0), ("bcx", "abc", "abcd", "up", 1), ("bcx", "bcd", "abcd", "up", 0),
+        ("bcx", "abcd", "abc", "down", -1), ("bcx", "abc", "c", "down", 1),
+    }
+
+
+def test_joined_partitions(spark):
+    splits = [("abcdefghijklmno", at, at in (3, 10)) for at in (3, 4, 5, 8, 9, 10, 11, 12)]
+    got = {(r.lo, r.hi): r.part for r in partition.joined_partitions(spark.createDataFrame(splits, "parent string, at int, top boolean")).collect()}
+    assert got[0, 3] == "abc" and got[5, 8] == "fgh" and got[3, 15] == "defghijklmno"
+    assert (0, 12) not in got and (0, 15) not in got and len(got) == 45 - 3  # those from 0 to 11, 12 and 15 span both top splits
+
+
 def test_empty_corpora(spark):
     for texts in ([], ["", ""]):
         with pytest.raises(EmptyVocabularyError):
