@@ -33,14 +33,22 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select(*docs.columns)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with doc_id as (no_id, doc_id, text hash): rows with a null or repeated id are told apart by their texts."""
+    return docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th")).alias("doc_id"), "text")
+
+
+def _firsts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs that are the first of their component in groups, which are those of _named(docs)."""
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.xxhash64("doc_id.id").alias("__ih"), F.col("doc_id.th").alias("__th")).distinct()
+    # one shuffle of texts serves the join and the choice of one of equal rows
+    rows = docs.withColumns({"__ih": F.xxhash64("doc_id"), "__th": F.xxhash64("text")}).join(stage(kept, "kept"), ["__ih", "__th"], "left_semi")
+    return rows.dropDuplicates(["__ih", "__th"]).select(*docs.columns)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the row with the smallest doc_id stays; of rows with that id, one."""
-    groups = simhash.near_groups(docs).select("doc_id", "component_id")
-    kept = stage(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept")
-    # one shuffle of texts, by the id, serves the join and the choice of one row; the few rows without an id go apart
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.filter(F.col("doc_id").isNull() & F.lit(not kept.filter(F.col("doc_id").isNull()).isEmpty()))
-    return named.select(*docs.columns).unionByName(nameless.dropDuplicates(["doc_id"]).select(*docs.columns))
+    """Of each group of near-duplicates, one row stays: that with the smallest doc_id (null last), then text hash."""
+    return _firsts(docs, simhash.near_groups(_named(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

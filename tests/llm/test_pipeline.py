@@ -31,3 +31,11 @@ def test_run_matches_the_query(spark):
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_near_dedup_judges_rows_by_component(spark):
+    rows = [(None, f"clean text {i} " + " ".join(f"w{i}x{k}" for k in range(40)), "en", "s", 1) for i in range(20)]
+    rows += [(7, rows[0][1], "en", "s", 1), (8, rows[1][1], "en", "s", 1), (8, "other " + " ".join(f"q{k}" for k in range(40)), "en", "s", 1), (9, rows[1][1], "en", "s", 1), (9, rows[1][1], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.text, r.doc_id) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([(t, None) for _, t, *_ in rows[2:20]] + [(rows[0][1], 7), (rows[1][1], 8), (rows[22][1], 8)], key=str)
