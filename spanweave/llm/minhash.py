@@ -1,0 +1,104 @@
+"""Near copies by the Jaccard similarity of word shingles: min-hash bands propose pairs, exact similarity decides them.
+
+Texts that agree on a band of min-hashes share a bucket. In rounds, a growing number of pivots of each bucket is held
+against its other members outside the pivot's component, so a large group of copies costs about its size, while at the end every
+two members of a bucket are connected or were compared.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import discard, stage
+from .components import components
+from .simhash import _LOWER, _WORD
+
+
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 of each run of `shingle` words with A-Z lowered; a shorter text is one run."""
+    found = _WORD.findall((text or "").encode().translate(_LOWER))
+    row = b" ".join(found)
+    if len(found) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(row, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    starts = np.concatenate([[0], ends[:-1]]).tolist()
+    h, view = xxhash.xxh64_intdigest, memoryview(row)
+    return np.unique(np.array([h(view[s:e], 42) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=False)], np.uint64))
+
+
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
+    """For each band, a hash of its number and its `rows` min-hashes, as signed 64-bit numbers."""
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 1 << 63, (2, bands * rows, 1), dtype=np.uint64)
+    a = 2 * a + np.uint64(1)
+    least = np.full(bands * rows, ~np.uint64(0))
+    for k in range(0, len(hashes), 2048):
+        least = np.minimum(least, (hashes[None, k : k + 2048] * a + b).min(axis=1))
+    return [xxhash.xxh64_intdigest(least[i * rows : (i + 1) * rows].tobytes(), i) - (1 << 63) for i in range(bands)]
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of pairs (a, b) whose sets have a Jaccard similarity of at least `least`."""
+    left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    return both.filter(F.col("n") / (F.size("sa") + F.size("sb") - F.col("n")) >= least).select("a", "b")
+
+
+def jaccard_links(bands: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """bands(key, node), distinct -> node, root: components of all pairs that share a key and are similar enough."""
+    spark, links, live, pivots = bands.sparkSession, None, bands.withColumn("c", F.col("node")), 1
+    roots = spark.createDataFrame([], "node long, root long")
+    while True:
+        open_ = live.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+        live = stage(live.join(open_, "key", "left_semi"), "live")
+        if live.isEmpty():
+            return roots
+        place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+        pivot = stage(live.withColumn("place", place).filter(F.col("place") <= pivots).drop("place"), "pivots")
+        met = pivot.select("key", F.col("node").alias("p"), F.col("c").alias("pc")).join(live, "key").filter("pc <> c")
+        pairs = stage(met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct(), "pairs")
+        found = _similar(pairs, sets, least)
+        links = stage(found if links is None else links.unionByName(found), "links")
+        roots = components(links)
+        rest = live.join(pivot, ["key", "node"], "left_anti").select("key", "node")
+        rest = rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("c"))
+        live, pivots = stage(rest, "rest"), 4 * pivots
+        discard(pairs)
+        discard(pivot)
+
+
+def near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = 24, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, component_id: the smallest doc_id that pairs of at least `least` Jaccard similarity reach from it.
+
+    A pair of similarity s shares a bucket with probability 1 - (1 - s^rows)^bands: 0.99993 at 0.8, 0.999999 at 0.85. Pairs
+    below `least` are never linked. Nulls: a null or wordless text has one empty shingle; ids as in near_groups().
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [band_keys(shingles(t.as_py(), shingle), bands, rows) for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "s"])
+
+    node: Column = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    kind = docs.schema[id_col].dataType.simpleString()
+    slim = stage(docs.select(docs[id_col].alias("doc_id"), node.alias("node"), docs[text_col].alias("t")).mapInArrow(sign, f"doc_id {kind}, node long, keys array<long>"), "signs")
+    every = slim.select("node", F.explode("keys").alias("key")).distinct()
+    shared = every.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
+    found = stage(every.join(shared, "key", "left_semi").select("key", "node"), "bands")
+    texts = docs.select(node.alias("node"), docs[text_col].alias("t")).join(found.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sets = stage(texts.mapInArrow(gather, "node long, s array<long>"), "sets")
+    roots = jaccard_links(found, sets, least)
+    named = slim.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    named = stage(named, "roots")
+    return named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")

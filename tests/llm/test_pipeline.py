@@ -1,9 +1,11 @@
 """The pipeline's stages, each against what it should keep of its own input."""
 
 import collections
+import random
+import re
 
 import corpus_pipeline
-from spanweave.llm import simhash
+from spanweave.llm import minhash, simhash
 
 
 def test_stages(spark):
@@ -39,3 +41,55 @@ def test_near_dedup_judges_rows_by_component(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r.text, r.doc_id) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()), key=str)
     assert got == sorted([(t, None) for _, t, *_ in rows[2:20]] + [(rows[0][1], 7), (rows[1][1], 8), (rows[22][1], 8)], key=str)
+
+
+def _sets(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return {" ".join(w[i : i + 5]).lower() for i in range(max(1, len(w) - 4))}
+
+
+def _near(a, b):
+    return 10 * len(a & b) >= 8 * len(a | b)
+
+
+def _edited(rng):
+    """Short and medium texts, each with copies of one to four changed words, and a chain of a text's copies of copies."""
+    texts = []
+    for n in (6, 24, 30, 60, 120, 300):
+        for _ in range(4):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            texts.append(" ".join(base))
+            for k in (1, 2, 3, 4):
+                copy = list(base)
+                for at in rng.sample(range(n), k):
+                    copy[at] = f"c{rng.randrange(10**6)}"
+                texts.append(" ".join(copy))
+    for _ in range(12):
+        base[rng.randrange(300)] = base[rng.randrange(300)] = "new"
+        texts.append(" ".join(base).upper())
+    return [*texts, None, "", " ", "one", "One"]
+
+
+def test_near_copies_match_brute_force(spark):
+    texts = _edited(random.Random(11))
+    sets, up = [_sets(t) for t in texts], list(range(len(texts)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if up[a] != up[b] and _near(sets[a], sets[b]):
+                lo, hi = sorted((up[a], up[b]))
+                up = [lo if x == hi else x for x in up]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_copies(docs).collect()} == dict(enumerate(up))
+    assert len(set(up)) < len(up) - 24
+
+
+def test_no_near_copy_passes_the_pipeline(spark):
+    texts = [t for t in _edited(random.Random(12)) if t and len(t) > 5]
+    out = docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        if "dedup" in name and name != "line_dedup":
+            out = corpus_pipeline.stage(stage(spark, out, ""), name)
+    kept = [_sets(r.text) for r in out.collect()]
+    assert out.columns == docs.columns and not any(_near(kept[a], kept[b]) for a in range(len(kept)) for b in range(a))
+    assert all(any(_near(_sets(t), k) for k in kept) for t in texts[:120:5])  # no group is lost
+    assert corpus_pipeline.drop_similar(spark, docs.limit(0), "").count() == 0
