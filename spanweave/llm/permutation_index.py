@@ -4,6 +4,9 @@ A vector is represented by the order of its nearest pivots and posted in the inv
 the posting lists of its own pivots are read, and the footrule distance of the two orders is accumulated: with lists of
 length k, a shared pivot at places r and s takes 2 * (k - max(r, s)) off the distance of two disjoint lists. The nearest by
 footrule are reranked by exact inner products in double precision.
+
+Orders are taken where a larger inner product is a smaller angle: rows get one more component that makes their norms equal
+(queries get 0 there), and the sample's mean is taken off, so vectors of one narrow cone have different orders too.
 """
 
 from __future__ import annotations
@@ -24,13 +27,29 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _pick(rows: np.ndarray, count: int, apart: float = 0.8) -> np.ndarray:
-    """The first `count` rows as unit vectors, none of which is within cosine `apart` of an earlier one."""
-    rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    """`count` rows as unit vectors: the first that are not within cosine `apart` of an earlier one, then the first others."""
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    rows = (rows / np.where(norms > 0, norms, 1))[norms[:, 0] > 0] if (norms > 0).any() else rows[:1]
     kept: list[int] = []
     for i in range(len(rows)):
         if len(kept) < count and (not kept or (rows[kept] @ rows[i]).max() < apart):
             kept.append(i)
-    return rows[kept]
+    return rows[kept + np.setdiff1d(np.arange(len(rows)), kept)[: count - len(kept)].tolist()]
+
+
+class Space:
+    """Rows and queries as vectors whose angles order as their inner products do."""
+
+    def __init__(self, sample: np.ndarray):
+        self.most, self.mean = np.linalg.norm(sample, axis=1).max(), 0.0
+        self.mean = self.rows(sample).mean(axis=0)
+
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        n = np.minimum(np.linalg.norm(x, axis=1, keepdims=True), self.most)
+        return np.hstack([x, np.sqrt((self.most - n) * (self.most + n))]) - self.mean
+
+    def queries(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack([x, np.zeros((len(x), 1))]) - self.mean
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
@@ -59,8 +78,8 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, pivots: int = 512
     """For each vector whose id is divisible by `every`, its `top` nearest others found: query_id, rank, vec_id, score.
 
     Nearness is the largest inner product; ties go to the smaller id. Pivots are chosen among the 4 * pivots rows with the
-    smallest id hashes (the bound of what reaches the driver), near-equal ones left out; every row is indexed. Blocks of
-    index rows meet blocks of queries; in each, the `share` nearest by footrule (at least 4 * top, ties to the smaller id)
+    smallest id hashes (the bound of what reaches the driver), near-equal ones last; every row is indexed. Blocks of
+    index rows meet blocks of queries; in each, the `share` nearest by footrule (at least 4 * top, and all that tie with the last)
     are reranked, and a query's best of all blocks are merged, so a task holds block_rows + query_rows vectors at any size.
     Nulls: rows with a null id take no part, nor do vectors null, zero or holding null or non-finite components, nor those
     not of the most common length. Candidates with the query's id are its own; other repeated rows count each, and repeated
@@ -74,20 +93,23 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, pivots: int = 512
     dim, total = sizes[0].d, sizes[0].n
     good = good.filter(F.size("embedding") == dim)
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivots).collect()
-    chosen = _pick(np.array([r.embedding for r in sample]), pivots)
+    sample = np.array([r.embedding for r in sample])
+    space = Space(sample)
+    chosen = _pick(space.rows(sample), pivots)
     k = min(k, len(chosen))
 
-    def post(batches):
+    def post(batches, place=space.rows):
         for batch in batches:
             if batch.num_rows:
                 x = batch.column("embedding").flatten().to_numpy().reshape(-1, dim)
-                perm = permutations(x, chosen, k)
+                perm = permutations(place(x), chosen, k)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, perm.size + 1, k, dtype=np.int32)), pa.array(perm.ravel()))
                 yield pa.record_batch([batch.column("vec_id"), batch.column("embedding"), lists], names=["vec_id", "embedding", "perm"])
 
-    kind = vectors.schema[id_col].dataType.simpleString()
-    index = stage(good.mapInArrow(post, f"vec_id {kind}, embedding array<double>, perm array<short>"), "index")
-    asked = stage(index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("embedding", "perm")).alias("v")).select("vec_id", "v.*"), "queries")
+    ask = lambda batches: post(batches, space.queries)
+    schema = f"vec_id {vectors.schema[id_col].dataType.simpleString()}, embedding array<double>, perm array<short>"
+    index = stage(good.mapInArrow(post, schema), "index")
+    asked = stage(index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(ask, schema), "queries")
     blocks, qblocks = -(-total // block_rows), max(1, -(-asked.count() // query_rows))
     spread = lambda n, c: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
     mod = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
@@ -104,12 +126,11 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, pivots: int = 512
             ids, x = ids[order], take(rows, "embedding", dim)[order]
             files, n = Postings(take(rows, "perm", k)[order], count), len(ids)
             few = min(n, max(4 * top, int(np.ceil(share * n))))
-            tie = np.arange(n, 0, -1)
             for qid, q, perm in zip(queries.column("vec_id").to_numpy(), take(queries, "embedding", dim), take(queries, "perm", k), strict=True):
-                near = files.shared(perm) * np.int64(n + 1) + tie
+                near = files.shared(perm)
                 near[ids == qid] = -1
-                best = np.argpartition(near, n - few)[n - few :] if few < n else np.arange(n)
-                best = np.sort(best[ids[best] != qid])
+                best = np.flatnonzero(near >= np.partition(near, n - few)[n - few])
+                best = best[ids[best] != qid]
                 score = (x[best] * q).sum(axis=1)
                 first = np.lexsort((ids[best], -score))[:top]
                 got.append((np.full(len(first), qid), ids[best][first], score[first]))

@@ -170,6 +170,22 @@ def test_permutation_index(spark):
     assert permutation_index.search(f.limit(0)).count() == 0
 
 
+def test_permutation_index_of_clusters_and_cones(spark):
+    """Recall where raw orders tell nothing: one narrow cone, of unit and of raw vectors, clusters in it, and equal vectors."""
+    rng = np.random.default_rng(16)
+    unit = lambda y: y / np.linalg.norm(y, axis=1, keepdims=True)
+    offset = np.eye(24)[0] * 40
+    clusters = rng.normal(size=(20, 24))[rng.integers(0, 20, 1600)] + 0.2 * rng.normal(size=(1600, 24))
+    for x in (unit(rng.normal(size=(1600, 24)) + offset), rng.normal(size=(1600, 24)) + offset, clusters, unit(clusters + offset), np.ones((900, 3))):
+        got = collections.defaultdict(set)
+        for r in permutation_index.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+            got[r.query_id].add(r.vec_id)
+        score, hits = x @ x[::20].T, 0
+        for j, q in enumerate(range(0, len(x), 20)):
+            hits += len(set([i for i in np.lexsort((np.arange(len(x)), -score[:, j])) if i != q][:20]) & got[q])
+        assert hits / (20 * len(got)) >= 0.9
+
+
 def test_optimal_buckets(frame, docs):
     import itertools
 
