@@ -43,10 +43,11 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int, id_col: str, text_col:
     return d.select("k", "kh", F.explode(places).alias("x")).select("k", "kh", "x.*").filter(F.col("size") >= min_tokens).drop("size")
 
 
-def line_templates(docs: DataFrame, min_contexts: int = 10, depth: int = 3, min_tokens: int = 4, similarity: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_templates(docs: DataFrame, min_contexts: int = 10, depth: int = 3, min_tokens: int = 4, similarity: float = 0.5, id_col: str = "doc_id", text_col: str = "text", after_leaf: bool = False) -> DataFrame:
     """Per line with at least min_tokens tokens: k, kh, line, context, template; see _lines() for the first four.
 
     template is a hash of the leaf's template for lines that joined it, else of the line with its variable fields masked.
+    after_leaf counts agreement on the tokens after the leading ones only, which all lines of a leaf share anyway.
     Only leaves of several different lines in min_contexts surroundings can bear a template that matters, so only their
     lines' tokens are looked at, once for each different line.
     """
@@ -60,21 +61,22 @@ def line_templates(docs: DataFrame, min_contexts: int = 10, depth: int = 3, min_
     major = cells.groupBy("leaf", "forms", "pos", "token").agg(F.count("*").alias("n")).filter("2 * n > forms").groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("fixed"))
     major = stage(major, "major")  # one row a leaf, so the join below broadcasts it or splits hot leaves
     fits = several.join(major, "leaf").withColumn("same", F.size(F.filter(F.transform("tokens", lambda t, i: F.element_at("fixed", i) == t), lambda x: x)))
-    joined = stage(fits.filter(F.col("same") >= similarity * F.size("tokens")).select("leaf", "h"), "joined").withColumn("fits", F.lit(True))
+    given = depth if after_leaf else 0
+    joined = stage(fits.filter(F.col("same") - given >= similarity * (F.size("tokens") - given)).select("leaf", "h"), "joined").withColumn("fits", F.lit(True))
     discard(several)
     discard(major)
     template = F.when(F.col("fits"), F.xxhash64("leaf", F.lit("*"))).otherwise(F.col("h"))
     return slim.join(joined, ["leaf", "h"], "left").select("k", "kh", "line", "context", template.alias("template"))
 
 
-def dedup_lines(docs: DataFrame, min_contexts: int = 10, depth: int = 3, min_tokens: int = 4, similarity: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_contexts: int = 10, depth: int = 3, min_tokens: int = 4, similarity: float = 0.5, id_col: str = "doc_id", text_col: str = "text", after_leaf: bool = False) -> DataFrame:
     """docs with the text less its boilerplate lines, and n_lines, n_dropped (long); other columns pass through.
 
     A template is boilerplate if it is found in at least min_contexts different surroundings. Lines of fewer than min_tokens
     tokens, and lines without a word, stay. Nulls: a null text stays null with no lines; null ids count as one id.
     Repeated rows (equal id and text) get equal results and count once. Empty input gives no rows.
     """
-    lines = line_templates(docs, min_contexts, depth, min_tokens, similarity, id_col, text_col)
+    lines = line_templates(docs, min_contexts, depth, min_tokens, similarity, id_col, text_col, after_leaf)
     lines = stage(lines, "templates")
     often = lines.select("template", "context").distinct().groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_contexts)
     often = stage(often.select("template"), "often")

@@ -93,3 +93,19 @@ def test_no_near_copy_passes_the_pipeline(spark):
     assert out.columns == docs.columns and not any(_near(kept[a], kept[b]) for a in range(len(kept)) for b in range(a))
     assert all(any(_near(_sets(t), k) for k in kept) for t in texts[:120:5])  # no group is lost
     assert corpus_pipeline.drop_similar(spark, docs.limit(0), "").count() == 0
+
+
+def _noun(i):
+    return "".join(chr(97 + int(c)) for c in str(1000 + i))
+
+
+def _docs_of_lines(spark, lines):
+    rows = [(i, f"{_noun(i)} was here\n{line}\n{_noun(i)} went off", "en", "s", 0) for i, line in enumerate(lines)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_line_dedup_keeps_different_lines_with_one_opening(spark):
+    lines = [f"It is a {_noun(i)}" for i in range(15)] + [f"He said that {_noun(i)} {_noun(i + 50)} {_noun(i + 90)}" for i in range(15)]
+    lines += [f"Read all our terms and {_noun(i)} here today" for i in range(15)]
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, _docs_of_lines(spark, lines), "").collect()}
+    assert [i for i, line in enumerate(lines) if line in kept[i]] == list(range(30))
