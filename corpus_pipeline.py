@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go, and documents of which nothing else is left. n_chars follows the text, if docs has it."""
-    rows = line_dedup.dedup_lines(docs, after_leaf=True)
+    rows = line_dedup.dedup_lines(docs, min_tokens=1, after_leaf=True)
     rows = rows.filter((F.col("n_dropped") == 0) | (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) > 0))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

@@ -34,13 +34,18 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int, id_col: str, text_col:
     d = d.select("k", "kh", _masked(F.col("ls")).alias("ls"))
     leaf = lambda x: F.xxhash64(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))), F.substring_index(x, " ", depth))
     size = lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+    # up to depth tokens, a line is its own leaf and an exact template; with no letter outside its variable fields it is none
+    fit = lambda m: (F.col("size") >= min_tokens) & ((F.col("size") > depth) | m) if min_tokens <= depth else F.col("size") >= min_tokens
+    worded = lambda x: F.replace(x, F.lit("<*>"), F.lit("")).rlike(r"\p{L}")
     if whole:
-        return d.select(F.explode("ls").alias("m")).select("m", size(F.col("m")).alias("size")).filter(F.col("size") >= min_tokens).select(leaf(F.col("m")).alias("leaf"), F.xxhash64("m").alias("h"), "m")
-    facts = F.transform("ls", lambda x, i: F.struct(i.alias("line"), size(x).alias("size"), F.xxhash64(x).alias("h"), leaf(x).alias("leaf")))
+        return d.select(F.explode("ls").alias("m")).select("m", size(F.col("m")).alias("size")).filter(fit(worded(F.col("m")))).select(leaf(F.col("m")).alias("leaf"), F.xxhash64("m").alias("h"), "m")
+    letters = lambda x: [F.when(size(x) <= depth, worded(x)).alias("worded")] if min_tokens <= depth else []
+    facts = F.transform("ls", lambda x, i: F.struct(i.alias("line"), size(x).alias("size"), F.xxhash64(x).alias("h"), leaf(x).alias("leaf"), *letters(x)))
+    also = ["worded"] if min_tokens <= depth else []
     d = d.select("k", "kh", F.filter(facts, lambda x: x["size"] > 0).alias("ls"))
     near = lambda i: F.coalesce(F.get(F.col("ls"), i)["h"], F.lit(0))
-    places = F.transform("ls", lambda x, i: F.struct(x["line"].alias("line"), x["size"].alias("size"), x["h"].alias("h"), x["leaf"].alias("leaf"), F.xxhash64(near(i - 1), near(i + 1)).alias("context")))
-    return d.select("k", "kh", F.explode(places).alias("x")).select("k", "kh", "x.*").filter(F.col("size") >= min_tokens).drop("size")
+    places = F.transform("ls", lambda x, i: F.struct(x["line"].alias("line"), x["size"].alias("size"), x["h"].alias("h"), x["leaf"].alias("leaf"), F.xxhash64(near(i - 1), near(i + 1)).alias("context"), *[x[c].alias(c) for c in also]))
+    return d.select("k", "kh", F.explode(places).alias("x")).select("k", "kh", "x.*").filter(fit(F.col("worded"))).drop("size", *also)
 
 
 def line_templates(docs: DataFrame, min_contexts: int = 10, depth: int = 3, min_tokens: int = 4, similarity: float = 0.5, id_col: str = "doc_id", text_col: str = "text", after_leaf: bool = False) -> DataFrame:

@@ -109,3 +109,9 @@ def test_line_dedup_keeps_different_lines_with_one_opening(spark):
     lines += [f"Read all our terms and {_noun(i)} here today" for i in range(15)]
     kept = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, _docs_of_lines(spark, lines), "").collect()}
     assert [i for i, line in enumerate(lines) if line in kept[i]] == list(range(30))
+
+
+def test_line_dedup_drops_short_boilerplate(spark):
+    lines = ["All rights reserved."] * 12 + ["}"] * 12 + ["7 - 9"] * 12 + [f"Only {_noun(i)}" for i in range(12)] + ["Rarely seen"] * 9
+    kept = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.drop_lines(spark, _docs_of_lines(spark, lines), "").collect()}
+    assert [i for i, line in enumerate(lines) if line in kept[i]] == list(range(12, len(lines)))
