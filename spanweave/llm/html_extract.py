@@ -1,8 +1,8 @@
 """Main text of web pages, with templates deduced from equivalence classes of tokens.
 
 Tokens are tags and short texts in their place in the page. Over the distinct pages of a host, tokens with the same vector
-of occurrence counts form an equivalence class; large and frequent classes whose tokens keep one order are valid and nest
-into the host's template. What the template holds is not content; what its slots hold is. Within a page, content is
+of occurrence counts form an equivalence class; large and frequent classes make the host's template (their order and nesting
+are not checked). What the template holds is not content; what its slots hold is. Within a page, content is
 what an article (or main) element holds, less menus, notices and the like; a page without one gives all slots outside such
 parts.
 
