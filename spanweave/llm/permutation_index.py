@@ -1,9 +1,13 @@
 """Approximate nearest neighbours with a permutation index.
 
-A vector is represented by the order of its nearest pivots and posted in the inverted files of those pivots. For a query,
-the posting lists of its own pivots are read, and the footrule distance of the two orders is accumulated: with lists of
-length k, a shared pivot at places r and s takes 2 * (k - max(r, s)) off the distance of two disjoint lists. The nearest by
-footrule are reranked by exact inner products in double precision.
+A vector is represented by the order of its nearest pivots and posted in the inverted files of the first few of them. A query
+reads the files of its own nearest pivots only. A file's entries hold their whole order, so the footrule distance of a met pair is
+known where it is met: with lists of length k, a shared pivot at places r and s takes 2 * (k - max(r, s)) off the distance
+of two disjoint lists. Pairs near enough by footrule are reranked by exact inner products in double precision, each in the
+first file where it is met.
+
+How many files a query reads, and the footrule up to which pairs are reranked, are set by measurement: a fixed number of
+queries is held against all rows, and both are chosen so that their true neighbours are found at the recall asked for.
 
 Orders are taken where a larger inner product is a smaller angle: rows get one more component that makes their norms equal
 (queries get 0 there), and the sample's mean is taken off, so vectors of one narrow cone have different orders too.
@@ -11,6 +15,8 @@ Orders are taken where a larger inner product is a smaller angle: rows get one m
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,10 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
+OUT = "query_id long, rank int, vec_id long, score double"
+
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id and embedding (doubles) of rows that take part: no null, non-finite or missing component, and not all zero."""
-    v = vectors.select(vectors[id_col].alias("vec_id"), F.transform(vectors[vec_col], lambda x: x.cast("double")).alias("embedding"))
+    """vec_id and embedding of rows that take part: no null, non-finite or missing component, and not all zero."""
+    v = vectors.select(vectors[id_col].alias("vec_id"), vectors[vec_col].alias("embedding"))
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return v.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & good & F.exists("embedding", lambda x: x != 0))
 
@@ -57,86 +65,157 @@ def permutations(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :k].astype(np.int16)
 
 
-class Postings:
-    """The inverted files of one block: for pivot p, row i holds k - place if p is on i's list, else 0."""
-
-    def __init__(self, perm: np.ndarray, pivots: int):
-        n, k = perm.shape
-        self.files = np.zeros((pivots, n), np.int16)
-        self.files[perm.ravel(), np.repeat(np.arange(n), k)] = np.tile(np.arange(k, 0, -1, dtype=np.int16), n)
-
-    def shared(self, perm: np.ndarray) -> np.ndarray:
-        """Half of what each row's footrule distance to the query's order lacks of the distance of disjoint orders."""
-        total = np.zeros(self.files.shape[1], np.int32)
-        for at, p in enumerate(perm):
-            total += np.minimum(self.files[p], len(perm) - at)
-        return total
-
-
-def search(vectors: DataFrame, every: int = 20, top: int = 20, pivots: int = 512, k: int = 128, share: float = 0.25,
-           block_rows: int = 8192, query_rows: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def weights(perm: np.ndarray, pivots: int, k: int) -> np.ndarray:
+    """For each pivot, k less its place in one query's order; negative beyond the first k places, so each place is told apart."""
+    out = np.full(pivots, -(1 << 15), np.int32)
+    out[perm] = k - np.arange(len(perm))
+    return out
+
+
+def shared(weight: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Half of what the footrule distance of each row's first k places to the query's lacks of that of disjoint lists."""
+    return np.minimum(np.maximum(weight[rows[:, :k]], 0), k - np.arange(k, dtype=np.int32)).sum(axis=1)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+
+
+def _best(ids: np.ndarray, score: np.ndarray, top: int) -> np.ndarray:
+    """Places of the `top` largest scores, ties to the smaller id."""
+    if len(score) > 4 * top:
+        near = np.flatnonzero(score >= np.partition(score, len(score) - top)[len(score) - top])
+        return near[np.lexsort((ids[near], -score[near]))[:top]]
+    return np.lexsort((ids, -score))[:top]
+
+
+class Index:
+    """Pivots of one table of vectors of one length, with what its searches need."""
+
+    def __init__(self, good: DataFrame, dim: int, total: int, k: int, posted: int, most_pivots: int):
+        self.good, self.dim, self.total = good, dim, total
+        count = int(min(most_pivots, max(64, 2 * np.sqrt(total))))
+        sample = good.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(4 * count).collect()
+        sample = np.array([r.embedding for r in sample], np.float64)
+        self.space = Space(sample)
+        self.pivots = _pick(self.space.rows(sample), count)
+        self.k, self.posted = min(k, len(self.pivots)), min(posted, len(self.pivots))
+
+    def calibrate(self, asked: DataFrame, top: int, recall: float, probes: int) -> tuple[int, int]:
+        """(files to read, least `shared` of a pair to be reranked) that find `recall` of the true neighbours of `probes` queries.
+
+        The probes are those with the smallest id hashes; every row meets them, a partition at a time, of which each gives its
+        own best, so probes * top rows a partition are merged.
+        """
+        rows = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(probes).collect()
+        ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float64)
+        space, pivots, k, posted, dim = self.space, self.pivots, self.k, self.posted, self.dim
+        perms = permutations(space.queries(x), pivots, len(pivots))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v, own = _matrix(batch.column(1), dim).astype(np.float64), batch.column(0).to_numpy()
+                perm = permutations(space.rows(v), pivots, max(k, posted))
+                cols: list[list[np.ndarray]] = [[], [], [], [], []]
+                for i, (q, p) in enumerate(zip(x, perms, strict=True)):
+                    other = np.flatnonzero(own != ids[i])
+                    score = (v[other] * q).sum(axis=1)
+                    near = other[_best(own[other], score, top)]
+                    w = weights(p, len(pivots), k)
+                    values = np.full(len(near), i), own[near], (v[near] * q).sum(axis=1), k - w[perm[near, :posted]].max(axis=1), shared(w, perm[near], k)
+                    for c, a in zip(cols, values, strict=True):
+                        c.append(a)
+                q, v_, s, f, w_ = (np.concatenate(c) for c in cols)
+                yield pa.record_batch([pa.array(q.astype(np.int32)), pa.array(v_.astype(np.int64)), pa.array(s.astype(np.float64)), pa.array(f.astype(np.int32)), pa.array(w_.astype(np.int32))], names=["q", "v", "score", "file", "shared"])
+
+        near = self.good.mapInArrow(run, "q int, v long, score double, file int, shared int")
+        place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "v"))
+        true = near.withColumn("r", place).filter(F.col("r") <= top).select("file", "shared").collect()
+        if not true:
+            return len(pivots), 0
+        files = np.sort([r.file for r in true])
+        loss = (1 - recall) / 2  # half of what may be lost to files that are not read, half to the footrule
+        read = int(files[min(len(files) - 1, int(np.ceil((1 - loss) * len(files))))]) + 1
+        return read, int(np.sort([r.shared for r in true])[int(loss * len(true))])
+
+    def search(self, every: int, top: int, recall: float, probes: int, chunk_rows: int) -> DataFrame:
+        space, pivots, k, posted, dim = self.space, self.pivots, self.k, self.posted, self.dim
+        kind = {f.name: f.dataType.simpleString() for f in self.good.schema}
+        asked = stage(self.good.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+        if asked.isEmpty():
+            return asked.sparkSession.createDataFrame([], OUT)
+        read, least = self.calibrate(asked, top, recall, probes)
+
+        def post(place, depth: int, files: int):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if batch.num_rows:
+                        perm = permutations(place(_matrix(batch.column(1), dim).astype(np.float64)), pivots, max(depth, files))
+                        yield pa.record_batch([batch.column(0), batch.column(1), _lists(perm[:, :depth]), _lists(perm[:, :files])], names=["vec_id", "embedding", "perm", "files"])
+
+            return run, f"vec_id {kind['vec_id']}, embedding {kind['embedding']}, perm array<short>, files array<short>"
+
+        # a file's entries are dealt to chunks by hash, and its readers go to all of its chunks
+        entries = stage(self.good.mapInArrow(*post(space.rows, max(k, posted), posted)), "posted").select("vec_id", "embedding", "perm", F.explode("files").alias("file"))
+        sizes = stage(entries.groupBy("file").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks")), "files")
+        left = asked.mapInArrow(*post(space.queries, max(k, read), read)).select("vec_id", "embedding", "perm", F.explode("files").alias("file"))
+        left = left.join(F.broadcast(sizes), "file")  # at most one row a pivot
+        left = left.select("vec_id", "embedding", "perm", "file", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        right = entries.join(F.broadcast(sizes), "file").select("vec_id", "embedding", "perm", "file", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"))
+        count = len(pivots)
+
+        def meet(key: tuple, queries: pa.Table, rows: pa.Table) -> pa.Table:
+            """One chunk of one file: pairs first met here and near enough are reranked; each query gives its best."""
+            got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            if queries.num_rows and rows.num_rows:
+                file = key[0].as_py()
+                ids, x = rows.column("vec_id").to_numpy(), _matrix(rows.column("embedding"), dim).astype(np.float64)
+                perm = _matrix(rows.column("perm"), max(k, posted))
+                orders = _matrix(queries.column("perm"), max(k, read))
+                asked_x = _matrix(queries.column("embedding"), dim).astype(np.float64)
+                for qid, q, order in zip(queries.column("vec_id").to_numpy(), asked_x, orders, strict=True):
+                    w = weights(order[: max(k, read)], count, k)
+                    files = weights(order[:read], count, k)
+                    first = files[perm[:, :posted]].max(axis=1) == files[file]
+                    at = np.flatnonzero(first & (ids != qid))
+                    at = at[shared(w, perm[at], k) >= least]
+                    score = (x[at] * q).sum(axis=1)
+                    best = _best(ids[at], score, top)
+                    got.append((np.full(len(best), qid), ids[at][best], score[best]))
+            q, v, s = (np.concatenate(c) if got else np.zeros(0) for c in (zip(*got, strict=True) if got else ((), (), ())))
+            return pa.table({"query_id": pa.array(q.astype(np.int64)), "vec_id": pa.array(v.astype(np.int64)), "score": pa.array(s.astype(np.float64))})
+
+        found = left.groupBy("file", "chunk").cogroup(right.groupBy("file", "chunk")).applyInArrow(meet, "query_id long, vec_id long, score double")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", place).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+
+def search(vectors: DataFrame, every: int = 20, top: int = 20, recall: float = 0.97, probes: int = 128, k: int = 24, posted: int = 8,
+           most_pivots: int = 8192, chunk_rows: int = 8192, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """For each vector whose id is divisible by `every`, its `top` nearest others found: query_id, rank, vec_id, score.
 
-    Nearness is the largest inner product; ties go to the smaller id. Pivots are chosen among the 4 * pivots rows with the
-    smallest id hashes (the bound of what reaches the driver), near-equal ones last; every row is indexed. Blocks of
-    index rows meet blocks of queries; in each, the `share` nearest by footrule (at least 4 * top, and all that tie with the last)
-    are reranked, and a query's best of all blocks are merged, so a task holds block_rows + query_rows vectors at any size.
-    Nulls: rows with a null id take no part, nor do vectors null, zero or holding null or non-finite components, nor those
-    not of the most common length. Candidates with the query's id are its own; other repeated rows count each, and repeated
-    query ids are asked once, with the smallest vector. Empty input gives no rows. Further columns are not read.
+    Nearness is the largest inner product; ties go to the smaller id. There are 2 * sqrt(rows) pivots, at least 64 and at
+    most `most_pivots`, taken among the rows with the smallest id hashes (4 * most_pivots bound what reaches the driver),
+    near-equal ones last. Every row is indexed, in the files of its `posted` nearest pivots. `recall` is what the depth of the
+    search is set for on `probes` queries, not a promise for the others. A file of more than chunk_rows entries is cut, so a task
+    holds chunk_rows vectors and the queries that read the file.
+    Nulls: rows with a null id take no part, nor do vectors null, zero or holding null or non-finite components. Vectors of
+    each length have an index of their own, as no inner product joins different lengths. Candidates with the query's id are
+    its own; other repeated rows count each, and repeated query ids are asked once, with the smallest vector. Empty input
+    gives no rows. Further columns are not read.
     """
-    good = usable(vectors, id_col, vec_col)
-    sizes = good.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], out)
-    dim, total = sizes[0].d, sizes[0].n
-    good = good.filter(F.size("embedding") == dim)
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivots).collect()
-    sample = np.array([r.embedding for r in sample])
-    space = Space(sample)
-    chosen = _pick(space.rows(sample), pivots)
-    k = min(k, len(chosen))
-
-    def post(batches, place=space.rows):
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column("embedding").flatten().to_numpy().reshape(-1, dim)
-                perm = permutations(place(x), chosen, k)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, perm.size + 1, k, dtype=np.int32)), pa.array(perm.ravel()))
-                yield pa.record_batch([batch.column("vec_id"), batch.column("embedding"), lists], names=["vec_id", "embedding", "perm"])
-
-    ask = lambda batches: post(batches, space.queries)
-    schema = f"vec_id {vectors.schema[id_col].dataType.simpleString()}, embedding array<double>, perm array<short>"
-    index = stage(good.mapInArrow(post, schema), "index")
-    asked = stage(index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(ask, schema), "queries")
-    blocks, qblocks = -(-total // block_rows), max(1, -(-asked.count() // query_rows))
-    spread = lambda n, c: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
-    mod = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = asked.select(mod(qblocks).alias("q"), spread(blocks, "b"), "vec_id", "embedding", "perm")
-    right = index.select(spread(qblocks, "q"), mod(blocks).alias("b"), "vec_id", "embedding", "perm")
-    count = len(chosen)
-
-    def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if queries.num_rows and rows.num_rows:
-            take = lambda t, c, w: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, w)
-            ids = rows.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], take(rows, "embedding", dim)[order]
-            files, n = Postings(take(rows, "perm", k)[order], count), len(ids)
-            few = min(n, max(4 * top, int(np.ceil(share * n))))
-            for qid, q, perm in zip(queries.column("vec_id").to_numpy(), take(queries, "embedding", dim), take(queries, "perm", k), strict=True):
-                near = files.shared(perm)
-                near[ids == qid] = -1
-                best = np.flatnonzero(near >= np.partition(near, n - few)[n - few])
-                best = best[ids[best] != qid]
-                score = (x[best] * q).sum(axis=1)
-                first = np.lexsort((ids[best], -score))[:top]
-                got.append((np.full(len(first), qid), ids[best][first], score[first]))
-        q, v, s = (np.concatenate(c) if got else np.zeros(0) for c in (zip(*got, strict=True) if got else ((), (), ())))
-        return pa.table({"query_id": pa.array(q.astype(np.int64)), "vec_id": pa.array(v.astype(np.int64)), "score": pa.array(s.astype(np.float64))})
-
-    found = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    good = stage(usable(vectors, id_col, vec_col), "vectors")
+    sizes = good.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
+    out = vectors.sparkSession.createDataFrame([], OUT)
+    for i, s in enumerate(sizes):
+        own = good if len(sizes) == 1 else good.filter(F.size("embedding") == s.d)
+        found = Index(own, s.d, s.n, k, posted, most_pivots).search(every, top, recall, probes, chunk_rows)
+        out = found if i == 0 else out.unionByName(found)
+    return out

@@ -154,11 +154,12 @@ def test_permutation_index(spark):
     x = rng.normal(size=(900, 16))
     x[100:140] = x[100]
     rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
-    rows += [(1000, None, 1), (1020, [0.0] * 16, 1), (1040, [float("nan")] + [1.0] * 15, 1), (1060, [None] + [1.0] * 15, 1), (1080, [1.0, 2.0], 1), (None, rows[5][1], 1)]
+    rows += [(1000, None, 1), (1020, [0.0] * 16, 1), (1040, [float("nan")] + [1.0] * 15, 1), (1060, [None] + [1.0] * 15, 1), (1080, [1.0, 2.0], 1), (1081, [1.0, 2.0], 1), (1082, [1.0, -1.0], 1), (None, rows[5][1], 1)]
     f = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     got = collections.defaultdict(list)
-    for r in permutation_index.search(f, block_rows=300, query_rows=20).orderBy("query_id", "rank").collect():
+    for r in permutation_index.search(f, chunk_rows=30).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
+    assert got.pop(1080) == [(1081, 5.0), (1082, -1.0)]  # vectors of another length are held against each other
     assert set(got) == set(range(0, 900, 20))
     hits = 0
     for q, near in got.items():
@@ -175,8 +176,9 @@ def test_permutation_index_of_clusters_and_cones(spark):
     rng = np.random.default_rng(16)
     unit = lambda y: y / np.linalg.norm(y, axis=1, keepdims=True)
     offset = np.eye(24)[0] * 40
+    raw = [rng.normal(size=(3000, 64)) + mean for mean in (0, 1.5, 3)]
     clusters = rng.normal(size=(20, 24))[rng.integers(0, 20, 1600)] + 0.2 * rng.normal(size=(1600, 24))
-    for x in (unit(rng.normal(size=(1600, 24)) + offset), rng.normal(size=(1600, 24)) + offset, clusters, unit(clusters + offset), np.ones((900, 3))):
+    for x in (unit(rng.normal(size=(1600, 24)) + offset), rng.normal(size=(1600, 24)) + offset, clusters, unit(clusters + offset), np.ones((900, 3)), *raw):
         got = collections.defaultdict(set)
         for r in permutation_index.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
             got[r.query_id].add(r.vec_id)
