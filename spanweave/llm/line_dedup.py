@@ -1,10 +1,14 @@
 """Line deduplication with a log-template tree of fixed depth.
 
-A line's tokens with digits are variable fields from the start. Lines fall into leaves by token count and leading tokens;
-in a leaf, each position at which no token holds the majority of the distinct lines becomes a variable field, and lines that
-agree with the leaf's template in enough tokens join it. A template that recurs in many different surroundings is
-boilerplate: its lines are dropped. Surroundings are the templates before and after, so whole copies of a document, whose
-lines keep their neighbours, are left to document-level deduplication. Only hashes of lines are shuffled.
+A line's tokens with digits are variable fields from the start. Lines fall into leaves by token count and leading tokens. In a
+leaf, a token is constant if its place holds it in lines of at least min_docs documents; the other tokens generalise to
+variable fields, and lines that are alike after that form a log group, of which a leaf may have many. A line most of whose
+tokens would be variable stands for itself. A template, that of a group or a line of its own, is boilerplate if it
+recurs in min_docs documents, and its lines are dropped.
+
+Copies are one document: equal texts, and texts of which most words lie in lines that recur elsewhere, which count by the
+least of those lines. So groups of copies are left to document-level deduplication, however many copies they have. Only
+hashes of lines are shuffled, but for the distinct lines of leaves that may hold a group.
 """
 
 from __future__ import annotations
@@ -27,63 +31,77 @@ def _masked(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.trim(F.when(odd(x), F.regexp_replace(x, GAP, " ")).otherwise(x)))
 
 
-def _lines(docs: DataFrame, depth: int, min_tokens: int, id_col: str, text_col: str, whole: bool) -> DataFrame:
-    """A row for each line of at least min_tokens tokens: leaf, h (the masked line's hash), and either its masked text m (whole) or
-    its place (k, kh: the document's id and text hash; line: from 0; context: a hash of the neighbouring lines with a word)."""
-    d = docs.filter(docs[text_col].isNotNull()).select(docs[id_col].alias("k"), F.xxhash64(docs[text_col]).alias("kh"), F.split(docs[text_col], "\n", -1).alias("ls"))
-    d = d.select("k", "kh", _masked(F.col("ls")).alias("ls"))
-    leaf = lambda x: F.xxhash64(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))), F.substring_index(x, " ", depth))
-    size = lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
-    # up to depth tokens, a line is its own leaf and an exact template; with no letter outside its variable fields it is none
-    fit = lambda m: (F.col("size") >= min_tokens) & ((F.col("size") > depth) | m) if min_tokens <= depth else F.col("size") >= min_tokens
-    worded = lambda x: F.replace(x, F.lit("<*>"), F.lit("")).rlike(r"\p{L}")
-    if whole:
-        return d.select(F.explode("ls").alias("m")).select("m", size(F.col("m")).alias("size")).filter(fit(worded(F.col("m")))).select(leaf(F.col("m")).alias("leaf"), F.xxhash64("m").alias("h"), "m")
-    letters = lambda x: [F.when(size(x) <= depth, worded(x)).alias("worded")] if min_tokens <= depth else []
-    facts = F.transform("ls", lambda x, i: F.struct(i.alias("line"), size(x).alias("size"), F.xxhash64(x).alias("h"), leaf(x).alias("leaf"), *letters(x)))
-    also = ["worded"] if min_tokens <= depth else []
+def _size(x: Column) -> Column:
+    return F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+
+
+def _leaf(x: Column, size: Column, depth: int) -> Column:
+    """Up to depth tokens, a line is its own leaf and an exact template."""
+    return F.xxhash64(size, F.substring_index(x, " ", depth))
+
+
+def _worded(x: Column) -> Column:
+    """Whether a line has a letter outside its variable fields: rules, brackets and bare numbers are no template."""
+    return F.when(x.contains("<*>"), F.replace(x, F.lit("<*>"), F.lit(""))).otherwise(x).rlike(r"\p{L}")
+
+
+def _lines(docs: DataFrame, depth: int, id_col: str, text_col: str) -> DataFrame:
+    """A row for each line with a word: k, kh (the document's id and text hash), words (of the whole text), line (from 0), size
+    (tokens), h (the masked line's hash), first (its digest, which orders alike on every engine), leaf."""
+    d = docs.filter(docs[text_col].isNotNull()).select(docs[id_col].alias("k"), F.xxhash64(docs[text_col]).alias("kh"), _masked(F.split(docs[text_col], "\n", -1)).alias("ls"))
+    facts = F.transform("ls", lambda x, i: F.struct(i.alias("line"), _size(x).alias("size"), x.alias("m")))
     d = d.select("k", "kh", F.filter(facts, lambda x: x["size"] > 0).alias("ls"))
-    near = lambda i: F.coalesce(F.get(F.col("ls"), i)["h"], F.lit(0))
-    places = F.transform("ls", lambda x, i: F.struct(x["line"].alias("line"), x["size"].alias("size"), x["h"].alias("h"), x["leaf"].alias("leaf"), F.xxhash64(near(i - 1), near(i + 1)).alias("context"), *[x[c].alias(c) for c in also]))
-    return d.select("k", "kh", F.explode(places).alias("x")).select("k", "kh", "x.*").filter(fit(F.col("worded"))).drop("size", *also)
+    d = d.select("k", "kh", F.aggregate("ls", F.lit(0), lambda a, x: a + x["size"]).alias("words"), F.explode("ls").alias("x")).select("k", "kh", "words", "x.*")
+    d = d.filter(_worded(F.col("m")))
+    return d.select("k", "kh", "words", "line", "size", F.xxhash64("m").alias("h"), F.substring(F.md5("m"), 1, 8).alias("first"), _leaf(F.col("m"), F.col("size"), depth).alias("leaf"))
+
+
+def _forms(docs: DataFrame, depth: int, text_col: str) -> DataFrame:
+    """leaf, h, m of each line of more than depth tokens, for joining: texts of lines are read again rather than carried."""
+    d = docs.filter(docs[text_col].isNotNull()).select(F.explode(_masked(F.split(docs[text_col], "\n", -1))).alias("m")).select("m", _size(F.col("m")).alias("size"))
+    return d.filter((F.col("size") > depth) & _worded(F.col("m"))).select(_leaf(F.col("m"), F.col("size"), depth).alias("leaf"), F.xxhash64("m").alias("h"), "m")
+
+
+def origins(lines: DataFrame, copied: float = 0.8) -> DataFrame:
+    """kh, origin of the texts that count by a line of theirs: `copied` of their words lie in lines found in other texts too."""
+    again = lines.groupBy("h").agg(F.min("kh").alias("a"), F.max("kh").alias("b")).filter("a < b").select("h")
+    held = lines.join(stage(again, "again"), "h", "left_semi").groupBy("kh").agg(F.collect_set(F.struct("line", "size")).alias("ls"), F.max("words").alias("words"), F.min("first").alias("first"))
+    share = F.aggregate("ls", F.lit(0), lambda a, x: a + x["size"]) / F.col("words")
+    return held.filter(share >= copied).select("kh", F.xxhash64(F.lit("line"), "first").alias("origin"))
 
 
-def line_templates(docs: DataFrame, min_contexts: int = 10, depth: int = 3, min_tokens: int = 4, similarity: float = 0.5, id_col: str = "doc_id", text_col: str = "text", after_leaf: bool = False) -> DataFrame:
-    """Per line with at least min_tokens tokens: k, kh, line, context, template; see _lines() for the first four.
+def line_templates(docs: DataFrame, min_docs: int = 10, depth: int = 3, similarity: float = 0.7, copied: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per line of leaves that min_docs lines of several texts fall into: k, kh, line, origin, template; see _lines().
 
-    template is a hash of the leaf's template for lines that joined it, else of the line with its variable fields masked.
-    after_leaf counts agreement on the tokens after the leading ones only, which all lines of a leaf share anyway.
-    Only leaves of several different lines in min_contexts surroundings can bear a template that matters, so only their
-    lines' tokens are looked at, once for each different line.
+    template is a hash of the line's log group, or of the line with its variable fields masked.
     """
-    slim = stage(_lines(docs, depth, min_tokens, id_col, text_col, False), "lines")
-    seen = slim.select("leaf", "h", "context").distinct().groupBy("leaf", "h").agg(F.count("*").alias("n"))
-    leaves = seen.groupBy("leaf").agg(F.count("*").alias("forms"), F.sum("n").alias("n")).filter((F.col("forms") > 1) & (F.col("n") >= min_contexts))
-    leaves = stage(leaves.select("leaf", "forms"), "leaves")
-    several = _lines(docs, depth, min_tokens, id_col, text_col, True).join(leaves, "leaf").groupBy("leaf", "forms", "h").agg(F.first("m").alias("m"))
-    several = stage(several.select("leaf", "forms", "h", F.split("m", " ").alias("tokens")), "forms")
-    cells = several.select("leaf", "forms", F.posexplode("tokens").alias("pos", "token"))
-    major = cells.groupBy("leaf", "forms", "pos", "token").agg(F.count("*").alias("n")).filter("2 * n > forms").groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("fixed"))
-    major = stage(major, "major")  # one row a leaf, so the join below broadcasts it or splits hot leaves
-    fits = several.join(major, "leaf").withColumn("same", F.size(F.filter(F.transform("tokens", lambda t, i: F.element_at("fixed", i) == t), lambda x: x)))
-    given = depth if after_leaf else 0
-    joined = stage(fits.filter(F.col("same") - given >= similarity * (F.size("tokens") - given)).select("leaf", "h"), "joined").withColumn("fits", F.lit(True))
-    discard(several)
-    discard(major)
-    template = F.when(F.col("fits"), F.xxhash64("leaf", F.lit("*"))).otherwise(F.col("h"))
-    return slim.join(joined, ["leaf", "h"], "left").select("k", "kh", "line", "context", template.alias("template"))
-
-
-def dedup_lines(docs: DataFrame, min_contexts: int = 10, depth: int = 3, min_tokens: int = 4, similarity: float = 0.5, id_col: str = "doc_id", text_col: str = "text", after_leaf: bool = False) -> DataFrame:
+    lines = stage(_lines(docs, depth, id_col, text_col), "lines")
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("kh").alias("a"), F.max("kh").alias("b"), F.min("h").alias("c"), F.max("h").alias("d"))
+    leaves = stage(leaves.filter((F.col("n") >= min_docs) & (F.col("a") < F.col("b"))).select("leaf", (F.col("c") < F.col("d")).alias("several")), "leaves")
+    live = lines.join(leaves, "leaf").join(stage(origins(lines, copied), "origins"), "kh", "left")
+    live = stage(live.select("leaf", "several", "h", "k", "kh", "line", F.coalesce("origin", "kh").alias("origin")), "live")
+    discard(lines)
+    seen = live.filter("several").select("leaf", "h", "origin").distinct().groupBy("leaf", "h").agg(F.count("*").alias("n"))
+    forms = _forms(docs, depth, text_col).join(leaves.filter("several").select("leaf"), "leaf", "left_semi").groupBy("leaf", "h").agg(F.first("m").alias("m"))
+    forms = stage(forms.join(seen, ["leaf", "h"]).select("leaf", "h", "n", F.split("m", " ").alias("tokens")), "forms")
+    cells = forms.select("leaf", "h", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token")).filter(F.col("pos") >= depth)
+    fixed = stage(cells.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf", "pos", "token"), "fixed")
+    groups = cells.join(fixed, ["leaf", "pos", "token"]).groupBy("leaf", "h", "size").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("constant"))
+    groups = groups.filter(F.size("constant") >= similarity * (F.col("size") - depth)).select("leaf", "h", F.xxhash64("leaf", "constant").alias("group"))
+    live = live.join(stage(groups, "groups"), ["leaf", "h"], "left")
+    return live.select("k", "kh", "line", "origin", F.coalesce("group", "h").alias("template"))
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, similarity: float = 0.7, copied: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text less its boilerplate lines, and n_lines, n_dropped (long); other columns pass through.
 
-    A template is boilerplate if it is found in at least min_contexts different surroundings. Lines of fewer than min_tokens
-    tokens, and lines without a word, stay. Nulls: a null text stays null with no lines; null ids count as one id.
-    Repeated rows (equal id and text) get equal results and count once. Empty input gives no rows.
+    A template is boilerplate if it is found in at least min_docs documents, copies counting once; what recurs within one
+    document stays. Lines without a letter outside of tokens with digits stay. A line is generalised if at least
+    `similarity` of its tokens after the leading ones are constant. Nulls: a null text stays null with no lines; null ids
+    count as one id. Repeated rows (equal id and text) get equal results and count once. Empty input gives no rows.
     """
-    lines = line_templates(docs, min_contexts, depth, min_tokens, similarity, id_col, text_col, after_leaf)
-    lines = stage(lines, "templates")
-    often = lines.select("template", "context").distinct().groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_contexts)
+    lines = stage(line_templates(docs, min_docs, depth, similarity, copied, id_col, text_col), "templates")
+    often = lines.select("template", "origin").distinct().groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
     often = stage(often.select("template"), "often")
     drops = lines.join(often, "template", "left_semi").groupBy("k", "kh").agg(F.collect_set("line").alias("__sw_lines"))
     drops = drops.select(F.col("k").alias("__sw_k"), F.col("kh").alias("__sw_kh"), "__sw_lines")
@@ -99,19 +117,21 @@ def dedup_lines(docs: DataFrame, min_contexts: int = 10, depth: int = 3, min_tok
     )
 
 
-#: The same in DuckDB SQL at the default parameters, with lines, leaves and templates as texts instead of hashes.
+#: The same in DuckDB SQL at the default parameters, with lines, leaves and groups as texts instead of hashes.
 ORACLE = r"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT rid, unnest(range(0, len(ls))) AS line, unnest(list_transform(ls, lambda x: list_transform(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), lambda y: CASE WHEN regexp_matches(y, '[0-9]') THEN '<*>' ELSE y END))) AS w FROM d WHERE text IS NOT NULL),
-m AS (SELECT rid, line, w, array_to_string(w, ' ') AS m, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf FROM l WHERE len(w) > 0),
-c AS MATERIALIZED (SELECT * FROM (SELECT *, coalesce(lag(m) OVER o, '') || chr(10) || coalesce(lead(m) OVER o, '') AS context FROM m WINDOW o AS (PARTITION BY rid ORDER BY line)) WHERE len(w) >= 4),
-leaves AS (SELECT leaf, count(DISTINCT m) AS forms FROM (SELECT DISTINCT leaf, m, context FROM c) GROUP BY leaf HAVING count(DISTINCT m) > 1 AND count(*) >= 10),
-several AS MATERIALIZED (SELECT DISTINCT leaf, forms, m, w FROM c JOIN leaves USING (leaf)),
-cells AS MATERIALIZED (SELECT leaf, forms, m, len(w) AS size, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM several),
-fixed AS (SELECT leaf, pos, token FROM cells GROUP BY leaf, forms, pos, token HAVING 2 * count(*) > forms),
-joined AS (SELECT leaf, m FROM cells JOIN fixed USING (leaf, pos, token) GROUP BY leaf, m, size HAVING count(*) >= 0.5 * size),
-t AS MATERIALIZED (SELECT rid, line, context, CASE WHEN j.m IS NULL THEN 'line ' || c.m ELSE 'leaf ' || c.leaf END AS template FROM c LEFT JOIN joined j ON c.leaf = j.leaf AND c.m = j.m),
-often AS (SELECT template FROM t GROUP BY template HAVING count(DISTINCT context) >= 10),
+l AS (SELECT rid, text, unnest(range(0, len(ls))) AS line, unnest(list_transform(ls, lambda x: list_transform(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), lambda y: CASE WHEN regexp_matches(y, '[0-9]') THEN '<*>' ELSE y END))) AS w FROM d WHERE text IS NOT NULL),
+m AS MATERIALIZED (SELECT rid, text, line, w, array_to_string(w, ' ') AS m, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf, sum(len(w)) OVER (PARTITION BY rid) AS words FROM l WHERE len(w) > 0),
+c AS MATERIALIZED (SELECT * FROM m WHERE regexp_matches(replace(m, '<*>', ''), '\p{L}')),
+again AS (SELECT m FROM c GROUP BY m HAVING count(DISTINCT text) > 1),
+copies AS (SELECT rid, min(substr(md5(m), 1, 8)) AS origin FROM c WHERE m IN (SELECT m FROM again) GROUP BY rid, words HAVING sum(len(w)) >= 0.8 * words),
+o AS MATERIALIZED (SELECT c.*, coalesce('line ' || origin, 'text ' || text) AS origin FROM c LEFT JOIN copies USING (rid)),
+forms AS MATERIALIZED (SELECT leaf, m, any_value(w) AS w, count(DISTINCT origin) AS n FROM o WHERE len(w) > 3 GROUP BY leaf, m),
+cells AS MATERIALIZED (SELECT leaf, m, n, len(w) AS size, unnest(range(3, len(w))) AS pos, unnest(w[4:]) AS token FROM forms),
+fixed AS (SELECT leaf, pos, token FROM cells GROUP BY leaf, pos, token HAVING sum(n) >= 10),
+grouped AS (SELECT leaf, m, string_agg(pos || ' ' || token, chr(10) ORDER BY pos) AS g FROM cells JOIN fixed USING (leaf, pos, token) GROUP BY leaf, m, size HAVING count(*) >= 0.7 * (size - 3)),
+t AS MATERIALIZED (SELECT rid, line, origin, CASE WHEN g IS NULL THEN 'line ' || o.m ELSE 'leaf ' || o.leaf || chr(10) || g END AS template FROM o LEFT JOIN grouped ON o.leaf = grouped.leaf AND o.m = grouped.m),
+often AS (SELECT template FROM t GROUP BY template HAVING count(DISTINCT origin) >= 10),
 gone AS (SELECT rid, list(line) AS gone FROM t WHERE template IN (SELECT template FROM often) GROUP BY rid)
 SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
   CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)), '') END AS text FROM d LEFT JOIN gone USING (rid)

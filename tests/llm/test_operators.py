@@ -224,22 +224,90 @@ def test_html_extract(spark):
     assert all(got[100 + i].text == f"story {i} goes on" for i in range(15))  # the host's template text is gone
 
 
+def slow_lines(texts, least=10):
+    """Kept lines of each text: log groups, documents and recurrence by their definitions."""
+    mask = lambda line: tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
+    lines = [[mask(x) for x in (t or "").split("\n")] for t in texts]
+    good = lambda m: any(c.isalpha() for w in m if w != "<*>" for c in w)
+    holders = collections.defaultdict(set)
+    for t, ms in zip(texts, lines, strict=True):
+        for m in ms:
+            if good(m):
+                holders[m].add(t)
+    origin = []
+    for t, ms in zip(texts, lines, strict=True):
+        shared = [m for m in ms if good(m) and len(holders[m]) > 1]
+        first = min((hashlib.md5(" ".join(m).encode()).hexdigest()[:8] for m in shared), default="")
+        origin.append(("line", first) if shared and sum(map(len, shared)) >= 0.8 * sum(map(len, ms)) else ("text", t))
+    docs, leaves, places = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(int)
+    for o, ms in zip(origin, lines, strict=True):
+        for m in ms:
+            if good(m):
+                docs[m].add(o)
+                leaves[len(m), m[:3]].add(m)
+    for (size, _), ms in leaves.items():
+        for m in ms:
+            for i in range(3, size):
+                places[size, m[:3], i, m[i]] += len(docs[m])
+    found = collections.defaultdict(set)
+
+    def template(m):
+        held = tuple((i, m[i]) for i in range(3, len(m)) if places[len(m), m[:3], i, m[i]] >= least)
+        return (len(m), m[:3], held) if len(m) > 3 and len(held) >= 0.7 * (len(m) - 3) else m
+
+    for m, o in docs.items():
+        found[template(m)] |= o
+    return ["\n".join(x for x, m in zip(t.split("\n"), ms, strict=True) if not (good(m) and len(found[template(m)]) >= least)) if t is not None else None for t, ms in zip(texts, lines, strict=True)]
+
+
+def _name(i):
+    return "".join(chr(97 + int(c)) for c in str(1000 + i))
+
+
+def line_cases():
+    """name -> (texts, whether the marked lines, those with "mark", go)."""
+    own = lambda i: f"{_name(i)} {_name(i + 3000)} was here\n{_name(i + 5000)} went off to {_name(i + 7000)}"
+    block = ["mark licence one two", "mark you may copy this freely", "mark no warranty at all", "mark end of licence"]
+    rng = random.Random(4)
+    near = "\n".join(f"mark {_text(rng, 9)}" for _ in range(12)).split("\n")
+    return {
+        "a block in many documents": ([own(i) + "\n" + "\n".join(block) + "\n" + own(i + 400) for i in range(20)], True),
+        "a chorus in one document": (["\n".join(f"{_name(i)}\nmark sing it again" for i in range(15)) + "\n" + own(20)], False),
+        "too few documents": ([own(i) + "\nmark only nine of these" for i in range(9)], False),
+        "copies": (["\n".join(near)] * 40, False),
+        "near copies": (["\n".join(x if k != i % 12 else f"{_name(i)} {_name(i + 9000)}" for k, x in enumerate(near)) for i in range(40)], False),
+        "two groups of a leaf": ([own(i) + f"\nmark a user {_name(i)} signed in from home with success\nmark a user {_name(i)} was denied by the second rule" for i in range(24)], True),
+        "one opening": ([own(i) + f"\nmark said that {_name(i)} {_name(i + 50)} {_name(i + 90)}" for i in range(24)], False),
+        "short lines": ([own(i) + "\nmark reserved." for i in range(12)], True),
+        "numbers": ([own(i) + f"\nmark page {i} of {2 * i}" for i in range(12)], True),
+        "rules": ([own(i) + "\n}\n7 - 9" for i in range(12)], False),
+    }
+
+
+def test_line_dedup_cases(spark):
+    for name, (texts, gone) in line_cases().items():
+        kept = [r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+        assert kept == slow_lines(texts), name
+        assert [t.count("mark") for t in kept] == ([0] * len(texts) if gone else [t.count("mark") for t in texts]), name
+
+
 def test_line_dedup(spark):
+    import duckdb
+
     rng = random.Random(8)
-    rows = []
-    for i in range(30):
-        body = [_text(rng, 9) + f" {rng.random()}" for _ in range(3)]
-        rows.append((i, "\n".join([body[0], f"Call us on line {i} today please", body[1], "", "Read our cookie notice in full now", body[2]])))
-    copy = "\n".join(_text(rng, 8) + " z" * k for k in range(1, 5))
-    rows += [(100 + i, copy) for i in range(40)] + [(200, None), (201, ""), (202, "short"), (None, "Read our cookie notice in full now")]
-    out = {}
-    for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        out.setdefault(r.doc_id, []).append(r)
-    for i in range(30):
-        assert out[i][0].n_dropped == 2 and out[i][0].n_lines == 6 and "Call us" not in out[i][0].text and "cookie" not in out[i][0].text
-    assert all(out[100 + i][0].text == copy for i in range(40))  # whole copies are left to document-level deduplication
-    assert (out[200][0].text, out[200][0].n_lines) == (None, 0) and out[201][0].text == "" and out[202][0].n_dropped == 0
-    assert out[None][0].text == ""
+    texts = [t for v, _ in line_cases().values() for t in v]
+    texts += ["\n".join(f"The {rng.choice('abc')} of {rng.choice(['x', 'y'])} {'is' if rng.random() < 0.8 else 'was'} {rng.choice(['in', 'out', 'up'])} {rng.randrange(3)}" for _ in range(6)) for _ in range(60)]
+    texts += [None, "", "short", "\r\n\t  é\x0b été  \n", "word " * 50000 + "\n" + "line\n" * 3000]
+    rows = [(i, t, 5, 6, "h", "l") for i, t in enumerate(texts)] + [(None, texts[0], 5, 6, "h", "l"), (3, texts[3], 5, 6, "h", "l")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines int, line int, h string, leaf string"))
+    assert set(out.columns) == {"doc_id", "text", "n_lines", "n_dropped", "line", "h", "leaf"}
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()), key=str)
+    want = slow_lines([r[1] for r in rows])
+    assert [(i, t) for i, t, *_ in got] == sorted([(r[0], t) for r, t in zip(rows, want, strict=True)], key=str)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert got == sorted([(r[0], r[3], r[1], r[2]) for r in con.sql(line_dedup.ORACLE).fetchall()], key=str)
 
 
 def test_secret_scan(spark):
