@@ -38,12 +38,13 @@ def signals(docs: DataFrame, keep: dict[str, Column], text: Column, window: int
     return d.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(F.when(F.col("s").isNotNull(), covered), F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def host_verdicts(judged: DataFrame, max_rate: float = 0.5) -> DataFrame:
+def host_verdicts(judged: DataFrame, max_rate: float = 0.5, most_weight: float = 20.0) -> DataFrame:
     """judged(host, failed) -> host, n_docs, n_failed, shrunk, host_ok.
 
     The prior beta(a, b) has the mean of all documents and, by the method of moments, the spread of host rates beyond what
-    chance gives. A host is bad if its posterior mean less two posterior deviations is over max_rate, so small hosts need
-    strong evidence. One row per host; the prior is one row of sums.
+    chance gives, but it never weighs more than most_weight documents: where nearly all hosts are alike, the fit alone would
+    let no small host differ from them. A host is bad if its posterior mean less two posterior deviations is over max_rate,
+    so a host of a few documents needs strong evidence. One row per host; the prior is one row of sums.
     """
     by = judged.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     by = by.filter("host IS NOT NULL")
@@ -53,7 +54,7 @@ def host_verdicts(judged: DataFrame, max_rate: float = 0.5) -> DataFrame:
     n = p.n or 1
     m = ((p.f or 0) + 0.5) / (n + 1)
     spread = max((p.q or 0) / n - m * m - m * (1 - m) * (p.k - 1) / n, 1e-6)
-    weight = max(2.0, m * (1 - m) / spread - 1)
+    weight = min(most_weight, max(2.0, m * (1 - m) / spread - 1))
     a, b = F.lit(m * weight) + F.col("n_failed"), F.lit((1 - m) * weight) + F.col("n_docs") - F.col("n_failed")
     mean = a / (a + b)
     low = mean - 2 * F.sqrt(mean * (1 - mean) / (a + b + 1))
@@ -89,7 +90,7 @@ s AS (SELECT doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) AS
 j AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s),
 h AS (SELECT host, count(*) AS n, sum((base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_words)::INT) AS f FROM j WHERE host IS NOT NULL GROUP BY host),
 p AS (SELECT sum(n)::DOUBLE AS n, (sum(f) + 0.5::DOUBLE) / (sum(n) + 1) AS m, count(*) AS k, sum(f::DOUBLE * f / n) AS q FROM h),
-v AS (SELECT m, greatest(2.0::DOUBLE, m * (1 - m) / greatest(q / n - m * m - m * (1 - m) * (k - 1) / n, 1e-6::DOUBLE) - 1) AS weight FROM p),
+v AS (SELECT m, least(20.0::DOUBLE, greatest(2.0::DOUBLE, m * (1 - m) / greatest(q / n - m * m - m * (1 - m) * (k - 1) / n, 1e-6::DOUBLE) - 1)) AS weight FROM p),
 r AS (SELECT host, (m * weight + f) / (weight + n) AS mean, weight + n AS size FROM h, v)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND coalesce(mean - 2 * sqrt(mean * (1 - mean) / (size + 1)) <= 0.5, true) AS kept FROM j LEFT JOIN r ON j.host = r.host
