@@ -37,9 +37,12 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return by.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def draw(key: Column, seed: int) -> Column:
-    """A number in [0, 1) from the MD5 of the seed and the key: 52 bits, alike on every engine and in every rerun."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+def draw(key: Column, text: Column, seed: int) -> Column:
+    """A number in [0, 1) from the MD5 of the seed and the key: 52 bits, alike on every engine and in every rerun.
+
+    A null key is replaced by the text's digest, so that rows without an id are drawn each on its own.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.concat(F.lit("text:"), F.md5(text)), F.lit(""))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
@@ -47,17 +50,17 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per document: doc_id, size, source, source_size, target, copies (0 to cap), taken = size * copies.
 
-    Nulls: a null text has size 0; null sources form one source, last in order; a null id is drawn as the empty string.
-    Rows with equal ids share their draw, so repeated rows are taken alike. A source without words has target 0 and its
+    Nulls: a null text has size 0; null sources form one source, last in order; a null id is drawn by its text.
+    Rows with equal ids (or no id, and equal texts) share their draw, so repeated rows are taken alike. A source without words has target 0 and its
     documents are not taken. Empty input gives no rows. Further columns of docs are not read.
     """
-    slim = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix")
+    slim = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), draw(F.col(id_col), F.col(text_col), seed).alias("__draw")), "mix")
     targets = source_targets(slim, share, cap, weights).withColumnRenamed("source", "__source")
     rows = slim.join(targets, slim["source"].eqNullSafe(targets["__source"]), "left").drop("__source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    copies = whole + F.when(draw(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)
-    return rows.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
+    copies = whole + F.when(F.col("__draw") < rate - whole, 1).otherwise(0)
+    return rows.withColumn("copies", copies.cast("long")).drop("__draw").withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def emit(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: int = 11,
@@ -73,13 +76,13 @@ def emit(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[i
     targets = targets.select(F.col("source").alias("__sw_source"), rate.alias("__sw_rate"))
     rows = docs.join(targets, docs[source_col].eqNullSafe(targets["__sw_source"]), "left")
     whole = F.floor("__sw_rate")
-    copies = whole + F.when(draw(docs[id_col], seed) < F.col("__sw_rate") - whole, 1).otherwise(0)
+    copies = whole + F.when(draw(docs[id_col], docs[text_col], seed) < F.col("__sw_rate") - whole, 1).otherwise(0)
     rows = rows.withColumn("__sw_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
     return rows.select(*[docs[c] for c in docs.columns])
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size FROM documents),
+WITH d AS (SELECT doc_id, text, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, (ARRAY[3, 1, 2])[1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM s0),
 s2 AS (SELECT *, source_size * 2.0::DOUBLE / weight AS ratio FROM s1),
@@ -89,7 +92,7 @@ s3 AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE
 s4 AS (SELECT *, (SELECT level FROM s3 WHERE ratio > level ORDER BY ratio, source_size, level LIMIT 1) AS lev FROM s3),
 s5 AS (SELECT source, source_size, CASE WHEN lev IS NULL OR ratio <= lev THEN source_size * 2.0::DOUBLE ELSE lev * weight END AS target FROM s4),
 r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-  ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, 'text:' || md5(text), '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
   (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
