@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .arrow import strings
+
 #: Fixed patterns of the base kinds, in the order of ties.
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -49,6 +51,8 @@ undefined unit update upload url user username utf-8 util value variable vendor
 webhook while width window worker write xml yaml your_api_key_here your-secret-here changeme example.com www.
 """
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
+_TOKEN = re.compile(r"[A-Za-z0-9+]+")
+_MIXED = re.compile(r"[0-9]\+*[A-Za-z]|[A-Za-z]\+*[0-9]")
 _CONTEXT = re.compile("|".join(map(re.escape, sorted(CONTEXT, key=len, reverse=True))), re.ASCII | re.IGNORECASE)
 
 
@@ -64,42 +68,54 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
 
 
 class Novelty:
-    """Marginal compressed bytes of candidates in sensitive contexts."""
+    """Marginal compressed bytes of candidates in sensitive contexts.
+
+    A run of candidate characters is cut at the sensitive words in it. A piece that a sensitive word precedes on its line
+    within `reach` characters is judged once as a whole, less separators at its ends, and if it fails, each of its tokens
+    between separators once. So every character is compressed at most twice as part of a candidate, however long its run is.
+    """
 
-    def __init__(self, least: float = 0.7, reach: int = 64, around: int = 256):
+    def __init__(self, least: float = 0.7, reach: int = 64, around: int = 256, shortest: int = 16):
         primer = zstandard.ZstdCompressionDict(" ".join(IDENTIFIERS.split()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.size = zstandard.ZstdCompressor(level=9, dict_data=primer, write_checksum=False, write_content_size=False, write_dict_id=False)
-        self.least, self.reach, self.around = least, reach, around
+        self.least, self.reach, self.around, self.shortest = least, reach, around, shortest
 
     def spans(self, text: str, low: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Candidates that a sensitive word precedes on their line within `reach` characters, that mix letters and digits,
-        that no base span touches, and whose marginal cost is at least `least` bytes a character. They never overlap: a run
-        of candidate characters is judged from the first sensitive word before it and, if that fails, from the last one in
-        it, so each is read a bounded number of times, however many sensitive words it holds."""
+        """Added spans: pieces, or tokens of them, of `shortest` characters or more that no base span touches, most of which
+        are tokens of letters mixed with digits, and whose marginal cost is at least `least` bytes a character."""
         if not any(w in low for w in CONTEXT):
             return []
-        starts, ends = _disjoint(base)
+        words = [m.span() for m in _CONTEXT.finditer(text)]
+        ends, starts = [e for _, e in words], [s for s, _ in words]
+        taken = _disjoint(base)
         found: list[tuple[int, int, int]] = []
-        done = stop = 0
-        for word in _CONTEXT.finditer(text):
-            reach = min(len(text), word.end() + self.reach)
-            line = text.find("\n", word.end(), reach)
-            end = reach if line < 0 else line
-            while near := CANDIDATE.search(text, max(word.end(), done), end + 16):
-                at = near.start()
-                if at >= end:
-                    break
-                if at >= stop:
-                    stop = CANDIDATE.match(text, at).end()
-                s, done = text[at:stop], stop
-                i = bisect_left(starts, stop) - 1
-                free = i < 0 or ends[i] <= at
-                if free and any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and self.novel(text, at, stop):
-                    found.append((at, 3, stop))
-                else:
-                    done = max((w.end() for w in _CONTEXT.finditer(text, at, stop)), default=stop)
+        for run in CANDIDATE.finditer(text):
+            lo = run.start()
+            for k in range(bisect_left(starts, lo), bisect_left(starts, run.end()) + 1):
+                hi = min(words[k][0], run.end()) if k < len(words) else run.end()
+                last = bisect_right(ends, lo) - 1
+                if hi - lo >= self.shortest and last >= 0 and lo < ends[last] + self.reach and "\n" not in text[ends[last] : lo]:
+                    found += self.pieces(text, lo, hi, taken)
+                lo = words[k][1] if k < len(words) else hi
         return found
 
+    def pieces(self, text: str, lo: int, hi: int, taken: tuple[list[int], list[int]]) -> list[tuple[int, int, int]]:
+        tokens = [(lo + m.start(), lo + m.end()) for m in _TOKEN.finditer(text[lo:hi])]
+        if not tokens:
+            return []
+        for part in ([tokens], [[t] for t in tokens if len(tokens) > 1]):
+            hit = []
+            for group in part:
+                a, b = group[0][0], group[-1][1]
+                i = bisect_left(taken[0], b) - 1
+                free = i < 0 or taken[1][i] <= a
+                mixed = sum(y - x for x, y in group if _MIXED.search(text, x, y))
+                if free and b - a >= self.shortest and 2 * mixed > b - a and self.novel(text, a, b):
+                    hit.append((a, 3, b))
+            if hit:
+                return hit
+        return []
+
     def novel(self, text: str, start: int, end: int) -> bool:
         before, after = text[max(0, start - self.around) : start], text[end : end + self.around]
         bare, full = (before + after).encode(), (before + text[start:end] + after).encode()
@@ -144,8 +160,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
         novelty = Novelty(least)
         for batch in batches:
             counts, digests, spans = ([], [], [], []), [], []
-            for t in batch.column(1):
-                base, more = scan_text(t.as_py() or "", novelty)
+            for t in strings(batch.column(1)):
+                base, more = scan_text(t or "", novelty)
                 for k in range(3):
                     counts[k].append(sum(1 for x in base if x[1] == k))
                 counts[3].append(len(more))
