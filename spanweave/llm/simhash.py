@@ -5,6 +5,10 @@ permuted keys, chosen so that every pair within the radius agrees on a whole key
 each bucket by bit planes: plane i of 64 lanes is one machine word, distances of many lanes are counted at once by
 carry-save counters, and a block is abandoned once all of its lanes exceed the radius. A bucket emits only a spanning forest
 of its links, and components are found by star rounds.
+
+near_groups() links fingerprints within a radius. near_copies() links texts by the similarity of their shingles, which no small
+radius reaches: there min-hash bands of the shingles make the buckets, the bit-sliced comparison at a wide radius sorts out
+what is not alike, and exact similarity decides the rest.
 """
 
 from __future__ import annotations
@@ -16,35 +20,37 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .arrow import utf8
+from .common import discard, stage
 from .components import components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Words of the text with A-Z lowered; each run of `shingle` words, repeats included, votes by its XXH64 (seed 42)."""
-    found = _WORD.findall((text or "").encode().translate(_LOWER))
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The XXH64 (seed 42) of each run of `shingle` words with A-Z lowered, repeats included; fewer words are one run."""
+    found = _WORD.findall(text.translate(_LOWER))
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     row = b" ".join(found)
     if len(found) <= shingle:
-        return xxhash.xxh64_intdigest(row, 42)
+        return np.array([xxhash.xxh64_intdigest(row, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.concatenate([[0], ends[:-1]]).tolist()
     h, view = xxhash.xxh64_intdigest, memoryview(row)
-    hashes = [h(view[s:e], 42) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=False)]
-    n = len(hashes)
+    return np.array([h(view[s:e], 42) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=False)], np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """A bit is set if over half of the hashes have it; no hash at all gives zero."""
     votes = np.zeros(64, np.int64)
-    every = np.array(hashes, dtype=np.uint64)
-    for k in range(0, n, 65536):
-        votes += np.unpackbits(every[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * votes > n, bitorder="little")
-    return int(bits.view(np.uint64)[0])
+    for k in range(0, len(hashes), 65536):
+        votes += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def planes_of(x: np.ndarray) -> np.ndarray:
@@ -57,26 +63,26 @@ def planes_of(x: np.ndarray) -> np.ndarray:
 def within(plane, rows: int, words: int, radius: int) -> np.ndarray:
     """(rows, words) whose bits tell which lanes have at most radius bits set among 64 planes.
 
-    plane(i, alive) gives plane i of the rows still alive. Carry-save counting: `ones`, `twos`, `fours` hold each lane's
-    count modulo 8, and `over` those that passed 7 or the radius for good. After every 8 planes, rows (blocks of lanes) all
-    of whose lanes are over are abandoned.
+    plane(i, alive) gives plane i of the rows still alive. Carry-save counting: the counters hold each lane's count, a bit
+    each, as far as the radius needs, and `over` those that passed it for good. After every 8 planes, rows (blocks of lanes)
+    all of whose lanes are over are abandoned.
     """
     alive = np.arange(rows)
-    ones, twos, fours, over = (np.zeros((rows, words), np.uint64) for _ in range(4))
-    out = np.zeros((rows, words), np.uint64)
+    counters = [np.zeros((rows, words), np.uint64) for _ in range(max(1, radius.bit_length()))]
+    over, out = np.zeros((rows, words), np.uint64), np.zeros((rows, words), np.uint64)
     for i in range(64):
         x = plane(i, alive)
-        carry = ones & x
-        ones ^= x
-        x = twos & carry
-        twos ^= carry
-        over |= fours & x
-        fours ^= x
+        for c in counters:
+            carry = c & x
+            c ^= x
+            x = carry
+        over |= x
         if i % 8 == 7:
-            over |= _above(ones, twos, fours, radius)
+            over |= _above(counters, radius)
             live = (~over).any(axis=1)
             if not live.all():
-                alive, ones, twos, fours, over = alive[live], ones[live], twos[live], fours[live], over[live]
+                alive, over = alive[live], over[live]
+                counters = [c[live] for c in counters]
                 if not len(alive):
                     return out
     out[alive] = ~over
@@ -98,15 +104,15 @@ def rows_within(queries: np.ndarray, planes: np.ndarray, radius: int, n: int) ->
     return lanes(within(lambda i, alive: planes[i][None, :] ^ flip[i, alive][:, None], len(queries), planes.shape[1], radius), n)
 
 
-def _above(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose 3-bit count exceeds radius (0 to 7), by comparison from the highest bit."""
-    above, equal = np.zeros_like(ones), ~np.zeros_like(ones)
-    for plane, bit in ((fours, radius >> 2 & 1), (twos, radius >> 1 & 1), (ones, radius & 1)):
-        if bit:
-            equal &= plane
+def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count, given from its lowest bit, exceeds the radius, by comparison from the highest bit."""
+    above, equal = np.zeros_like(counters[0]), ~np.zeros_like(counters[0])
+    for i in range(len(counters) - 1, -1, -1):
+        if radius >> i & 1:
+            equal &= counters[i]
         else:
-            above |= equal & plane
-            equal &= ~plane
+            above |= equal & counters[i]
+            equal &= ~counters[i]
     return above
 
 
@@ -252,7 +258,8 @@ def near_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
+            data, at = utf8(batch.column(1))
+            fps = np.fromiter((fingerprint(shingle_hashes(data[a:b].tobytes(), shingle)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -265,3 +272,106 @@ def near_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
     named = root.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
     return slim.join(named, slim["fp"] == named["__fp"]).select("doc_id", "fp", "component_id")
+
+
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
+    """For each band, a hash of its number and its `rows` min-hashes, as signed 64-bit numbers."""
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 1 << 63, (2, bands * rows, 1), dtype=np.uint64)
+    a = 2 * a + np.uint64(1)
+    least = np.full(bands * rows, ~np.uint64(0))
+    for k in range(0, len(hashes), 2048):
+        least = np.minimum(least, (hashes[None, k : k + 2048] * a + b).min(axis=1))
+    return [xxhash.xxh64_intdigest(least[i * rows : (i + 1) * rows].tobytes(), i) - (1 << 63) for i in range(bands)]
+
+
+def _within_radius(radius: int):
+    """Pairs (a, b, fa, fb) whose fingerprints lie within the radius."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fa, fb = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fa", "fb"))
+            if batch.num_rows:
+                yield batch.filter(pa.array(pairs_within(fa, fb, radius))).select(["a", "b"])
+
+    return run
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of pairs (a, b) whose sets have a Jaccard similarity of at least `least`."""
+    left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    return both.filter(F.col("n") / (F.size("sa") + F.size("sb") - F.col("n")) >= least).select("a", "b")
+
+
+def similar_links(bands: DataFrame, sets: DataFrame, least: float, radius: int) -> DataFrame:
+    """bands(key, node, fp), distinct -> node, root: components of all pairs that share a key and are similar enough.
+
+    In rounds, a growing number of pivots of each bucket is held against its other members outside the pivot's component, so
+    a large group of copies costs about its size, while at the end every two members are connected or were compared.
+    """
+    spark, links, live, pivots = bands.sparkSession, None, bands.withColumn("c", F.col("node")), 1
+    roots = spark.createDataFrame([], "node long, root long")
+    while True:
+        open_ = live.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+        live = stage(live.join(open_, "key", "left_semi"), "live")
+        if live.isEmpty():
+            return roots
+        place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+        pivot = stage(live.withColumn("place", place).filter(F.col("place") <= pivots).drop("place"), "pivots")
+        met = pivot.select("key", F.struct("node", "fp").alias("p"), F.col("c").alias("pc")).join(live.withColumn("q", F.struct("node", "fp")), "key").filter("pc <> c")
+        met = met.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
+        pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.fp").alias("fa"), F.col("y.fp").alias("fb"))
+        pairs = stage(pairs.mapInArrow(_within_radius(radius), "a long, b long"), "pairs")
+        found = _similar(pairs, sets, least)
+        links = stage(found if links is None else links.unionByName(found), "links")
+        roots = components(links)
+        rest = live.join(pivot, ["key", "node"], "left_anti").select("key", "node", "fp")
+        rest = rest.join(roots, "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("c"))
+        live, pivots = stage(rest, "rest"), 4 * pivots
+        discard(pairs)
+        discard(pivot)
+
+
+def near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, radius: int = 28, bands: int = 24, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, component_id: the smallest doc_id that pairs of at least `least` Jaccard similarity reach from it.
+
+    A pair of similarity s shares a bucket with probability 1 - (1 - s^rows)^bands: 0.99993 at 0.8, 0.999999 at 0.85; radius
+    bits leave room for texts of few shingles, whose votes are close. Pairs below `least` are never linked. Nulls: null and
+    wordless texts are alike; a row with a null id links others, and takes null only if its whole component has no id.
+    Repeated rows repeat. Empty input gives no rows. Further columns are not read.
+    """
+
+    def every(column: pa.Array) -> Iterator[np.ndarray]:
+        data, at = utf8(column)
+        return (shingle_hashes(data[a:b].tobytes(), shingle) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+    def distinct(hashes: np.ndarray) -> np.ndarray:
+        return np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys = np.zeros(batch.num_rows, np.uint64), []
+            for i, hashes in enumerate(every(batch.column(2))):
+                fps[i] = fingerprint(hashes)
+                keys.append(band_keys(distinct(hashes), bands, rows))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "keys"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [distinct(hashes).view(np.int64) for hashes in every(batch.column(1))]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "s"])
+
+    node: Column = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    kind = docs.schema[id_col].dataType.simpleString()
+    slim = docs.select(docs[id_col].alias("doc_id"), node.alias("node"), docs[text_col].alias("t"))
+    slim = stage(slim.mapInArrow(sign, f"doc_id {kind}, node long, fp long, keys array<long>"), "signs")
+    keyed = slim.select("node", "fp", F.explode("keys").alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
+    found = stage(keyed.join(shared, "key", "left_semi").select("key", "node", "fp"), "bands")
+    texts = docs.select(node.alias("node"), docs[text_col].alias("t")).join(found.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sets = stage(texts.mapInArrow(gather, "node long, s array<long>"), "sets")
+    roots = similar_links(found, sets, least, radius)
+    named = slim.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    named = stage(named, "roots")
+    return named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
