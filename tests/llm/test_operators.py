@@ -59,6 +59,27 @@ def test_host_verdict(spark):
     bad = [("bad", True)] * 40 + [("good", False)] * 200 + [("tiny", True)] + [(None, True)] * 5
     got = {r.host: r.host_ok for r in quality_rules.host_verdicts(spark.createDataFrame(bad, "host string, failed boolean")).collect()}
     assert got == {"bad": False, "good": True, "tiny": True}
+    many = spark.range(1000 * 200).select((F.col("id") % 1000).cast("string").alias("host"), (F.floor(F.col("id") / 1000) % 10 == 0).alias("failed"))
+    small = spark.createDataFrame([("small", True)] * 50 + [("mixed", i % 4 > 0) for i in range(20)], "host string, failed boolean")
+    assert [r.host for r in quality_rules.host_verdicts(many.union(small)).filter("NOT host_ok").collect()] == ["small"]
+
+
+def _equal_to_sql(frame, got, sql):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", [tuple(r) for r in frame.select("doc_id", "text", "lang", "source").collect()])
+    want = con.sql(sql)
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r[c] for c in want.columns)) for r in got.collect())
+
+
+def test_quality_rules_reject_a_host(spark, frame):
+    bad = spark.createDataFrame([(1000 + i, "a b c" if i % 9 else _text(random.Random(i), 40), "en", "bad") for i in range(60)], "doc_id long, text string, lang string, source string")
+    both = frame.select("doc_id", "text", "lang", "source").union(bad)
+    got = quality_rules.judge(both)
+    assert got.filter("NOT kept AND NOT base_failed").count() > 0
+    _equal_to_sql(both, got, quality_rules.ORACLE)
 
 
 def test_suffix_dedup(frame, docs):
@@ -127,7 +148,8 @@ def test_bit_sliced_links(spark):
     near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 4
     assert (simhash.rows_within(x[:50], simhash.planes_of(x), 4, len(x)) == near[:50]).all()
     i, j = rng.integers(0, len(x), (2, 5000))
-    assert (simhash.pairs_within(x[i], x[j], 4) == near[i, j]).all()
+    for radius in (0, 4, 7, 8, 28, 63, 64):
+        assert (simhash.pairs_within(x[i], x[j], radius) == (np.bitwise_count(x[i] ^ x[j]) <= radius)).all()
     label = np.arange(len(x))
     for _ in range(len(x)):
         new = np.where(near, label[None, :], len(x)).min(axis=1)
@@ -320,16 +342,73 @@ def test_secret_scan(spark):
     assert got[5].spans == "hex:2:42" and got[6].spans == "" and got[7].spans == "" and got[8].spans == "assign:0:19"
 
 
-def test_secret_scan_long_runs():
-    """Added spans never overlap, and a run with many sensitive words is not read once for each."""
+def slow_secrets(text, novelty):
+    """Added spans by their definition: every maximal run, every cut at a sensitive word, every token."""
+    base, taken = [(a, b) for a, _, b in secret_scan.base_spans(text, text.lower())], set()
+    for a, b in base:
+        taken |= set(range(a, b))
+    good = re.compile(r"[A-Za-z0-9+/_=~.-]+")
+    words = [m.span() for m in re.finditer("|".join(sorted(map(re.escape, secret_scan.CONTEXT), key=len, reverse=True)), text, re.ASCII | re.IGNORECASE)]
+    inside, out = set(), []
+    for a, b in words:
+        inside |= set(range(a, b))
+    for run in good.finditer(text):
+        if run.end() - run.start() < 16:
+            continue
+        marks = [i for i in range(run.start(), run.end()) if i not in inside]
+        pieces, at = [], run.start()
+        for a, b in [*[w for w in words if run.start() <= w[0] < run.end()], (run.end(), run.end())]:
+            pieces.append((at, a))
+            at = b
+        assert sum(max(0, b - a) for a, b in pieces) == len(marks)
+        for a, b in pieces:
+            before = [e for _, e in words if e <= a]
+            if b - a < 16 or not before or a - before[-1] >= 64 or "\n" in text[before[-1] : a]:
+                continue
+            tokens = [(a + m.start(), a + m.end()) for m in re.finditer(r"[^/_=~.-]+", text[a:b])]
+            for groups in [[tokens]] + [[[t] for t in tokens]] * (len(tokens) > 1):
+                hits = []
+                for g in groups:
+                    if not g:
+                        continue
+                    x, y = g[0][0], g[-1][1]
+                    mixed = sum(q - p for p, q in g if any(c.isdigit() != d.isdigit() for c, d in zip(*[[c for c in text[p:q] if c != "+"][k:] for k in (0, 1)], strict=False)))
+                    if y - x >= 16 and 2 * mixed > y - x and not taken & set(range(x, y)) and novelty.novel(text, x, y):
+                        hits.append((x, 3, y))
+                if hits:
+                    out += hits
+                    break
+    return out
+
+
+def test_secrets_match_brute_force():
+    rng, novelty = random.Random(13), secret_scan.Novelty()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n=24: "".join(rng.choice(letters) for _ in range(n))
+    parts = [lambda: rng.choice(secret_scan.CONTEXT), lambda: rng.choice("_/.-= :\n+"), key, lambda: key(40), lambda: "session_manager", lambda: "password = ", lambda: "the", lambda: "a" * 20, lambda: "é"]
+    found = 0
+    for _ in range(300):
+        text = "".join(rng.choice(parts)() + rng.choice(["", "_", " ", "\n"]) for _ in range(rng.randrange(1, 14)))
+        base, more = secret_scan.scan_text(text, novelty)
+        assert more == sorted(slow_secrets(text, novelty)), text
+        found += len(more)
+    assert found > 50
+    late = [secret_scan.scan_text(f"password_{key()}_token_session_manager_for_all_of_the_users_here", novelty)[1] for _ in range(100)]
+    assert sum(map(bool, late)) >= 95
+    slugs = [secret_scan.scan_text(f"see token https/site/articles/{rng.choice('abc')}-{rng.choice(['trip', 'walk'])}-{rng.randrange(2000, 2030)}-guide", novelty)[1] for _ in range(100)]
+    assert not any(slugs)
+
+
+def test_secret_scan_long_runs(spark):
     novelty, key = secret_scan.Novelty(), "q7Zk29fLmX0vB4tRw8YpN3sD"
-    assert secret_scan.scan_text("client_id token_pwd_" + key, novelty)[1] == [(10, 3, 44)]
-    late = "credential password_password_password_password_password_password_" + key
-    assert secret_scan.scan_text(late, novelty)[1] == [(late.index("_" + key), 3, len(late))]
+    assert secret_scan.scan_text("client_id token_pwd_" + key, novelty)[1] == [(20, 3, 44)]
     assert secret_scan.scan_text("token " * 20000 + "client_id " + key, novelty)[1] == [(120010, 3, 120010 + len(key))]
     began = time.process_time()
     assert secret_scan.scan_text("pwd " + "token/" * 50000, novelty) == ([], [])
+    assert secret_scan.scan_text("pwd " + "ab1/" * 200000, novelty)[1] == []
     assert time.process_time() - began < 10
+    odd = spark.createDataFrame([(1, "x", "s")], "doc_id long, t string, spans string").withColumn("text", F.expr("cast(X'746f6b656e3d6162ff' as string)"))
+    assert secret_scan.scan(odd).collect()[0].n_assign == 0 and simhash.near_groups(odd).count() == 1 and simhash.near_copies(odd).count() == 1
 
 
 def slow_bits(texts, text):
@@ -396,8 +475,16 @@ def test_mixing(frame, docs):
         assert r.target == pytest.approx(target[r.source]) and r.source_size == size[r.source] and r.taken in (0, r.size, 2 * r.size)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(frame).collect()))
     assert mixing.emit(frame).groupBy("doc_id").count().count() <= len({r.doc_id for r in rows if r.copies})
+    _equal_to_sql(frame, mixing.mix(frame), mixing.ORACLE)
+
+
+def test_mixing_without_ids(spark):
+    d = spark.createDataFrame([(None, f"{i} " * 100, None, "a") for i in range(500)] + [(i, "x " * 100, None, "b") for i in range(500)], "doc_id long, text string, lang string, source string")
+    for r in mixing.mix(d).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
+        assert 0.9 < r.taken / r.target < 1.1
+    assert 300 < mixing.emit(d).filter("source = 'a'").select("text").distinct().count()
 
 
-@pytest.mark.parametrize("run", [quality_rules.judge, suffix_dedup.dedup, simhash.near_groups, packing.pack, line_dedup.dedup_lines, secret_scan.scan, language_id.identify, mixing.mix, mixing.emit])
+@pytest.mark.parametrize("run", [quality_rules.judge, suffix_dedup.dedup, simhash.near_groups, simhash.near_copies, packing.pack, line_dedup.dedup_lines, secret_scan.scan, language_id.identify, mixing.mix, mixing.emit])
 def test_empty_tables(frame, run):
     assert run(frame.limit(0)).count() == 0
