@@ -1,4 +1,4 @@
-"""A corpus pipeline: language ID, line dedup, near-duplicate removal by SimHash and then by Jaccard similarity, mixing, packing.
+"""A corpus pipeline: language ID, line dedup, near-duplicate removal by SimHash, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the columns
 of docs. run() writes every stage's rows as Parquet to the shared folder and rereads them.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import language_id, line_dedup, minhash, mixing, packing, simhash
+from spanweave.llm import language_id, line_dedup, mixing, packing, simhash
 from spanweave.llm.common import stage, table
 
 #: A document whose language the model gives less than this share is rejected.
@@ -47,13 +47,9 @@ def _firsts(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, one row stays: that with the smallest doc_id (null last), then text hash."""
-    return _firsts(docs, simhash.near_groups(_named(docs)))
-
-
-def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same for texts whose five-word shingles have a Jaccard similarity of at least 0.8, however far their fingerprints."""
-    return _firsts(docs, minhash.near_copies(_named(docs)))
+    """Of each group of texts whose five-word shingles have a Jaccard similarity of at least 0.8, one row stays: that with the
+    smallest doc_id (null last), then text hash. Rows with equal ids and different texts are each in the group of their text."""
+    return _firsts(docs, simhash.near_copies(_named(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +64,6 @@ STAGES = [
     ("language_id", identify_language),
     ("line_dedup", drop_lines),
     ("near_dedup", drop_near_copies),
-    ("similar_dedup", drop_similar),
     ("mixing", mix_sources),
     ("packing", pack_batches),
 ]
