@@ -7,8 +7,8 @@ carry-save counters, and a block is abandoned once all of its lanes exceed the r
 of its links, and components are found by star rounds.
 
 near_groups() links fingerprints within a radius. near_copies() links texts by the similarity of their shingles, which no small
-radius reaches: there min-hash bands of the shingles make the buckets, the bit-sliced comparison at a wide radius sorts out
-what is not alike, and exact similarity decides the rest.
+radius reaches: there min-hash bands and the rarest shingles make the buckets, the bit-sliced comparison at a wide radius sorts
+out what is not alike, and exact similarity decides the rest.
 """
 
 from __future__ import annotations
@@ -304,31 +304,54 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.filter(F.col("n") / (F.size("sa") + F.size("sb") - F.col("n")) >= least).select("a", "b")
 
 
-def similar_links(bands: DataFrame, sets: DataFrame, least: float, radius: int) -> DataFrame:
-    """bands(key, node, fp), distinct -> node, root: components of all pairs that share a key and are similar enough.
-
-    In rounds, a growing number of pivots of each bucket is held against its other members outside the pivot's component, so
-    a large group of copies costs about its size, while at the end every two members are connected or were compared.
+def rare_prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """sets(node, fp, s) -> node, fp, n (size), own (shingles no other set has), keys: the rest of its rarest shingles, each
+    (x, place), as far as two sets of that similarity must have one in common: the n - ceil(least * n) + 1 rarest. place is
+    the shingle's rank in its set, from 1, by frequency and then hash."""
+    tokens = sets.select("node", F.explode("s").alias("x"))
+    shared = tokens.groupBy("x").agg(F.count("*").alias("k")).filter("k > 1")
+    ranked = tokens.join(shared, "x").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("rest"))
+    d = sets.select("node", "fp", F.size("s").cast("long").alias("n")).join(ranked, "node", "left")
+    d = d.withColumn("own", F.col("n") - F.coalesce(F.size("rest"), F.lit(0)))
+    length = (F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1 - F.col("own")).cast("int")
+    keys = F.transform(F.slice("rest", F.lit(1), F.greatest(length, F.lit(0))), lambda r, i: F.struct(r["x"].alias("x"), (F.col("own") + i + 1).alias("place")))
+    return d.select("node", "fp", "n", "own", keys.alias("keys"))
+
+
+def similar_links(bands: DataFrame, prefixes: DataFrame, sets: DataFrame, least: float, radius: int) -> DataFrame:
+    """bands(key, node) and rare_prefixes() -> node, root: components of all pairs that share a band and are similar enough.
+
+    First, one pivot of each band's bucket is held against its other members: the one with the fewest shingles of its own, to
+    which copies made from it link. Then the rare shingles make the buckets, and a growing number of pivots of each is held
+    against its other members outside the pivot's component, until every two members are connected or were compared. Two sets
+    share no more than what follows their first common shingle in either, so pairs that cannot be similar are not formed:
+    texts that have a common stock but differ elsewhere meet in no bucket, and copies are one component before they could.
     """
-    spark, links, live, pivots = bands.sparkSession, None, bands.withColumn("c", F.col("node")), 1
-    roots = spark.createDataFrame([], "node long, root long")
+    facts = prefixes.select("node", "fp", "n", "own")
+    live = bands.select("key", "node").join(facts, "node").select("key", "node", "fp", "n", "own", F.lit(1).cast("long").alias("place"), F.col("node").alias("c"))
+    later = prefixes.select("node", "fp", "n", "own", F.explode("keys").alias("x")).select(F.col("x.x").alias("key"), "node", "fp", "n", "own", "x.place")
+    links, roots, pivots, first = None, bands.sparkSession.createDataFrame([], "node long, root long"), 1, True
     while True:
         open_ = live.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
         live = stage(live.join(open_, "key", "left_semi"), "live")
-        if live.isEmpty():
+        if live.isEmpty() and not first:
             return roots
-        place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        pivot = stage(live.withColumn("place", place).filter(F.col("place") <= pivots).drop("place"), "pivots")
-        met = pivot.select("key", F.struct("node", "fp").alias("p"), F.col("c").alias("pc")).join(live.withColumn("q", F.struct("node", "fp")), "key").filter("pc <> c")
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("own") / F.col("n"), "node"))
+        pivot = stage(live.withColumn("r", place).filter(F.col("r") <= pivots).drop("r"), "pivots")
+        left = pivot.select("key", F.struct("node", "fp").alias("p"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("place").alias("pplace"))
+        right = live.select("key", F.struct("node", "fp").alias("q"), "c", "n", "place")
+        most = 1 + F.least(F.col("pn") - F.col("pplace"), F.col("n") - F.col("place"))
+        met = left.join(right, (left["key"] == right["key"]) & (F.col("pc") != F.col("c")) & (most * (1 + least) >= least * (F.col("pn") + F.col("n")) - 1e-6))
         met = met.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
         pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.fp").alias("fa"), F.col("y.fp").alias("fb"))
         pairs = stage(pairs.mapInArrow(_within_radius(radius), "a long, b long"), "pairs")
-        found = _similar(pairs, sets, least)
-        links = stage(found if links is None else links.unionByName(found), "links")
-        roots = components(links)
-        rest = live.join(pivot, ["key", "node"], "left_anti").select("key", "node", "fp")
-        rest = rest.join(roots, "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("c"))
-        live, pivots = stage(rest, "rest"), 4 * pivots
+        found = stage(_similar(pairs, sets, least), "found")
+        if not found.isEmpty():
+            links = stage(found if links is None else links.unionByName(found), "links")
+            roots = components(links)
+        rest = later if first else live.drop("c").join(pivot.select("key", "node"), ["key", "node"], "left_anti")
+        rest = rest.join(roots, "node", "left").select("key", "node", "fp", "n", "own", "place", F.coalesce("root", "node").alias("c"))
+        live, pivots, first = stage(rest, "rest"), 1 if first else 16 * pivots, False
         discard(pairs)
         discard(pivot)
 
@@ -359,8 +382,8 @@ def near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, radius: i
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [distinct(hashes).view(np.int64) for hashes in every(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "s"])
+            found = [distinct(hashes).view(np.int64) for hashes in every(batch.column(2))]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["node", "fp", "s"])
 
     node: Column = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -369,9 +392,9 @@ def near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, radius: i
     keyed = slim.select("node", "fp", F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     found = stage(keyed.join(shared, "key", "left_semi").select("key", "node", "fp"), "bands")
-    texts = docs.select(node.alias("node"), docs[text_col].alias("t")).join(found.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    sets = stage(texts.mapInArrow(gather, "node long, s array<long>"), "sets")
-    roots = similar_links(found, sets, least, radius)
+    texts = docs.select(node.alias("node"), docs[text_col].alias("t")).join(found.select("node", "fp").distinct(), "node").dropDuplicates(["node"])
+    sets = stage(texts.select("node", "fp", "t").mapInArrow(gather, "node long, fp long, s array<long>"), "sets")
+    roots = similar_links(found, stage(rare_prefixes(sets, least), "prefixes"), sets, least, radius)
     named = slim.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     named = stage(named, "roots")
     return named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
