@@ -77,7 +77,7 @@ def repeated_ngrams(spark, sf):
 
 
 def count_histogram(spark, sf):
-    return ngrams.histogram(ngrams.repeated(ngrams.counts(_names(spark, sf))))
+    return ngrams.histogram(ngrams.counts(_names(spark, sf)))
 
 
 def corpus_statistics(spark, sf):

@@ -69,7 +69,12 @@ def _with(*parts: str) -> str:
 _ROOT = """SELECT query, left(query, n) AS "match", (SELECT ngram FROM labels l WHERE contains(l.ngram, left(query, prefix.n)) ORDER BY l.n, l.ngram LIMIT 1) AS root FROM prefix
   WHERE EXISTS (SELECT 1 FROM labels l WHERE contains(l.ngram, left(query, prefix.n)))"""
 
+#: A corpus of the part names and the part types, parsed as a whole: what insertion has to come to.
+_GROWN = _with("labels").replace(_PARTS["corpus"], """SELECT row_number() OVER (ORDER BY text) - 1 AS text_id, text FROM (SELECT p_name AS text FROM part WHERE length(p_name) > 0
+      UNION SELECT lower(p_type) FROM part WHERE length(p_type) > 0)""")
+
 SQL = {
+    "insert_texts": _GROWN + "SELECT ngram, n, kind FROM labels",
     "ngram_occurrences": _with("occ") + "SELECT text_id, pos, n, ngram FROM occ",
     "occurrence_context": _with("occ") + """SELECT text_id, pos, n, ngram, CASE WHEN pos > 0 THEN substring(text, pos, 1) END AS prev,
       CASE WHEN pos + n < length(text) THEN substring(text, pos + n + 1, 1) END AS next FROM occ""",
@@ -80,7 +85,7 @@ SQL = {
       UNION ALL SELECT unnest(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])) FROM d
       UNION ALL SELECT unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) FROM d) GROUP BY ngram""",
     "repeated_ngrams": _with("vocab") + "SELECT ngram, n, cnt FROM vocab WHERE cnt > 1",
-    "count_histogram": _with("vocab") + "SELECT cnt, count(*) AS ngrams FROM vocab WHERE cnt > 1 GROUP BY cnt",
+    "count_histogram": _with("vocab") + "SELECT cnt, count(*) AS ngrams FROM vocab GROUP BY cnt",
     "corpus_statistics": "SELECT count(*) AS texts, sum(length(text))::BIGINT AS characters, max(length(text)) AS longest, max(strlen(text)) AS longest_bytes FROM documents WHERE length(text) > 0",
     "vocab_roots_leaves": _with("vocab") + "SELECT ngram, n, cnt, is_root, is_leaf FROM vocab",
     "first_seen_roots": _with("occ") + "SELECT ngram, n FROM (SELECT *, row_number() OVER (PARTITION BY ngram ORDER BY text_id, pos) AS r FROM occ) WHERE r = 1 AND n = length(text)",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 #: Start positions a chunk, in two rounds of cutting: substring() walks from the start of what it cuts.
 CHUNKS = (8192, 64)
+TOKEN_CHUNK = 256
 
 
 def _cut(size: int, max_n: int):
@@ -55,9 +56,13 @@ def counts(corpus: DataFrame, max_n: int | None = None, min_n: int = 1) -> DataF
 def token_counts(tokens: DataFrame, max_n: int, column: str = "tokens") -> DataFrame:
     """gram (array<string>), n, cnt of token arrays: keys are arrays, so tokens may hold any character."""
     d = tokens.select(F.col(column).alias("w")).filter(F.size("w") > 0)
-    d = d.select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("p"))
-    d = d.select("w", "p", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_n), F.size("w") - F.col("p") + 1))).alias("n"))
-    return d.groupBy(F.slice("w", F.col("p"), F.col("n")).alias("gram")).agg(F.count("*").alias("cnt")).select("gram", F.size("gram").alias("n"), "cnt")
+    # pieces of start positions with the tokens they need, so no row carries a whole text for each of its positions
+    starts = F.sequence(F.lit(1), F.size("w"), F.lit(TOKEN_CHUNK))
+    d = d.select(F.explode(F.transform(starts, lambda p: F.struct(F.least(F.lit(TOKEN_CHUNK), F.size("w") - p + 1).alias("starts"), F.slice("w", p, TOKEN_CHUNK + max_n - 1).alias("w")))).alias("x")).select("x.*")
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.least(F.col("starts"), F.size("w") - n + 1)), lambda p: F.slice("w", p, n))
+    some = [F.when(F.size("w") >= n, grams(n)).otherwise(F.array().cast("array<array<string>>")) for n in range(1, max_n + 1)]
+    d = d.select(F.explode(F.concat(*some)).alias("gram"))
+    return d.groupBy("gram").agg(F.count("*").alias("cnt")).select("gram", F.size("gram").alias("n"), "cnt")
 
 
 def repeated(counted: DataFrame) -> DataFrame:

@@ -9,13 +9,15 @@ from ..functions.ngrams import occurrences
 from ..plans.tables import settle
 
 
-def vocabulary(corpus: DataFrame, max_n: int | None = None) -> DataFrame:
+def vocabulary(corpus: DataFrame, max_n: int | None = None, only: DataFrame | None = None) -> DataFrame:
     """vocab(ngram, n, cnt, is_root, is_leaf, first_root, closed) in one aggregation, the only shuffle of n-grams.
 
     is_root: equal to a whole text. first_root: whole at its first sighting in corpus order (which depends on that order).
-    closed: no extension by one character, on either side, has the same count.
+    closed: no extension by one character, on either side, has the same count. only(ngram) restricts it to those n-grams.
     """
-    occ = occurrences(corpus, max_n).withColumn("whole", F.col("prev").isNull() & F.col("next").isNull())
+    occ = occurrences(corpus, max_n)
+    occ = occ if only is None else occ.join(only, "ngram", "left_semi")
+    occ = occ.withColumn("whole", F.col("prev").isNull() & F.col("next").isNull())
     v = occ.groupBy("ngram").agg(
         F.count("*").alias("cnt"), F.max("whole").alias("is_root"), F.min_by("whole", F.struct("text_id", "pos")).alias("first_root"),
         *[f(c).alias(f"{c}_{f.__name__}") for c in ("prev", "next") for f in (F.count, F.min, F.max)],

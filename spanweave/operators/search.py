@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ngrams import occurrences
+from ..plans.tables import settle
+from .containment import vocabulary
 from .cover import maximal
-from .labels import wrapper_labels
+from .labels import base_labels, wrapper_labels
 
 
 def match_patterns(a: Column, b: Column) -> Column:
@@ -93,10 +96,18 @@ def blocks(queries: DataFrame, alphabet: DataFrame) -> DataFrame:
     return q.withColumn("island", F.col("pos") - place).groupBy("query", "known", "island").agg(F.min("pos").alias("start"), F.count("*").alias("length")).select("query", "start", "length", "known")
 
 
-def inserted(corpus: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """labels after texts(text) become labelled: their characters and themselves join, and overlap closes over the texts."""
-    new = texts.filter(F.length("text") > 0).select(F.col("text").alias("ngram")).union(texts.filter(F.length("text") > 0).select(F.explode(F.split("text", "")))).distinct()
-    new = new.join(labels, "ngram", "left_anti").select("ngram", F.length("ngram").alias("n"), F.when(F.length("ngram") == 1, "leaf").otherwise("root").alias("kind"))
-    grown = labels.select("ngram", "n", "kind").unionByName(new)
-    own = texts.filter(F.length("text") > 0).select(F.xxhash64("text").alias("text_id"), "text").unionByName(corpus.select("text_id", "text"))
-    return grown.unionByName(wrapper_labels(own, grown).withColumn("kind", F.lit("wrapper")))
+def inserted(corpus: DataFrame, labels: DataFrame, texts: DataFrame, max_n: int | None = None) -> DataFrame:
+    """label(ngram, n, kind) of the corpus with texts(text) added, from the labels of the corpus alone.
+
+    Only n-grams of the new texts can change: others keep their counts, and so do all their extensions. So those alone are
+    counted again, over all texts; what was closed stays closed. Wrappers then close over all texts. Texts that the corpus has
+    already add nothing.
+    """
+    new = texts.filter(F.length("text") > 0).select("text").distinct().join(corpus.select("text"), "text", "left_anti")
+    new = settle(new.select(F.xxhash64("text").alias("text_id"), "text"), "new")
+    every = corpus.filter(F.length("text") > 0).select(F.xxhash64("text").alias("text_id"), "text").distinct().unionByName(new)
+    touched = settle(occurrences(new, max_n, ngrams_only=True).distinct(), "touched")
+    again = base_labels(vocabulary(every, max_n, touched))
+    kept = labels.filter("kind <> 'wrapper'").select("ngram", "n", "kind").join(again, "ngram", "left_anti")
+    base = settle(kept.unionByName(again), "base")
+    return base.unionByName(wrapper_labels(every, base, max_n).withColumn("kind", F.lit("wrapper")))

@@ -37,29 +37,31 @@ class Parsed:
 def parse_corpus(corpus: DataFrame, until: Stage = Stage.FINISHED, max_n: int | None = None, resume: Parsed | None = None,
                  progress: Callable[[Stage], None] | None = None, cancelled: Callable[[], bool] | None = None) -> Parsed:
     """Runs the stages that `resume` has not run yet. max_n bounds n-grams, which long texts need: labels are then exact up
-    to that width. progress is told each stage; cancelled is asked between stages, and jobs run under the tag of the run."""
+    to that width. progress is told each stage before it runs; cancelled is asked between stages. Run it by run_tagged() to stop its jobs."""
     out = resume or Parsed(non_empty(corpus))
 
-    def enter(stage: Stage) -> bool:
-        if cancelled and cancelled():
-            raise Cancelled(stage.name)
-        if out.stage < stage <= until:
-            if progress:
-                progress(stage)
-            out.stage = stage
-            return True
-        return False
-
-    if enter(Stage.CONTAINMENT):
+    def contained() -> None:
         out.vocab = settle(containment.vocabulary(out.corpus, max_n), "vocab")
         out.containment = containment.edges(out.vocab)
-    if enter(Stage.FREQUENCY):
+
+    def frequent() -> None:
         out.labels = labels.base_labels(out.vocab)
-    if enter(Stage.WRAPPERS):
+
+    def wrapped() -> None:
         out.labels = settle(labels.all_labels(out.corpus, out.vocab, max_n), "labels")
-    if enter(Stage.PARTITIONS):
+
+    def partitioned() -> None:
         out.graph, out.labels = partition.partition_graph(out.labels)
-    enter(Stage.FINISHED)
+
+    work = {Stage.CONTAINMENT: contained, Stage.FREQUENCY: frequent, Stage.WRAPPERS: wrapped, Stage.PARTITIONS: partitioned, Stage.FINISHED: lambda: None}
+    for stage, run in work.items():
+        if cancelled and cancelled():
+            raise Cancelled(stage.name)
+        if out.stage < stage <= until:
+            if progress:
+                progress(stage)
+            run()
+            out.stage = stage  # only now: a run that failed is resumed with this stage
     return out
 
 

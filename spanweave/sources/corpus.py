@@ -52,7 +52,8 @@ def non_empty(corpus: DataFrame) -> DataFrame:
 
 def corpus_name(corpus: DataFrame) -> DataFrame:
     """One row: a name that depends on the texts and their order, by an order-free sum of hashes of (id, text)."""
-    return corpus.agg(F.lower(F.hex(F.sum(F.xxhash64("text_id", "text").cast("decimal(38,0)")).cast("long"))).alias("name"), F.count("*").alias("texts"))
+    total = F.coalesce(F.sum(F.xxhash64("text_id", "text").cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return corpus.agg(F.lower(F.hex(F.xxhash64(total))).alias("name"), F.count("*").alias("texts"))
 
 
 def sequences(events: DataFrame, user: str, order: list[str], token: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +35,16 @@ class ImageStore:
         fs.delete(path, True)
 
     def store(self, key: str, tables: dict[str, DataFrame]) -> None:
+        """Tables are written to a folder beside the image and appear under its key at once, by a rename."""
+        aside = f".{key}-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/{key}/{name}")
+            df.write.parquet(f"{self.root}/{aside}/{name}")
+        path, fs = self._path(key)
+        fs.mkdirs(path.getParent())
+        fs.delete(path, True)
+        if not fs.rename(self._path(aside)[0], path):
+            fs.delete(self._path(aside)[0], True)
+            raise StorageError(f"{key} cannot be renamed into place")
 
     def load(self, key: str) -> dict[str, DataFrame]:
         if not self.exists(key):

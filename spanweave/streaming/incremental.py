@@ -15,20 +15,29 @@ class StreamingCounts:
     """Counts of n-grams over all texts seen, each distinct text once, as snapshots in a folder.
 
     A micro-batch is merged in foreachBatch: its new texts are those no earlier batch had, its counts are added to the last
-    snapshot. Snapshots bear the batch's number, so a batch that runs again writes the same result again.
+    snapshot. Snapshots bear the batch's number and are found by it in the folder, so a batch that runs again, or one that a
+    new process runs after a restart, starts from the snapshot before its own and writes the same result again.
     """
 
     def __init__(self, spark: SparkSession, max_n: int | None = None, root: str | None = None):
         self.spark, self.max_n = spark, max_n
         self.root = root or f"{shared_dir(spark)}/spanweave/stream-{uuid.uuid4().hex}"
-        self.last: int | None = None
+
+    def _before(self, number: int | None = None) -> int | None:
+        """The last whole snapshot before a batch (or of all)."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/texts")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return None
+        done = [int(s.getPath().getName()) for s in fs.listStatus(path) if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return max((n for n in done if number is None or n < number), default=None)
 
     def _read(self, kind: str, batch: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{kind}/{batch}")
 
     def merge(self, batch: DataFrame, number: int) -> None:
         texts = batch.filter(F.length("text") > 0).select("text").distinct()
-        before = None if self.last is None else (self.last if self.last < number else number - 1)
+        before = self._before(number)
         if before is not None:
             texts = texts.join(self._read("texts", before), "text", "left_anti")
         texts = texts.withColumn("text_id", F.xxhash64("text"))
@@ -39,8 +48,7 @@ class StreamingCounts:
             total = total.unionByName(self._read("counts", before)).groupBy("ngram", "n").agg(F.sum("cnt").alias("cnt"))
             seen = seen.unionByName(self._read("texts", before))
         total.write.mode("overwrite").parquet(f"{self.root}/counts/{number}")
-        seen.write.mode("overwrite").parquet(f"{self.root}/texts/{number}")
-        self.last = number
+        seen.write.mode("overwrite").parquet(f"{self.root}/texts/{number}")  # last: it marks the snapshot as whole
 
     def run(self, texts: DataFrame) -> DataFrame:
         """Consumes all that a streaming DataFrame of (text) has now; ngram, n, cnt."""
@@ -49,6 +57,7 @@ class StreamingCounts:
         return self.counts()
 
     def counts(self) -> DataFrame:
-        if self.last is None:
+        last = self._before()
+        if last is None:
             return self.spark.createDataFrame([], "ngram string, n int, cnt long")
-        return self._read("counts", self.last).select("ngram", "n", "cnt")
+        return self._read("counts", last).select("ngram", "n", "cnt")

@@ -11,6 +11,7 @@ from spanweave.sources.corpus import EmptyVocabularyError, from_texts, joined, c
 from spanweave.sources.graphs import pattern_graph
 from spanweave.sources.storage import ImageStore, NotFoundError
 
+#: Required values of the specification: four sentences and their labels.
 MOPS = ["ottos mops trotzt", "otto: fort mops fort", "ottos mops hopst fort", "otto: soso"]
 MOPS_FREQUENCY = {"ot", "s ", "so", "os", "t ", "ops", "otto", " mops ", "otto: ", " fort", "ottos mops "}
 MOPS_WRAPPERS = {
@@ -120,6 +121,63 @@ def test_search_and_insert(spark):
     assert "abab" in {r.ngram for r in grown.collect()} and grown.count() >= lab.count()
 
 
+def test_insertion_equals_a_fresh_parse(spark):
+    rng = random.Random(9)
+    cases = [(["xab", "zyx", "xyb"], ["xaby", "zabw", "qxabq"]), (["aabb", "bbaa"], ["abab", "aabb", "bb"]), (["hello", "world"], ["held", "word", "low"]), (["a", "b", "c"], ["abc"])]
+    cases += [(["".join(rng.choice("ab") for _ in range(rng.randrange(2, 8))) for _ in range(3)], ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 8))) for _ in range(2)]) for _ in range(2)]
+    for old, new in cases:
+        old = sorted(set(old))
+        c = from_texts(spark, old)
+        lab = labels.all_labels(c, containment.vocabulary(c))
+        got = {(r.ngram, r.kind) for r in search.inserted(c, lab, spark.createDataFrame([(t,) for t in new], "text string")).collect()}
+        assert got == {(g, k) for k, v in kinds(spark, sorted({*old, *new})).items() for g in v}, (old, new)
+
+
+def test_failed_stage_is_resumed(spark, monkeypatch):
+    out = parse_corpus(from_texts(spark, MOPS), until=Stage.CONTAINMENT)
+    with monkeypatch.context() as m:
+        m.setattr(labels, "base_labels", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            parse_corpus(out.corpus, resume=out)
+    assert out.stage == Stage.CONTAINMENT
+    assert parse_corpus(out.corpus, until=Stage.WRAPPERS, resume=out).labels.filter("kind = 'wrapper'").count() == len(MOPS_WRAPPERS)
+
+
+def test_streams_replay_and_restart(spark, tmp_path):
+    from spanweave.streaming.incremental import StreamingCounts
+
+    frame = lambda *t: spark.createDataFrame([(x,) for x in t], "text string")
+    want = {r.ngram: r.cnt for r in containment.vocabulary(from_texts(spark, ["abc", "bcd", "cde"])).collect()}
+    s = StreamingCounts(spark, root=f"file://{tmp_path}/s")
+    s.merge(frame("abc"), 0)
+    s.merge(frame("abc"), 0)
+    s.merge(frame("bcd", "abc"), 1)
+    again = StreamingCounts(spark, root=f"file://{tmp_path}/s")
+    again.merge(frame("bcd", "abc"), 1)
+    again.merge(frame("cde", None, ""), 2)
+    assert {r.ngram: r.cnt for r in again.counts().collect()} == want
+    assert StreamingCounts(spark, root=f"file://{tmp_path}/none").counts().count() == 0
+
+
+def test_token_counts(spark):
+    from spanweave.functions import ngrams
+
+    tokens = [[str(random.Random(i).randrange(9)) for _ in range(n)] for i, n in enumerate((0, 1, 2, 255, 256, 257, 900))]
+    want = {}
+    for w in tokens:
+        for n in (1, 2, 3):
+            for i in range(len(w) - n + 1):
+                want[tuple(w[i : i + n])] = want.get(tuple(w[i : i + n]), 0) + 1
+    assert {tuple(r.gram): r.cnt for r in ngrams.token_counts(spark.createDataFrame([(w,) for w in tokens], "tokens array<string>"), 3).collect()} == want
+
+
+def test_tsv(spark, tmp_path):
+    from spanweave.sources.corpus import from_tsv
+
+    (tmp_path / "t.tsv").write_text('id\ttext\n1\tab "c\n2\té😀\n3\t\n')
+    assert {r.text for r in from_tsv(spark, f"file://{tmp_path}/t.tsv").collect()} == {'ab "c', "é😀"}
+
+
 def test_trace(spark):
     found = spark.createDataFrame([("bcx", "bc", "abcd"), ("q", "q", "q")], "query string, match string, root string")
     assert {tuple(r) for r in search.trace(found).collect()} == {
@@ -147,11 +205,17 @@ def test_names_grammars_and_store(spark, tmp_path):
     c = from_texts(spark, ["b", "a"])
     assert c.agg(joined(c).alias("t")).first().t == "b a"
     assert corpus_name(c).first() != corpus_name(from_texts(spark, ["a", "b"])).first()
+    assert len({corpus_name(from_texts(spark, [f"{k}{i}" for i in range(200)])).first().name for k in "abc"}) == 3 and corpus_name(c.limit(0)).count() == 1
     assert pattern_graph(spark, {"abc": [["ab", "c"], ["a", "bc"]]}).count() == 4
     with pytest.raises(ValueError):
         pattern_graph(spark, {"abc": [["a", "c"]]})
     store = ImageStore(spark, f"file://{tmp_path}")
     assert store.through("k", lambda: {"corpus": c})["corpus"].count() == 2 and store.exists("k")
+    with pytest.raises(Exception):
+        store.store("half", {"corpus": c, "broken": c.select(F.raise_error(F.lit("no")).alias("x"))})
+    assert not store.exists("half")
+    store.store("k", {"corpus": c.limit(1)})
+    assert store.load("k")["corpus"].count() == 1
     store.remove("k")
     with pytest.raises(NotFoundError):
         store.load("k")
