@@ -323,7 +323,8 @@ def similar_links(bands: DataFrame, prefixes: DataFrame, sets: DataFrame, least:
 
     First, one pivot of each band's bucket is held against its other members: the one with the fewest shingles of its own, to
     which copies made from it link. Then the rare shingles make the buckets, and a growing number of pivots of each (256 at
-    first, which is all of most buckets) is held against its other members outside the pivot's component, until every two members are connected or were compared. Two sets
+    first, which is all of most buckets) is held against its other members outside the pivot's component, until every two
+    members are connected or were compared. Two sets
     share no more than what follows their first common shingle in either, so pairs that cannot be similar are not formed:
     texts that have a common stock but differ elsewhere meet in no bucket, and copies are one component before they could.
     """
