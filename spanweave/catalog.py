@@ -220,6 +220,37 @@ def insert_texts(spark, sf):
     return search.inserted(_names(spark, sf), _labels(spark, sf), _types(spark, sf).select(F.col("query").alias("text")))
 
 
+def insert_grammar(spark, sf):
+    """The grammar of the part names after the part types were inserted, from that of the names alone."""
+    old = _labels(spark, sf)
+    new = search.inserted(_names(spark, sf), old, _types(spark, sf).select(F.col("query").alias("text")))
+    return partition.repartitioned(partition.partition_static(old), old, settle(new, "grown"))
+
+
+def rule_union(spark, sf):
+    """The grammar's patterns before those of the containment graph, for each label."""
+    d = partition.rule_union(_grammar(spark, sf), containment.edges(_vocab(spark, sf)).join(_labels(spark, sf).select(F.col("ngram").alias("parent")), "parent", "left_semi"))
+    return d.select("parent", F.array_join(d["bounds"].cast("array<string>"), ",").alias("bounds"), "given")
+
+
+def example_graphs(spark, sf):
+    one, two, three = (graphs.example(spark, k).withColumn("graph", F.lit(k)) for k in (1, 2, 3))
+    return one.union(two).union(three)
+
+
+def vocab_widest_first(spark, sf):
+    return containment.widest_first(_vocab(spark, sf)).select("ngram", "n", "cnt")
+
+
+def most_frequent_ngrams(spark, sf):
+    return ngrams.most_frequent_first(ngrams.counts(_names(spark, sf)))
+
+
+def shared_ngrams(spark, sf):
+    """The n-grams that part names and part types have in common, with their counts in the names."""
+    return containment.shared(_vocab(spark, sf), containment.vocabulary(_types(spark, sf).select(F.xxhash64("query").alias("text_id"), F.col("query").alias("text")))).select("ngram", "n", "cnt")
+
+
 def match_patterns(spark, sf):
     q = search.largest_prefix(_types(spark, sf), _vocab(spark, sf))
     m = search.match_patterns(F.col("query"), F.col("match"))
@@ -298,7 +329,7 @@ _ALL = (
     vocab_roots_leaves, first_seen_roots, containment_edges, bottom_up_neighbours, node_degree, nodes_by_width, edge_offsets, frequency_labels, wrapper_labels,
     all_labels, child_cover, cover_overlaps, cover_hull, partition_static, partition_graph, partition_offsets, partition_cells, digrams, pattern_splits, joined_partitions,
     reconstruct_texts, grammar_nodes, grammar_edges, count_propagation, search_largest_prefix, search_root, search_trace, read_decomposition, unknown_blocks,
-    insert_texts, match_patterns, neighbourhood, cond_prob, prob_within_n, next_token, most_likely_next, backoff, node_contexts, similarity, semantic_distance,
+    insert_texts, insert_grammar, rule_union, example_graphs, vocab_widest_first, most_frequent_ngrams, shared_ngrams, match_patterns, neighbourhood, cond_prob, prob_within_n, next_token, most_likely_next, backoff, node_contexts, similarity, semantic_distance,
     word_ngrams, event_ngrams, scalar_functions, streaming_counts,
 )
 

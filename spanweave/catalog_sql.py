@@ -6,6 +6,8 @@ boundary coverage, covers by anti-joins.
 
 from __future__ import annotations
 
+from .sources.graphs import EXAMPLES
+
 _PARTS = {
     "corpus": "SELECT row_number() OVER (ORDER BY p_name) - 1 AS text_id, p_name AS text FROM (SELECT DISTINCT p_name FROM part WHERE length(p_name) > 0)",
     "queries": "SELECT DISTINCT lower(p_type) AS query FROM part WHERE length(p_type) > 0",
@@ -70,11 +72,25 @@ _ROOT = """SELECT query, left(query, n) AS "match", (SELECT ngram FROM labels l
   WHERE EXISTS (SELECT 1 FROM labels l WHERE contains(l.ngram, left(query, prefix.n)))"""
 
 #: A corpus of the part names and the part types, parsed as a whole: what insertion has to come to.
-_GROWN = _with("labels").replace(_PARTS["corpus"], """SELECT row_number() OVER (ORDER BY text) - 1 AS text_id, text FROM (SELECT p_name AS text FROM part WHERE length(p_name) > 0
-      UNION SELECT lower(p_type) FROM part WHERE length(p_type) > 0)""")
+_GROWN, _GROWN_GRAMMAR = (_with(x).replace(_PARTS["corpus"], """SELECT row_number() OVER (ORDER BY text) - 1 AS text_id, text FROM (SELECT p_name AS text FROM part WHERE length(p_name) > 0
+      UNION SELECT lower(p_type) FROM part WHERE length(p_type) > 0)""") for x in ("labels", "grammar"))
+
+#: The example graphs as rows of (graph, parent, pattern_id, cells).
+_EXAMPLES = ", ".join(f"({g}, '{parent}', {i}, {cells})" for g, rules in EXAMPLES.items() for parent, patterns in rules.items() for i, cells in enumerate(patterns))
 
 SQL = {
     "insert_texts": _GROWN + "SELECT ngram, n, kind FROM labels",
+    "insert_grammar": _GROWN_GRAMMAR + "SELECT * FROM grammar",
+    "rule_union": _with("labels", "edges", "grammar") + """, first AS (SELECT DISTINCT parent, list("offset" ORDER BY "offset") AS b FROM grammar WHERE "offset" > 0 GROUP BY parent, pattern_id),
+      second AS (SELECT DISTINCT parent, ["offset"] AS b FROM edges WHERE "offset" > 0 AND parent IN (SELECT ngram FROM labels))
+      SELECT parent, array_to_string(b, ',') AS bounds, 'first' AS given FROM first UNION ALL
+      SELECT parent, array_to_string(b, ','), 'second' FROM second s WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.parent = s.parent AND list_has_all(s.b, f.b))""",
+    "example_graphs": f"""WITH rules(graph, parent, pattern_id, cells) AS (VALUES {_EXAMPLES}), c AS (SELECT *, unnest(range(1, len(cells) + 1)) AS i FROM rules)
+      SELECT graph, parent, pattern_id, (i - 1)::INT AS sub_index, length(array_to_string(cells[1:i - 1], ''))::INT AS "offset", cells[i] AS child, length(cells[i])::INT AS child_n FROM c""",
+    "vocab_widest_first": _with("vocab") + "SELECT ngram, n, cnt FROM vocab ORDER BY n DESC, ngram",
+    "most_frequent_ngrams": _with("vocab") + "SELECT ngram, n, cnt FROM vocab ORDER BY cnt DESC, ngram",
+    "shared_ngrams": _with("vocab", "queries") + """SELECT ngram, n, cnt FROM vocab WHERE ngram IN (SELECT substring(query, pos + 1, n) FROM
+      (SELECT *, unnest(range(1, length(query) - pos + 1)) AS n FROM (SELECT query, unnest(range(0, length(query))) AS pos FROM queries)))""",
     "ngram_occurrences": _with("occ") + "SELECT text_id, pos, n, ngram FROM occ",
     "occurrence_context": _with("occ") + """SELECT text_id, pos, n, ngram, CASE WHEN pos > 0 THEN substring(text, pos, 1) END AS prev,
       CASE WHEN pos + n < length(text) THEN substring(text, pos + n + 1, 1) END AS next FROM occ""",

@@ -69,6 +69,10 @@ def repeated(counted: DataFrame) -> DataFrame:
     return counted.filter("cnt > 1")
 
 
+def most_frequent_first(counted: DataFrame) -> DataFrame:
+    return counted.orderBy(F.desc("cnt"), "ngram")
+
+
 def histogram(counted: DataFrame) -> DataFrame:
     """cnt, ngrams: how many n-grams have each count."""
     return counted.groupBy("cnt").agg(F.count("*").alias("ngrams"))

@@ -66,6 +66,15 @@ def by_width(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("n").agg(F.count("*").alias("nodes"), F.sum("cnt").alias("occurrences"))
 
 
+def widest_first(vocab: DataFrame) -> DataFrame:
+    return vocab.orderBy(F.desc("n"), "ngram")
+
+
+def shared(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The n-grams of a that b has too."""
+    return a.join(b.select("ngram"), "ngram", "left_semi")
+
+
 def edge_offsets(edge: DataFrame) -> DataFrame:
     """(parent, child, offsets): where in the parent the child lies, as a sorted array."""
     return edge.groupBy("parent", "child").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))

@@ -12,13 +12,14 @@ from .cover import child_cover, inner_intervals, maximal
 EDGE = "parent string, pattern_id int, sub_index int, offset int, child string, child_n int"
 
 
-def partition_static(labels: DataFrame) -> DataFrame:
-    """partition_edge of every label of two characters or more, for labels closed under overlap.
+def partition_static(labels: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """partition_edge of every label of two characters or more (of parents(ngram, n) alone, if given), for labels closed
+    under overlap.
 
     With LP and LS the longest labelled proper prefix and suffix: if they overlap there are two patterns, [LP, rest] and
     [rest, LS]; else the cover tiles the string and is the only pattern.
     """
-    inner = inner_intervals(labels)
+    inner = inner_intervals(labels, parents)
     n = F.length("parent")
     ends = inner.groupBy("parent").agg(F.max(F.when(F.col("offset") == 0, F.col("child_n"))).alias("lp"), F.max(F.when(F.col("offset") + F.col("child_n") == n, F.col("child_n"))).alias("ls"))
     cell = lambda p, i, at, size: F.struct(F.lit(p).alias("pattern_id"), F.lit(i).alias("sub_index"), at.cast("int").alias("offset"), F.substring("parent", at + 1, size).alias("child"))
@@ -30,6 +31,18 @@ def partition_static(labels: DataFrame) -> DataFrame:
     return crossed.unionByName(tiled).withColumn("child_n", F.length("child"))
 
 
+def repartitioned(edges: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """partition_edge of the labels `new` from that of the labels `old`: only labels that came or hold one that came or went are
+    partitioned again, all others keep their rows."""
+    came = new.select("ngram", "n").join(old.select("ngram"), "ngram", "left_anti")
+    went = old.select("ngram", "n").join(new.select("ngram"), "ngram", "left_anti")
+    changed = settle(came.union(went), "changed")
+    holders = inner_intervals(changed, new).select(F.col("parent").alias("ngram")).distinct()
+    again = settle(new.select("ngram", "n").join(holders.union(came.select("ngram")).distinct(), "ngram", "left_semi"), "again")
+    stays = edges.join(again.union(changed).select(F.col("ngram").alias("parent")), "parent", "left_anti")
+    return stays.select("parent", "pattern_id", "sub_index", "offset", "child", "child_n").unionByName(partition_static(new, again))
+
+
 def pack_lines(parent: str, cells: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     """First-fit lines of (offset, width) cells: a cell joins the line with the last start that ends before it.
 
@@ -111,6 +124,17 @@ def reconstructed(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return every.groupBy("text").agg(spelled.alias("spelled"))
 
 
+def rule_union(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(parent, bounds, given): the patterns of both edge tables as their inner boundaries, those of `first` before those of
+    `second`: a pattern of second that has all boundaries of one of first, and so only cuts its cells further, goes."""
+    inner = F.sort_array(F.collect_list(F.when(F.col("offset") > 0, F.col("offset"))))
+    bounds = lambda edges: edges.groupBy("parent", "pattern_id").agg(inner.alias("bounds")).select("parent", "bounds").distinct()
+    a, b = bounds(first), bounds(second)
+    coarser = a.select("parent", F.col("bounds").alias("coarse"))
+    b = b.join(coarser, (b["parent"] == coarser["parent"]) & (F.size(F.array_except("coarse", "bounds")) == 0), "left_anti")
+    return a.withColumn("given", F.lit("first")).unionByName(b.withColumn("given", F.lit("second")))
+
+
 def digram_report(edges: DataFrame) -> DataFrame:
     """Pairs of neighbouring children with the number of patterns they occur in."""
     after = F.lead("child").over(Window.partitionBy("parent", "pattern_id").orderBy("sub_index"))

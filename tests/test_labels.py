@@ -219,3 +219,27 @@ def test_names_grammars_and_store(spark, tmp_path):
     store.remove("k")
     with pytest.raises(NotFoundError):
         store.load("k")
+
+
+def test_rule_union_prefers_the_first(spark):
+    first = pattern_graph(spark, {"efgh": [["e", "fgh"]]})
+    second = pattern_graph(spark, {"efgh": [["ef", "gh"], ["e", "fg", "h"]]})
+    assert {(tuple(r.bounds), r.given) for r in partition.rule_union(first, second).collect()} == {((1,), "first"), ((2,), "second")}
+
+
+def test_utf8_files(spark, tmp_path):
+    from spanweave.sources.graphs import utf8_files
+
+    (tmp_path / "good.txt").write_bytes("é😀\nb\n".encode())
+    (tmp_path / "bad.txt").write_bytes(b"a\n\xff\xfe\n\xc3\n")
+    got = {r.file.rpartition("/")[2]: (r.lines, r.invalid) for r in utf8_files(spark, f"file://{tmp_path}").collect()}
+    assert got == {"good.txt": (2, 0), "bad.txt": (3, 2)}
+
+
+def test_widest_and_most_frequent_come_first(spark):
+    from spanweave.functions import ngrams
+
+    v = containment.vocabulary(from_texts(spark, ["abab", "b"]))
+    assert [r.n for r in containment.widest_first(v).collect()] == [4, 3, 3, 2, 2, 1, 1]
+    assert [r.ngram for r in ngrams.most_frequent_first(v).collect()][:3] == ["b", "a", "ab"]
+    assert {r.ngram for r in containment.shared(v, containment.vocabulary(from_texts(spark, ["bab"]))).collect()} == {"a", "b", "ab", "ba", "bab"}
