@@ -2,9 +2,10 @@
 
 A shard is a list of byte strings, each ended by a separator of its own that is smaller than any byte. Suffixes are
 classified as smaller or larger than their successor; the substrings between leftmost-smaller positions are named in sorted
-order, and the string of names is ranked recursively (pairs of names get names, until all differ). From the sorted
-leftmost-smaller suffixes, two linear passes induce the whole array, bucket by bucket: each bucket is one vector step for
-every run length in it.
+order, and the string of names is ranked by recursion: its own leftmost-smaller substrings are sorted by inducing, named, and
+so on until all names differ. From the sorted leftmost-smaller suffixes, two linear passes induce the array. Over bytes they go
+bucket by bucket, each bucket being one vector step for every run length in it; over names, of which there are many, entry by
+entry.
 """
 
 from __future__ import annotations
@@ -49,18 +50,52 @@ def name_substrings(s: np.ndarray, smaller: np.ndarray, marks: np.ndarray, tie:
     return _dense(order, (tie[order][1:] != tie[order][:-1]) | (names[order][1:] != names[order][:-1]))
 
 
+def _induced(s: np.ndarray, smaller: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The order of all suffixes of s, a string of whole numbers that ends with its only 0, from that of its leftmost-smaller
+    ones: a pass to the right places the larger suffixes at the heads of their buckets, one to the left the smaller at the tails."""
+    counts = np.bincount(s)
+    ends = np.cumsum(counts)
+    by = marks[np.argsort(s[marks], kind="stable")]
+    here = np.bincount(s[by], minlength=len(counts))
+    placed = np.full(len(s), -1)
+    placed[np.arange(len(by)) + (ends - np.cumsum(here))[s[by]]] = by
+    array, text, small, heads, tails = placed.tolist(), s.tolist(), smaller.tolist(), (ends - counts).tolist(), ends.tolist()
+    for i in array:  # sees what it places further on
+        if i > 0 and not small[i - 1]:
+            c = text[i - 1]
+            array[heads[c]] = i - 1
+            heads[c] += 1
+    for i in reversed(array):
+        if i > 0 and small[i - 1]:
+            c = text[i - 1]
+            tails[c] -= 1
+            array[tails[c]] = i - 1
+    return np.array(array)
+
+
 def rank_names(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of a string of names: pairs of names, a power of two apart, are renamed until all differ."""
-    n, rank, reach = len(names), names.astype(np.int64), 1
-    while n and rank.max() < n - 1:
-        after = np.zeros(n, np.int64)
-        if reach < n:
-            after[:-reach] = rank[reach:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key)
-        rank = _dense(order, key[order][1:] != key[order][:-1])
-        reach *= 2
-    return np.argsort(rank)
+    """The order of the suffixes of a string of dense names (its end sorts first): inducing sorts its leftmost-smaller
+    substrings, whose names form a string of at most half the length, ranked in the same way."""
+    n = len(names)
+    if not n or names.max() == n - 1:
+        return np.argsort(names)
+    s = np.concatenate([names.astype(np.int64) + 1, [0]])
+    smaller = classify(s)
+    marks = np.flatnonzero(np.concatenate([[False], smaller[1:] & ~smaller[:-1]]))
+    number = np.full(n + 1, -1)
+    number[marks] = np.arange(len(marks))
+    order = number[_induced(s, smaller, marks)]
+    order = order[order >= 0]
+    size = np.diff(np.concatenate([marks, [n]])) + 1
+    differs = size[order[1:]] != size[order[:-1]]
+    same = np.flatnonzero(~differs)
+    if len(same):
+        width = size[order[same]]
+        first = np.cumsum(width) - width
+        step = np.arange(width.sum()) - np.repeat(first, width)
+        equal = s[np.repeat(marks[order[same]], width) + step] == s[np.repeat(marks[order[same + 1]], width) + step]
+        differs[same] = ~np.logical_and.reduceat(equal, first)
+    return _induced(s, smaller, marks[rank_names(_dense(order, differs))])[1:]
 
 
 def suffix_array(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

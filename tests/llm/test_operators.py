@@ -118,6 +118,15 @@ def test_suffix_arrays():
             assert plcp[p] == next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+def test_ranks_of_names():
+    rng = random.Random(3)
+    for _ in range(300):
+        names = np.unique([rng.randrange(rng.choice([1, 2, 5])) for _ in range(rng.randrange(1, 60))], return_inverse=True)[1]
+        assert induced_sorting.rank_names(names).tolist() == sorted(range(len(names)), key=lambda k: names[k:].tolist())
+    down = np.arange(3000)[::-1] // 2  # one run, whose names recur in pairs
+    assert induced_sorting.rank_names(down).tolist() == sorted(range(len(down)), key=lambda k: down[k:].tolist())
+
+
 def slow_fingerprint(text):
     w = [x.translate({k: k + 32 for k in range(65, 91)}) for x in WORD.findall(text or "")]
     grams = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
