@@ -203,6 +203,17 @@ def _window_hashes(length: int, kind: str):
     return run, f"doc {kind}, h long, key long, window long, lo long"
 
 
+def _repeated(rows: DataFrame, counted: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """The rows whose keys counted(keys, n) has with n > 1; total is the sum of n.
+
+    Keys of more than a 4,096th of all rows are at most 4,095, so they are broadcast and their rows stay where they are.
+    """
+    most = max(4096, total // 4096)
+    hot = F.broadcast(counted.filter(F.col("n") > most).select(*keys))
+    cold = counted.filter(F.col("n").between(2, most)).select(*keys)
+    return rows.join(hot, keys, "left_semi").unionByName(rows.join(hot, keys, "left_anti").join(cold, keys, "left_semi"))
+
+
 def repeated_ranges(docs: DataFrame, length: int, shard_bytes: int = 1 << 20, hot_spans: int = 2048) -> DataFrame:
     """docs(doc, h, t) -> doc, h, ranges: the repeated byte ranges of each (doc, h) that has any, in any order."""
     kind = docs.schema["doc"].dataType.simpleString()
@@ -213,8 +224,8 @@ def repeated_ranges(docs: DataFrame, length: int, shard_bytes: int = 1 << 20, ho
     _reclaim(docs)
     first = F.min(F.struct("doc", "h", "lo", "hi")).alias("at")
     distinct = stage(shared.groupBy("key", "content").agg(F.count("*").alias("n"), first), "distinct")
-    full = distinct.filter("n > 1").select("key", "content")
-    whole = shared.join(full, ["key", "content"], "left_semi").select("doc", "h", "lo", "hi")
+    total = distinct.agg(F.sum("n").alias("s")).first().s or 0
+    whole = _repeated(shared, distinct, ["key", "content"], total).select("doc", "h", "lo", "hi")
     open_keys = distinct.groupBy("key").agg(F.count("*").alias("forms"), F.min("n").alias("least")).filter("forms > 1 AND least = 1").select("key", "forms")
     unsure = stage(distinct.select("key", "at").join(open_keys, "key"), "unsure")
     size = unsure.agg(F.sum(F.col("at.hi") - F.col("at.lo")).alias("s")).first().s or 0
@@ -228,8 +239,9 @@ def repeated_ranges(docs: DataFrame, length: int, shard_bytes: int = 1 << 20, ho
     _reclaim(docs)
     sharded = parts.filter("unit >= 0").repartition("unit").sortWithinPartitions("unit").mapInArrow(*_sort_shards(length, kind))
     windows = parts.filter("unit < 0").mapInArrow(*_window_hashes(length, kind))
-    twice = windows.groupBy("key", "window").agg(F.count("*").alias("n")).filter("n > 1").select("key", "window")
-    hot = windows.join(twice, ["key", "window"], "left_semi").select("doc", "h", "lo", (F.col("lo") + length).alias("hi"))
+    twice = stage(windows.groupBy("key", "window").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
+    most = twice.agg(F.sum("n").alias("s")).first().s or 0
+    hot = _repeated(windows, twice, ["key", "window"], most).select("doc", "h", "lo", (F.col("lo") + length).alias("hi"))
     found = stage(whole.unionByName(sharded).unionByName(hot), "ranges")
     discard(parts)
     _reclaim(docs)

@@ -104,6 +104,14 @@ def test_suffix_dedup_hot_keys(frame):
     assert merged(suffix_dedup.repeated_ranges(d, 200, hot_spans=0).collect()) == merged(suffix_dedup.repeated_ranges(d, 200).collect())
 
 
+def test_rows_of_hot_keys(spark):
+    rows = spark.range(9000).select(F.when(F.col("id") < 5000, 0).otherwise(F.floor(F.col("id") / 2)).alias("k"), "id")
+    rows = rows.unionByName(spark.createDataFrame([(-1, -1)], "k long, id long"))
+    counted = rows.groupBy("k").agg(F.count("*").alias("n"))
+    got = sorted(r.id for r in suffix_dedup._repeated(rows, counted, ["k"], 9001).collect())
+    assert got == list(range(9000))
+
+
 def test_suffix_arrays():
     rng = random.Random(2)
     for trial in range(150):
