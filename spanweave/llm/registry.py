@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE, "op2_suffix_dedup": suffix_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op2_suffix_dedup": suffix_dedup.ORACLE, "op5_packing": packing.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op10_mixing": mixing.ORACLE}

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanweave.llm import html_extract, induced_sorting, language_id, line_dedup, mixing, packing, permutation_index, quality_rules, secret_scan, simhash, suffix_dedup
+from spanweave.llm import html_extract, induced_sorting, language_id, line_dedup, mixing, packing, permutation_index, quality_rules, registry, secret_scan, simhash, suffix_dedup
 from spanweave.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -251,6 +251,22 @@ def test_optimal_buckets(frame, docs):
         assert len(members) == room or (bucket, batch + 1) not in batches
 
 
+def test_packing_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(packing.ORACLE)
+    got = registry.op5_packing(spark, "/root/testdata/sf0.001")
+    assert got.columns == want.columns and collections.Counter(map(tuple, got.collect())) == collections.Counter(want.fetchall())
+
+
+def test_length_bins(spark):
+    lengths = [0, 1, 1025, 65535, 65536, 65537, 131071, 131073, 10**6 + 1]
+    rows = spark.createDataFrame([(n,) for n in lengths], "n long").select("n", packing.edge(F.col("n")).alias("e")).collect()
+    assert {r.n: r.e for r in rows} == {n: -(-n // (1 << max(0, n.bit_length() - 16))) * (1 << max(0, n.bit_length() - 16)) for n in lengths}
+
+
 def test_html_extract(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a href="/x">menu</a></nav><!-- ad --><div class="ad">buy</div>
     <article><h1>Title &amp; more</h1><p><b>First<br><p>a&nbsp; b <i>c</i>d &lt;x&gt;</p><div class="comments">no</div><form>f</form><p>Last &am</p></article><aside>s</aside><footer>&copy; f</footer>"""
