@@ -167,6 +167,14 @@ def pattern_splits(spark, sf):
     return partition.split_at(g, middles)
 
 
+def completed_splits(spark, sf):
+    """All splits that follow when each part name is split after a third and two thirds of it."""
+    n = F.length("text")
+    thirds = F.array(F.floor(n / 3), F.floor(2 * n / 3))
+    asked = _names(spark, sf).select(F.col("text").alias("parent"), F.explode(thirds).alias("at")).filter("at > 0")
+    return partition.completed(_grammar(spark, sf), asked)
+
+
 def joined_partitions(spark, sf):
     """What has to be joined in every label that is split in its middle: its children's ends are the inner splits."""
     g = _grammar(spark, sf)
@@ -327,7 +335,7 @@ def streaming_counts(spark, sf):
 _ALL = (
     ngram_occurrences, occurrence_context, ngram_counts_all, ngram_counts_bounded9, document_ngram_counts, repeated_ngrams, count_histogram, corpus_statistics,
     vocab_roots_leaves, first_seen_roots, containment_edges, bottom_up_neighbours, node_degree, nodes_by_width, edge_offsets, frequency_labels, wrapper_labels,
-    all_labels, child_cover, cover_overlaps, cover_hull, partition_static, partition_graph, partition_offsets, partition_cells, digrams, pattern_splits, joined_partitions,
+    all_labels, child_cover, cover_overlaps, cover_hull, partition_static, partition_graph, partition_offsets, partition_cells, digrams, pattern_splits, completed_splits, joined_partitions,
     reconstruct_texts, grammar_nodes, grammar_edges, count_propagation, search_largest_prefix, search_root, search_trace, read_decomposition, unknown_blocks,
     insert_texts, insert_grammar, rule_union, example_graphs, vocab_widest_first, most_frequent_ngrams, shared_ngrams, match_patterns, neighbourhood, cond_prob, prob_within_n, next_token, most_likely_next, backoff, node_contexts, similarity, semantic_distance,
     word_ngrams, event_ngrams, scalar_functions, streaming_counts,

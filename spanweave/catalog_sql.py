@@ -78,6 +78,20 @@ _GROWN, _GROWN_GRAMMAR = (_with(x).replace(_PARTS["corpus"], """SELECT row_numbe
 #: The example graphs as rows of (graph, parent, pattern_id, cells).
 _EXAMPLES = ", ".join(f"({g}, '{parent}', {i}, {cells})" for g, rules in EXAMPLES.items() for parent, patterns in rules.items() for i, cells in enumerate(patterns))
 
+def _completed(rounds: int) -> str:
+    """Inner and passed splits of the part names' thirds; texts of at most `rounds` characters settle in as many rounds."""
+    inner = """SELECT DISTINCT r.parent, "at" FROM (SELECT parent, unnest([min("offset"), max("offset" + child_n)]) AS "at" FROM
+        (SELECT g.*, coalesce((SELECT max(t."at") FROM {t} t WHERE t.parent = g.parent AND t."at" <= g."offset"), 0) AS lo FROM grammar g
+          WHERE g.parent IN (SELECT parent FROM {t}) AND NOT EXISTS (SELECT 1 FROM {t} t WHERE t.parent = g.parent AND t."at" > g."offset" AND t."at" < g."offset" + g.child_n))
+        GROUP BY parent, pattern_id, lo HAVING count(*) > 1) r WHERE "at" BETWEEN 1 AND length(r.parent) - 1
+        AND NOT EXISTS (SELECT 1 FROM {t} t WHERE t.parent = r.parent AND t."at" = r."at")"""
+    out = """, t0 AS MATERIALIZED (FROM (SELECT DISTINCT text AS parent, unnest([length(text) // 3, 2 * length(text) // 3])::INT AS "at" FROM corpus) WHERE "at" > 0)"""
+    for k in range(rounds):
+        out += f""", i{k} AS MATERIALIZED ({inner.format(t=f"t{k}")}),
+      t{k + 1} AS MATERIALIZED (FROM t0 UNION SELECT child, (s."at" - "offset")::INT FROM grammar g JOIN (FROM t{k} UNION FROM i{k}) s ON s.parent = g.parent AND s."at" > "offset" AND s."at" < "offset" + child_n)"""
+    return out + f""" SELECT parent, "at", TRUE AS top FROM t{rounds} UNION ALL SELECT parent, "at"::INT, FALSE FROM ({inner.format(t=f"t{rounds}")})"""
+
+
 SQL = {
     "insert_texts": _GROWN + "SELECT ngram, n, kind FROM labels",
     "insert_grammar": _GROWN_GRAMMAR + "SELECT * FROM grammar",
@@ -124,6 +138,7 @@ SQL = {
     "digrams": _with("grammar") + """SELECT x.child AS "left", y.child AS "right", count(*) AS patterns FROM grammar x JOIN grammar y ON x.parent = y.parent AND x.pattern_id = y.pattern_id AND y.sub_index = x.sub_index + 1 GROUP BY 1, 2""",
     "pattern_splits": _with("grammar") + """SELECT g.parent, (length(parent) // 2)::INT AS at, pattern_id, sub_index, (length(parent) // 2 - "offset")::INT AS "inner", length(parent) // 2 = "offset" AS perfect
       FROM grammar g WHERE "offset" <= length(parent) // 2 AND length(parent) // 2 < "offset" + child_n""",
+    "completed_splits": _with("grammar") + _completed(16),
     "joined_partitions": _with("grammar") + """, cut AS (SELECT parent, (length(parent) // 2)::INT AS "at", TRUE AS top FROM grammar UNION SELECT parent, "offset", FALSE FROM grammar WHERE "offset" > 0),
       borders AS (SELECT parent, "at" FROM cut UNION SELECT parent, 0 FROM cut UNION SELECT parent, length(parent)::INT FROM cut)
       SELECT a.parent, a."at" AS lo, b."at" AS hi, substring(a.parent, a."at" + 1, b."at" - a."at") AS part FROM borders a JOIN borders b ON a.parent = b.parent AND a."at" < b."at"

@@ -150,6 +150,35 @@ def split_at(edges: DataFrame, splits: DataFrame) -> DataFrame:
     return hit.select("parent", "at", "pattern_id", "sub_index", inner.alias("inner"), (inner == 0).alias("perfect"))
 
 
+def inner_splits(edges: DataFrame, tops: DataFrame) -> DataFrame:
+    """tops(parent, at) -> (parent, at): the ends of inner partitions, which are runs of two or more whole cells of a pattern within
+    one partition that neighbouring splits (or the parent's ends) bound. Such a run recurs in the partition, so it becomes a node."""
+    end = F.col("offset") + F.col("child_n")
+    cells = edges.join(tops.select("parent", "at"), "parent").groupBy("parent", "pattern_id", "sub_index", "offset", "child_n")
+    cells = cells.agg(F.max(F.when(F.col("at") <= F.col("offset"), F.col("at"))).alias("lo"), F.bool_or((F.col("at") > F.col("offset")) & (F.col("at") < end)).alias("cut"))
+    runs = cells.filter("NOT cut").groupBy("parent", "pattern_id", F.coalesce("lo", F.lit(0)).alias("lo")).agg(F.min("offset").alias("a"), F.max(end).alias("b"), F.count("*").alias("k"))
+    ends = runs.filter("k > 1").select("parent", F.explode(F.array("a", "b")).alias("at")).filter((F.col("at") > 0) & (F.col("at") < F.length("parent"))).distinct()
+    return ends.join(tops.select("parent", "at"), ["parent", "at"], "left_anti")
+
+
+def completed(edges: DataFrame, splits: DataFrame) -> DataFrame:
+    """splits(parent, at) -> (parent, at, top): those splits, the inner ones they bring about, and what both ask of the nodes below.
+
+    A split within a cell is a top split of the cell's node. A node's inner splits follow from all its top splits, and nodes
+    only hold narrower ones, so recomputing both from the roots down settles after as many rounds as the graph is deep.
+    """
+    same = lambda a, b: a.join(b, ["parent", "at"], "left_anti").isEmpty() and b.join(a, ["parent", "at"], "left_anti").isEmpty()
+    asked = settle(splits.select("parent", F.col("at").cast("int").alias("at")).distinct(), "asked")
+    tops, settled = asked, False
+    while not settled:
+        inner = settle(inner_splits(edges, tops), "inner")
+        below = split_at(edges.select("parent", "pattern_id", "sub_index", "offset", "child", "child_n"), tops.union(inner)).filter("NOT perfect")
+        below = below.join(edges.select("parent", "pattern_id", "sub_index", "child"), ["parent", "pattern_id", "sub_index"])
+        new = settle(asked.union(below.select("child", "inner")).distinct(), "tops")
+        tops, settled = new, same(new, tops)
+    return tops.withColumn("top", F.lit(True)).union(inner.withColumn("top", F.lit(False)))
+
+
 def joined_partitions(splits: DataFrame) -> DataFrame:
     """splits(parent, at, top) -> (parent, lo, hi, part): the substrings between two split positions or ends that have to be joined.
 

@@ -186,6 +186,17 @@ def test_trace(spark):
     }
 
 
+def test_inner_splits(spark):
+    # required values: the worked example of two rules that are split at 3 and 10
+    rules = ["a,bcd,ef,gh,ijk,lm,no".split(","), "ab,cde,fg,hi,jkl,mn,o".split(",")]
+    text = "".join(rules[0])
+    cells = [(text, p, i, sum(map(len, r[:i])), c, len(c)) for p, r in enumerate(rules) for i, c in enumerate(r)]
+    edges = spark.createDataFrame([*cells, ("jkl", 0, 0, 0, "j", 1), ("jkl", 0, 1, 1, "k", 1), ("jkl", 0, 2, 2, "l", 1)], partition.EDGE)
+    got = partition.completed(edges, spark.createDataFrame([(text, 3), (text, 10)], "parent string, at int")).collect()
+    assert sorted(r.at for r in got if r.parent == text) == [3, 4, 5, 8, 9, 10, 11, 12]
+    assert {(r.at, r.top) for r in got if r.parent == "jkl"} == {(1, True), (2, True)} and {(r.at, r.top) for r in got if r.parent == "bcd"} == {(2, True)}
+
+
 def test_joined_partitions(spark):
     splits = [("abcdefghijklmno", at, at in (3, 10)) for at in (3, 4, 5, 8, 9, 10, 11, 12)]
     got = {(r.lo, r.hi): r.part for r in partition.joined_partitions(spark.createDataFrame(splits, "parent string, at int, top boolean")).collect()}
