@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, line_dedup, mixing, packing, permutation_index, quality_rules, secret_scan, simhash, suffix_dedup
+from . import ball_kmeans, html_extract, language_id, line_dedup, mixing, packing, permutation_index, quality_rules, secret_scan, simhash, suffix_dedup, vector_codes
 from .common import table
 
 
@@ -56,6 +56,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("code", lambda e: F.lower(F.lpad(F.hex(e), 2, "0"))), "")
+    return d.select("vec_id", code.alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,9 +73,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_suffix_dedup, op3_simhash, op4_permutation_index, op5_packing, op6_html_extract, op7_line_dedup, op8_secret_scan, op9_language_id, op10_mixing, pipeline)
+    own = (op1_quality_rules, op2_suffix_dedup, op3_simhash, op4_permutation_index, op5_packing, op6_html_extract, op7_line_dedup, op8_secret_scan, op9_language_id, op10_mixing, op11_vector_codes, op13_ball_kmeans, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE, "op2_suffix_dedup": suffix_dedup.ORACLE, "op5_packing": packing.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op2_suffix_dedup": suffix_dedup.ORACLE, "op5_packing": packing.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op10_mixing": mixing.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op13_ball_kmeans": ball_kmeans.ORACLE}
