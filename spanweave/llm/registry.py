@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_kmeans, html_extract, language_id, line_dedup, mixing, packing, permutation_index, quality_rules, secret_scan, simhash, suffix_dedup, vector_codes
+from . import ball_kmeans, html_extract, language_id, line_dedup, mixing, ngram_model, packing, permutation_index, quality_rules, secret_scan, simhash, suffix_dedup, vector_codes
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("vec_id", code.alias("code"), "error", "label_error", "codebooks_sha256")
 
 
+def op12_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_model.score(table(spark, sf_dir, "documents"))
+
+
 def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_kmeans.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -73,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_suffix_dedup, op3_simhash, op4_permutation_index, op5_packing, op6_html_extract, op7_line_dedup, op8_secret_scan, op9_language_id, op10_mixing, op11_vector_codes, op13_ball_kmeans, pipeline)
+    own = (op1_quality_rules, op2_suffix_dedup, op3_simhash, op4_permutation_index, op5_packing, op6_html_extract, op7_line_dedup, op8_secret_scan, op9_language_id, op10_mixing, op11_vector_codes, op12_ngram_trie, op13_ball_kmeans, pipeline)
     return {f.__name__: f for f in own}
 
 
