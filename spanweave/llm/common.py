@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _staged: list[tuple[SparkSession, str]] = []
 
 
@@ -45,11 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 
-    Cuts the lineage like a checkpoint, survives the loss of executors, and gives the planner true sizes.
+    Cuts the lineage like a checkpoint, survives the loss of executors, and gives the planner true sizes. Shuffle files of the
+    write go with its end, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    try:
+        spark.conf.set(_CLEAN, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     _staged.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._spanweave_path = path

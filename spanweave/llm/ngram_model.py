@@ -12,6 +12,7 @@ The model is P(c | a b) = n(abc) / (N + T) + T / (N + T) * P(c | b), with N and
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,15 +61,18 @@ class _Batch:
         trained = np.repeat([not held for _, _, held in self.rows], sizes)
         counts = np.bincount(stream[trained], minlength=len(self.words))
         keys, ids, held = zip(*self.rows, strict=True)
-        return {"batch": number, "key": keys, "id": ids, "held_out": held, "size": sizes, "lead": self.lead, "word": list(self.words), "n": counts.tolist(), "stream": stream.tobytes()}
+        words = sorted((zlib.crc32(w), w, k) for w, k in self.words.items() if k)
+        order = np.array([k for _, _, k in words], np.int32)
+        joined = zstandard.compress(b"\n".join(w for _, w, _ in words), 1)
+        return {"batch": number, "key": keys, "id": ids, "held_out": held, "size": sizes, "lead": self.lead, "word": joined, "n": _bytes(counts[order].astype(np.int32)), "order": _bytes(order), "stream": _bytes(stream)}
 
 
 def tokenise(docs: DataFrame, held_out: Column, id_col: str, text_col: str, batch_tokens: int) -> DataFrame:
-    """One row a batch of at most batch_tokens tokens: the pieces of texts that it holds (key tells the texts apart), its words with
-    their training counts, and the tokens as numbers of these words. A longer text goes on in the next batch, whose lead
-    holds the two words before it."""
+    """One row a batch of at most batch_tokens tokens: the pieces of texts that it holds (key tells the texts apart), its words by
+    their CRC with their training counts, and the tokens as numbers of these words (order tells the number of each). A longer
+    text goes on in the next batch, whose lead holds the two words before it."""
     kind = docs.schema[id_col].dataType.simpleString()
-    out = f"batch long, key array<bigint>, id array<{kind}>, held_out array<boolean>, size array<int>, lead array<int>, word array<binary>, n array<int>, stream binary"
+    out = f"batch long, key array<bigint>, id array<{kind}>, held_out array<boolean>, size array<int>, lead array<int>, word binary, n binary, `order` binary, stream binary"
     rows = docs.select(docs[id_col].alias("id"), held_out.alias("held_out"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +80,8 @@ def tokenise(docs: DataFrame, held_out: Column, id_col: str, text_col: str, batc
         now, schema = _Batch(), None
 
         def full(t: pa.DataType) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(t), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
-            return pa.record_batch([pa.array([v], k) for v, k in zip(now.row(number).values(), kinds, strict=True)], names=["batch", "key", "id", "held_out", "size", "lead", "word", "n", "stream"])
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(t), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.record_batch([pa.array([v], k) for v, k in zip(now.row(number).values(), kinds, strict=True)], names=["batch", "key", "id", "held_out", "size", "lead", "word", "n", "order", "stream"])
 
         for b in batches:
             schema, ids, held = b.column(0).type, b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -146,16 +150,19 @@ class Questions:
     """
 
     def __init__(self, row: dict, corpus: Corpus, counted: bool):
-        stream, size = np.frombuffer(row["stream"], np.int32).astype(np.int64), np.array(row["size"], np.int64)
-        self.word, self.cnt = np.frombuffer(row["word"], np.int64), np.frombuffer(row["cnt"], np.int64)
+        size, word = np.array(row["size"], np.int64), _ints(row["word"], np.int64)
+        order = np.argsort(word)
+        place = np.argsort(order)
+        self.word, self.cnt = word[order], _ints(row["cnt"], np.int64)[order]
+        stream, lead = place[_ints(row["stream"], np.int32)], place[row["lead"]]
         start = np.cumsum(size) - size
         one, two = np.roll(stream, 1), np.roll(stream, 2)
         one[start], two[start] = 0, 0
         more = start[size > 1] + 1
         two[more] = 0
-        one[0], two[0] = row["lead"][1], row["lead"][0]
+        one[0], two[0] = lead[1], lead[0]
         if size[0] > 1:
-            two[1] = row["lead"][1]
+            two[1] = lead[1]
         grams = two << 2 * BITS | one << BITS | stream
         if counted:
             trained = np.repeat(~np.array(row["held_out"]), size)
@@ -197,17 +204,17 @@ class Questions:
 
     def asked(self, part: np.ndarray, runs: np.ndarray) -> bytes:
         ctx = self.ctx[part][runs]
-        arrays = self.a[ctx], self.b[ctx] << 1 | self.split[ctx], np.diff(np.append(runs, len(part))).astype(np.uint32), self.c[part].astype(np.uint32), self.n[part].astype(np.uint32)
+        arrays = np.diff(self.a[ctx], prepend=0).astype(np.uint32), self.b[ctx] << 1 | self.split[ctx], np.diff(np.append(runs, len(part))).astype(np.uint32), self.c[part].astype(np.uint32), self.n[part].astype(np.uint32)
         parts = [_bytes(x) for x in arrays]
         return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
 
 
 def _question(data: bytes) -> tuple[np.ndarray, ...]:
     sizes, at, out = np.frombuffer(data, np.int64, 5).tolist(), 40, []
-    for size, dtype in zip(sizes, (np.int64, np.int64, np.uint32, np.uint32, np.uint32), strict=True):
+    for size, dtype in zip(sizes, (np.uint32, np.int64, np.uint32, np.uint32, np.uint32), strict=True):
         out.append(_ints(data[at : at + size], dtype).astype(np.int64))
         at += size
-    return tuple(out)
+    return (np.cumsum(out[0]), *out[1:])
 
 
 def _answer(shard: tuple, asked: pa.Table) -> pa.Table:
@@ -262,7 +269,7 @@ def _scored(row: dict, answers: dict[int, bytes], corpus: Corpus, totals: tuple[
     return np.add.reduceat(np.log10(p3)[q.where], np.cumsum(size) - size)
 
 
-def score(docs: DataFrame, folds: int = 5, batch_tokens: int = (1 << BITS) - 16, shard_tokens: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, folds: int = 5, batch_tokens: int = 1 << 20, shard_tokens: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A row is held out from learning if crc32 of its id as text, modulo `folds`, is 1 (a null id: the empty text). Tokens are the
@@ -286,40 +293,58 @@ def score(docs: DataFrame, folds: int = 5, batch_tokens: int = (1 << BITS) - 16,
     if every is None:
         return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
-    words = tokens.select("batch", F.posexplode(F.arrays_zip("word", "n")).alias("i", "x")).select("batch", "i", "x.word", "x.n")
-    vocab = stage(words.filter("i > 0").groupBy("word").agg(F.sum("n").alias("cnt")).withColumn("m", F.monotonically_increasing_id()), "vocabulary")
-    # numbers without gaps: each partition's begin where those of the one before end; as many rows as the table has partitions
-    sizes = vocab.groupBy(F.shiftright("m", 33).alias("part")).agg(F.count("*").alias("n"), F.sum("cnt").alias("cnt"), F.count_if(F.col("cnt") > 0).alias("known"), F.max(F.when(F.col("word") == F.lit(END), F.col("cnt"))).alias("texts")).orderBy("part").collect()
-    begin = np.cumsum([1] + [r.n for r in sizes])
-    if begin[-1] >= WORDS:
-        raise ValueError(f"more than {WORDS} distinct words")
-    parts = spark.createDataFrame([(r.part, int(b)) for r, b in zip(sizes, begin[:-1], strict=True)], "part long, begin long")
-    corpus = Corpus(sum(r.cnt for r in sizes), sum(r.known for r in sizes), max((r.texts or 0 for r in sizes), default=0), max(1, -(-every // shard_tokens)), shard_tokens)
-    numbered = vocab.select("word", "cnt", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("rest")).join(F.broadcast(parts), "part")
-    numbered = numbered.select("word", "cnt", (F.col("begin") + F.col("rest")).alias("g"))
-    found = words.filter("i > 0").select(F.col("batch").alias("of"), "i", "word").join(numbered, "word").select("of", "i", "g", "cnt")
+    # words first: each shard numbers those of its range of CRCs and adds up their counts
+    shards = max(1, -(-every // (4 * shard_tokens)))
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                words, n = _words(row["word"]), _ints(row["n"], np.int32)
+                shard = np.array([zlib.crc32(w) for w in words], np.int64) * shards >> 32
+                cuts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+                for some in _some(zip(cuts, [*cuts[1:], len(words)], strict=True), 256):
+                    asked = [(int(shard[lo]), row["batch"], zstandard.compress(b"\n".join(words[lo:hi]), 1), _bytes(n[lo:hi])) for lo, hi in some]
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*asked, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "batch", "word", "n"])
+
+    def answer_words(shard: tuple, asked: pa.Table) -> pa.Table:
+        lists, count = [_words(w.as_py()) for w in asked.column("word")], {}
+        for words, n in zip(lists, asked.column("n"), strict=True):
+            for w, k in zip(words, _ints(n.as_py(), np.int32).tolist(), strict=True):
+                count[w] = count.get(w, 0) + k
+        # numbers of all shards interleave; 0 is START
+        number = {w: k * shards + shard[0].as_py() + 1 for k, w in enumerate(sorted(count))}
+        if number and max(number.values()) >= WORDS:
+            raise ValueError(f"more than {WORDS} distinct words")
+        out = [(b.as_py(), shard[0].as_py(), _bytes(np.array([number[w] for w in words], np.int64)), _bytes(np.array([count[w] for w in words], np.int64)), None, None, None) for b, words in zip(asked.column("batch"), lists, strict=True)]
+        out.append((None, shard[0].as_py(), None, None, sum(count.values()), sum(k > 0 for k in count.values()), count.get(END)))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["of", "shard", "g", "cnt", "tokens", "known", "texts"])
+
+    questions = tokens.select("batch", "word", "n").mapInArrow(ask_words, "shard long, batch long, word binary, n binary")
+    numbered = stage(questions.groupBy("shard").applyInArrow(answer_words, "of long, shard long, g binary, cnt binary, tokens long, known long, texts long"), "words")
+    sums = numbered.filter("of IS NULL").agg(F.sum("tokens").alias("tokens"), F.sum("known").alias("known"), F.sum("texts").alias("texts")).first()
+    corpus = Corpus(sums.tokens, sums.known, sums.texts or 0, max(1, -(-every // shard_tokens)), shard_tokens)
 
     coded_schema = f"batch long, key array<bigint>, id array<{kind}>, held_out array<boolean>, size array<int>, lead array<int>, word binary, cnt binary, stream binary, known array<int>, base array<double>"
 
     def code(_: tuple, batch: pa.Table, found: pa.Table) -> pa.Table:
-        """The batch's tokens by words in global order (START first), and what its pieces score by their words' counts."""
-        row = {c: batch.column(c)[0] for c in ("size", "lead", "stream")}
-        i, g, cnt = (found.column(c).to_numpy() for c in ("i", "g", "cnt"))
-        number, count = np.zeros(len(i) + 1, np.int64), np.full(len(i) + 1, -1, np.int64)
-        number[i], count[i] = g, cnt
-        order = np.argsort(number)
-        place = np.argsort(order).astype(np.int32)
-        stream = place[np.frombuffer(row["stream"].as_py(), np.int32)]
-        count = count[order]
-        each, size = count[stream], np.array(row["size"].as_py(), np.int64)
+        """The batch with its words' numbers and counts (START first), and what its pieces score by the counts."""
+        order = _ints(batch.column("order")[0].as_py(), np.int32)
+        by = np.argsort(found.column("shard").to_numpy())
+        number, count = np.zeros(len(order) + 1, np.int64), np.full(len(order) + 1, -1, np.int64)
+        for name, out in (("g", number), ("cnt", count)):
+            answers = found.column(name).to_pylist()
+            out[order] = np.concatenate([_ints(answers[k], np.int64) for k in by])
+        each, size = count[_ints(batch.column("stream")[0].as_py(), np.int32)], np.array(batch.column("size")[0].as_py(), np.int64)
         at = np.cumsum(size) - size
-        out = {"lead": pa.array([place[row["lead"].as_py()].tolist()], pa.list_(pa.int32())), "word": pa.array([number[order].tobytes()]), "cnt": pa.array([count.tobytes()]), "stream": pa.array([stream.tobytes()])}
+        out = {"word": pa.array([_bytes(number)], pa.binary()), "cnt": pa.array([_bytes(count)], pa.binary())}
         out |= {"known": pa.array([np.add.reduceat((each > 0).astype(np.int32), at).tolist()], pa.list_(pa.int32())), "base": pa.array([np.add.reduceat(np.log10(corpus.unigram(each)), at).tolist()], pa.list_(pa.float64()))}
         names = ("batch", "key", "id", "held_out", "size", "lead", "word", "cnt", "stream", "known", "base")
         return pa.table({c: out[c] if c in out else batch.column(c) for c in names})
 
+    found = numbered.filter("of IS NOT NULL").select("of", "shard", "g", "cnt")
     coded = stage(tokens.drop("word", "n").groupBy("batch").cogroup(found.groupBy("of")).applyInArrow(code, coded_schema), "coded")
-    for t in (tokens, vocab):
+    for t in (tokens, numbered):
         discard(t)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,6 +373,10 @@ def score(docs: DataFrame, folds: int = 5, batch_tokens: int = (1 << BITS) - 16,
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _words(joined: bytes) -> list[bytes]:
+    return zstandard.decompress(joined).split(b"\n")
+
+
 def _some(items, size: int) -> Iterator[list]:
     held = []
     for x in items:
