@@ -61,9 +61,9 @@ class _Batch:
         trained = np.repeat([not held for _, _, held in self.rows], sizes)
         counts = np.bincount(stream[trained], minlength=len(self.words))
         keys, ids, held = zip(*self.rows, strict=True)
-        words = sorted((zlib.crc32(w), w, k) for w, k in self.words.items() if k)
-        order = np.array([k for _, _, k in words], np.int32)
-        joined = zstandard.compress(b"\n".join(w for _, w, _ in words), 1)
+        words = list(self.words)
+        order = np.argsort(np.array([zlib.crc32(w) for w in words[1:]], np.uint32), kind="stable").astype(np.int32) + 1
+        joined = zstandard.compress(b"\n".join([words[k] for k in order.tolist()]), 1)
         return {"batch": number, "key": keys, "id": ids, "held_out": held, "size": sizes, "lead": self.lead, "word": joined, "n": _bytes(counts[order].astype(np.int32)), "order": _bytes(order), "stream": _bytes(stream)}
 
 
@@ -155,47 +155,54 @@ class Questions:
         place = np.argsort(order)
         self.word, self.cnt = word[order], _ints(row["cnt"], np.int64)[order]
         stream, lead = place[_ints(row["stream"], np.int32)], place[row["lead"]]
-        start = np.cumsum(size) - size
-        one, two = np.roll(stream, 1), np.roll(stream, 2)
-        one[start], two[start] = 0, 0
-        more = start[size > 1] + 1
-        two[more] = 0
-        one[0], two[0] = lead[1], lead[0]
-        if size[0] > 1:
-            two[1] = lead[1]
-        grams = two << 2 * BITS | one << BITS | stream
+        grams = self._grams(stream, lead, size)
+        keys, where = np.unique(grams, return_inverse=True)
+        n3 = np.zeros(len(keys), np.int64)
         if counted:
-            trained = np.repeat(~np.array(row["held_out"]), size)
-            keys, where = np.unique(grams, return_inverse=True)
-            n3 = np.bincount(where[trained], minlength=len(keys))
+            n3 = np.bincount(where[np.repeat(~np.array(row["held_out"]), size)], minlength=len(keys))
         else:
-            keys, self.where = np.unique(grams, return_inverse=True)
-            n3 = np.zeros(len(keys), np.int64)
+            self.where = where.astype(np.int32)
+        del grams, where, stream
         low = (1 << BITS) - 1
-        pair = keys & ((1 << 2 * BITS) - 1)
-        self.pairs, self.of_pair = np.unique(pair, return_inverse=True)
-        n2 = np.bincount(self.of_pair, weights=n3, minlength=len(self.pairs)).astype(np.int64)
-        self.grams, self.c2, self.c3 = keys, self.pairs & low, keys & low
+        pairs, of_pair = np.unique(keys & ((1 << 2 * BITS) - 1), return_inverse=True)
+        self.of_pair = of_pair.astype(np.int32)
+        n2 = np.bincount(of_pair, weights=n3, minlength=len(pairs))
+        self.n = np.concatenate([n2, n3]).astype(np.uint32)
+        self.word2 = (pairs & low).astype(np.int32)
+        self.c = np.concatenate([self.word[self.word2], self.word[keys & low]]).astype(np.uint32)
         # contexts: of one word first, then of two
-        head2, head3 = self.pairs >> BITS, keys >> BITS
-        u2, at2 = np.unique(head2, return_inverse=True)
-        u3, at3 = np.unique(head3, return_inverse=True)
-        self.ctx = np.concatenate([at2, at3 + len(u2)])
-        b, a = np.concatenate([u2, u3 & low]), np.concatenate([np.zeros(len(u2), np.int64), u3 >> BITS])
+        u2, at2 = np.unique(pairs >> BITS, return_inverse=True)
+        u3, at3 = np.unique(keys >> BITS, return_inverse=True)
+        self.ctx = np.concatenate([at2, at3 + len(u2)]).astype(np.int32)
+        del pairs, of_pair, keys, n2, n3, at2, at3
+        b, two = np.concatenate([u2, u3 & low]), np.arange(len(u2) + len(u3)) >= len(u2)
+        a = np.concatenate([np.zeros(len(u2), np.int64), u3 >> BITS])
         seen = np.where(self.cnt < 0, corpus.texts, self.cnt)  # of START: how many texts begin
-        self.a, self.b = np.where(np.arange(len(b)) < len(u2), 0, self.word[a] + 1), self.word[b]
-        often = np.where(np.arange(len(b)) < len(u2), seen[b], np.minimum(seen[a], seen[b]))
+        self.a, self.b = np.where(two, self.word[a] + 1, 0), self.word[b]
+        often = np.where(two, np.minimum(seen[a], seen[b]), seen[b])
         # a pair of words is split only if each of them is a 64th of all tokens; then it may be that frequent itself
-        often[(np.arange(len(b)) >= len(u2)) & (often * 64 < corpus.tokens)] = 0
+        often[two & (often * 64 < corpus.tokens)] = 0
         parts = np.maximum(1, -(-often // corpus.hot))
         self.split = parts > 1
-        c, self.n = np.concatenate([self.word[self.c2], self.word[self.c3]]), np.concatenate([n2, n3])
-        home = _mix(self.a * WORDS + self.b)
-        self.c = c
-        shard = (_mix(home[self.ctx] + _mix(c) % parts[self.ctx].astype(np.uint64)) % np.uint64(corpus.shards)).astype(np.int64)
-        self.order = np.argsort(shard, kind="stable")
+        home, part = _mix(self.a * WORDS + self.b)[self.ctx], np.zeros(len(self.c), np.uint64)
+        some = np.flatnonzero(self.split[self.ctx])
+        part[some] = _mix(self.c[some]) % parts[self.ctx[some]].astype(np.uint64)
+        shard = (_mix(home + part) % np.uint64(corpus.shards)).astype(np.uint32)
+        del home, part
+        self.order = np.argsort(shard, kind="stable").astype(np.int32)
         self.shards, self.first = np.unique(shard[self.order], return_index=True)
 
+    @staticmethod
+    def _grams(stream: np.ndarray, lead: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Each token with the two before it; START, 0, stands before a text's first."""
+        start = np.cumsum(size) - size
+        one, two = np.roll(stream, 1), np.roll(stream, 2)
+        one[start], two[start], two[start[size > 1] + 1] = 0, 0, 0
+        one[0], two[0] = lead[1], lead[0]
+        if size[0] > 1:
+            two[1] = lead[1]
+        return two << 2 * BITS | one << BITS | stream
+
     def each(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(shard, its questions in order, where runs of one context begin among them)."""
         for shard, part in zip(self.shards.tolist(), np.split(self.order, self.first[1:]), strict=True):
@@ -204,7 +211,7 @@ class Questions:
 
     def asked(self, part: np.ndarray, runs: np.ndarray) -> bytes:
         ctx = self.ctx[part][runs]
-        arrays = np.diff(self.a[ctx], prepend=0).astype(np.uint32), self.b[ctx] << 1 | self.split[ctx], np.diff(np.append(runs, len(part))).astype(np.uint32), self.c[part].astype(np.uint32), self.n[part].astype(np.uint32)
+        arrays = np.diff(self.a[ctx], prepend=0).astype(np.uint32), self.b[ctx] << 1 | self.split[ctx], np.diff(np.append(runs, len(part))).astype(np.uint32), self.c[part], self.n[part]
         parts = [_bytes(x) for x in arrays]
         return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
 
@@ -224,12 +231,12 @@ def _answer(shard: tuple, asked: pa.Table) -> pa.Table:
     contexts, back = np.unique(a * WORDS + (b >> 1), return_inverse=True)
     split = np.zeros(len(contexts), bool)
     split[back] = (b & 1) > 0
-    own = np.repeat(back, runs)
-    key = own << 32 | c
-    keys, at = np.unique(key[n > 0], return_inverse=True)
-    count = np.bincount(at, weights=n[n > 0], minlength=len(keys)).astype(np.int64)
-    levels, held, total, kinds = build(contexts[keys >> 32], keys & ((1 << 32) - 1), count, split[keys >> 32])
-    codes, weights = Trie(levels).find(contexts, own, c)
+    keys, at = np.unique(np.repeat(back, runs) << 32 | c, return_inverse=True)
+    count = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+    own, word, learned = keys >> 32, keys & ((1 << 32) - 1), count > 0
+    levels, held, total, kinds = build(contexts[own[learned]], word[learned], count[learned], split[own[learned]])
+    codes, weights = Trie(levels).find(contexts, own, word)
+    codes = codes[at]
     ends, firsts = np.cumsum([len(q[3]) for q in questions]), np.cumsum([len(q[2]) for q in questions])
     answers = [_pair(codes[e - len(q[3]) : e], weights[back[f - len(q[2]) : f]]) for q, e, f in zip(questions, ends, firsts, strict=True)]
     hot = np.isin(held, contexts[split])
@@ -262,8 +269,8 @@ def _scored(row: dict, answers: dict[int, bytes], corpus: Corpus, totals: tuple[
         scale[hot[there]] = 1e15 / (total + kinds)[at[there]]
         w[hot[there]] = (kinds / (total + kinds))[at[there]]
         p = np.where(q.split[q.ctx], p * scale[q.ctx], p)
-    n2 = len(q.pairs)
-    p2 = p[:n2] + w[q.ctx[:n2]] * corpus.unigram(np.maximum(q.cnt, 0))[q.c2]
+    n2 = len(q.word2)
+    p2 = p[:n2] + w[q.ctx[:n2]] * corpus.unigram(np.maximum(q.cnt, 0))[q.word2]
     p3 = p[n2:] + w[q.ctx[n2:]] * p2[q.of_pair]
     size = np.array(row["size"], np.int64)
     return np.add.reduceat(np.log10(p3)[q.where], np.cumsum(size) - size)
@@ -311,8 +318,8 @@ def score(docs: DataFrame, folds: int = 5, batch_tokens: int = 1 << 20, shard_to
         for words, n in zip(lists, asked.column("n"), strict=True):
             for w, k in zip(words, _ints(n.as_py(), np.int32).tolist(), strict=True):
                 count[w] = count.get(w, 0) + k
-        # numbers of all shards interleave; 0 is START
-        number = {w: k * shards + shard[0].as_py() + 1 for k, w in enumerate(sorted(count))}
+        # numbers of all shards interleave, frequent words having small ones; 0 is START
+        number = {w: k * shards + shard[0].as_py() + 1 for k, w in enumerate(sorted(count, key=lambda w: (-count[w], w)))}
         if number and max(number.values()) >= WORDS:
             raise ValueError(f"more than {WORDS} distinct words")
         out = [(b.as_py(), shard[0].as_py(), _bytes(np.array([number[w] for w in words], np.int64)), _bytes(np.array([count[w] for w in words], np.int64)), None, None, None) for b, words in zip(asked.column("batch"), lists, strict=True)]

@@ -90,20 +90,29 @@ class EliasFano:
     def access(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, self.rank, 0) - i) << self.width) | self.lows(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first number that is x or more (n, if none is): a binary search of low bits among those with x's high bits."""
+    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the place of the first number that is x or more (n, if none is), whether it is x).
+
+        Numbers that share x's high bits lie between two zeros; their low bits are searched. Each zero is selected once.
+        """
         most = int(self.zeros[-1]) - 1
-        step = np.minimum(x >> self.width, most)
-        upper = np.minimum(self._select(step, self.zeros, 255) - step, self.n)
-        lower = np.where(step > 0, np.minimum(self._select(np.maximum(step - 1, 0), self.zeros, 255) - (step - 1), self.n), 0)
-        lower = np.where(x >> self.width > most, self.n, lower)
-        low, left = x & ((1 << self.width) - 1), np.flatnonzero(lower < upper)
+        high = x >> self.width
+        step = np.minimum(high, most)
+        zeros, at = np.unique(step, return_inverse=True)
+        ends = np.minimum(self._select(zeros, self.zeros, 255) - zeros, self.n)
+        apart = np.flatnonzero(np.diff(zeros, prepend=-1) > 1)  # others begin where the zero before them ends
+        firsts = np.concatenate([[0], ends[:-1]])
+        firsts[apart] = np.minimum(self._select(zeros[apart] - 1, self.zeros, 255) - (zeros[apart] - 1), self.n)
+        end, lower = ends[at], np.where(high > most, self.n, firsts[at])
+        upper, low, left = end.copy(), x & ((1 << self.width) - 1), np.flatnonzero(lower < end)
         while len(left):
             mid = (lower[left] + upper[left]) >> 1
             less = self.lows(mid) < low[left]
             lower[left[less]], upper[left[~less]] = mid[less] + 1, mid[~less]
             left = left[lower[left] < upper[left]]
-        return lower
+        same, inside = np.zeros(len(x), bool), np.flatnonzero(lower < end)
+        same[inside] = self.lows(lower[inside]) == low[inside]
+        return lower, same
 
 
 def flat(arrays: list[np.ndarray]) -> bytes:
@@ -162,20 +171,18 @@ class Trie:
         code, weight = np.zeros(len(word), np.uint16), np.ones(len(contexts), np.uint16)
         if not self.contexts.n:
             return code, weight
-        at = self.contexts.successor(contexts)
-        there = np.flatnonzero(at < self.contexts.n)
-        there = there[self.contexts.access(at[there]) == contexts[there]]
+        at, same = self.contexts.successor(contexts)
+        there = np.flatnonzero(same)
         weight[there] = self.weights[at[there]]
         first, end, base = (np.zeros(len(contexts), np.int64) for _ in range(3))
-        first[there], end[there] = self.pointers.access(at[there]), self.pointers.access(at[there] + 1)
+        places, back = np.unique(np.concatenate([at[there], at[there] + 1]), return_inverse=True)
+        pointers = self.pointers.access(places)[back]
+        first[there], end[there] = pointers[: len(there)], pointers[len(there) :]
         above = there[first[there] > 0]
         base[above] = self.words.access(first[above] - 1)
         asked = np.flatnonzero(end[own] > 0)
         mine = own[asked]
-        target = base[mine] + word[asked] + 1
-        place = self.words.successor(target)
-        hit = place < end[mine]
-        asked, place, target = asked[hit], place[hit], target[hit]
-        same = self.words.access(place) == target
-        code[asked[same]] = self.codes[place[same]]
+        place, same = self.words.successor(base[mine] + word[asked] + 1)
+        hit = same & (place < end[mine])
+        code[asked[hit]] = self.codes[place[hit]]
         return code, weight

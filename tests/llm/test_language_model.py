@@ -117,7 +117,8 @@ def test_elias_fano(n, most):
     e = EliasFano(EliasFano.arrays(v))
     assert (e.access(np.arange(n)) == v).all()
     x = np.concatenate([r.integers(0, most + 5, 2000), v, v + 1])
-    assert (e.successor(x) == np.searchsorted(v, x)).all()
+    place, same = e.successor(x)
+    assert (place == np.searchsorted(v, x)).all() and (same == np.isin(x, v)).all()
 
 
 def test_trie_finds_what_it_holds_and_nothing_else():
