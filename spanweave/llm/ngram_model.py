@@ -276,7 +276,7 @@ def _scored(row: dict, answers: dict[int, bytes], corpus: Corpus, totals: tuple[
     return np.add.reduceat(np.log10(p3)[q.where], np.cumsum(size) - size)
 
 
-def score(docs: DataFrame, folds: int = 5, batch_tokens: int = 1 << 20, shard_tokens: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, folds: int = 5, batch_tokens: int = 1 << 19, shard_tokens: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A row is held out from learning if crc32 of its id as text, modulo `folds`, is 1 (a null id: the empty text). Tokens are the
@@ -304,14 +304,13 @@ def score(docs: DataFrame, folds: int = 5, batch_tokens: int = 1 << 20, shard_to
     shards = max(1, -(-every // (4 * shard_tokens)))
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                words, n = _words(row["word"]), _ints(row["n"], np.int32)
-                shard = np.array([zlib.crc32(w) for w in words], np.int64) * shards >> 32
-                cuts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
-                for some in _some(zip(cuts, [*cuts[1:], len(words)], strict=True), 256):
-                    asked = [(int(shard[lo]), row["batch"], zstandard.compress(b"\n".join(words[lo:hi]), 1), _bytes(n[lo:hi])) for lo, hi in some]
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*asked, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "batch", "word", "n"])
+        for row in _rows(batches):
+            words, n = _words(row["word"]), _ints(row["n"], np.int32)
+            shard = np.array([zlib.crc32(w) for w in words], np.int64) * shards >> 32
+            cuts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+            for some in _some(zip(cuts, [*cuts[1:], len(words)], strict=True), 256):
+                asked = [(int(shard[lo]), row["batch"], zstandard.compress(b"\n".join(words[lo:hi]), 1), _bytes(n[lo:hi])) for lo, hi in some]
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*asked, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "batch", "word", "n"])
 
     def answer_words(shard: tuple, asked: pa.Table) -> pa.Table:
         lists, count = [_words(w.as_py()) for w in asked.column("word")], {}
@@ -355,11 +354,11 @@ def score(docs: DataFrame, folds: int = 5, batch_tokens: int = 1 << 20, shard_to
         discard(t)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                q = Questions(row, corpus, counted=True)
-                for some in _some(q.each(), 256):
-                    yield pa.record_batch([pa.array([s for s, _, _ in some], pa.int64()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([q.asked(p, r) for _, p, r in some], pa.binary())], names=["shard", "batch", "asked"])
+        for row in _rows(batches):
+            q = Questions(row, corpus, counted=True)
+            for some in _some(q.each(), 256):
+                yield pa.record_batch([pa.array([s for s, _, _ in some], pa.int64()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([q.asked(p, r) for _, p, r in some], pa.binary())], names=["shard", "batch", "asked"])
+            del q, some  # before the next batch is begun
 
     asked = coded.select("batch", "held_out", "size", "lead", "word", "cnt", "stream").mapInArrow(ask, "shard long, batch long, asked binary")
     answered = stage(asked.groupBy("shard").applyInArrow(_answer, "batch long, shard long, codes binary, context array<bigint>, total array<bigint>, kinds array<bigint>"), "answers")
@@ -380,6 +379,13 @@ def score(docs: DataFrame, folds: int = 5, batch_tokens: int = 1 << 20, shard_to
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time, as a row is large."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
 def _words(joined: bytes) -> list[bytes]:
     return zstandard.decompress(joined).split(b"\n")
 
