@@ -53,6 +53,7 @@ webhook while width window worker write xml yaml your_api_key_here your-secret-h
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+]+")
 _MIXED = re.compile(r"[0-9]\+*[A-Za-z]|[A-Za-z]\+*[0-9]")
+_CAMEL = re.compile(r"[a-z]*(?:[A-Z][a-z]{2,})+")
 _CONTEXT = re.compile("|".join(map(re.escape, sorted(CONTEXT, key=len, reverse=True))), re.ASCII | re.IGNORECASE)
 
 
@@ -73,16 +74,20 @@ class Novelty:
     A run of candidate characters is cut at the sensitive words in it. A piece that a sensitive word precedes on its line
     within `reach` characters is judged once as a whole, less separators at its ends, and if it fails, each of its tokens
     between separators once. So every character is compressed at most twice as part of a candidate, however long its run is.
+
+    Prose has words of one class of characters that no dictionary holds and that cost as much as keys: letters up to a word's
+    length, digits up to a number's. So tokens of letters alone or digits alone count from `plain` characters on, those that
+    mix both from any length; letters in camel case are words, each of which is a token.
     """
 
-    def __init__(self, least: float = 0.7, reach: int = 64, around: int = 256, shortest: int = 16):
+    def __init__(self, least: float = 0.7, reach: int = 64, around: int = 256, shortest: int = 16, plain: int = 20):
         primer = zstandard.ZstdCompressionDict(" ".join(IDENTIFIERS.split()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.size = zstandard.ZstdCompressor(level=9, dict_data=primer, write_checksum=False, write_content_size=False, write_dict_id=False)
-        self.least, self.reach, self.around, self.shortest = least, reach, around, shortest
+        self.least, self.reach, self.around, self.shortest, self.plain = least, reach, around, shortest, plain
 
     def spans(self, text: str, low: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Added spans: pieces, or tokens of them, of `shortest` characters or more that no base span touches, most of which
-        are tokens of letters mixed with digits, and whose marginal cost is at least `least` bytes a character."""
+        are tokens that count, and whose marginal cost is at least `least` bytes a character."""
         if not any(w in low for w in CONTEXT):
             return []
         words = [m.span() for m in _CONTEXT.finditer(text)]
@@ -109,13 +114,17 @@ class Novelty:
                 a, b = group[0][0], group[-1][1]
                 i = bisect_left(taken[0], b) - 1
                 free = i < 0 or taken[1][i] <= a
-                mixed = sum(y - x for x, y in group if _MIXED.search(text, x, y))
-                if free and b - a >= self.shortest and 2 * mixed > b - a and self.novel(text, a, b):
+                telling = sum(y - x for x, y in group if self.counts(text, x, y))
+                if free and b - a >= self.shortest and 2 * telling > b - a and self.novel(text, a, b):
                     hit.append((a, 3, b))
             if hit:
                 return hit
         return []
 
+    def counts(self, text: str, start: int, end: int) -> bool:
+        """Whether a token is one that prose doesn't have: mixed of letters and digits, or long and not in camel case."""
+        return bool(_MIXED.search(text, start, end)) or end - start >= self.plain and not _CAMEL.fullmatch(text, start, end)
+
     def novel(self, text: str, start: int, end: int) -> bool:
         before, after = text[max(0, start - self.around) : start], text[end : end + self.around]
         bare, full = (before + after).encode(), (before + text[start:end] + after).encode()
@@ -149,7 +158,8 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans.
 
-    spans lists kind:start:end of every span by start, then kind, comma-joined; base_sha256 digests those of base kinds.
+    spans lists kind:start:end of every span by start, then kind, comma-joined; base_sha256 digests those of base kinds. Novel
+    spans follow a sensitive word on its line, within 64 characters; of letters alone or digits alone, they have 20 or more.
     A null text is read as empty; ids are only carried; repeated rows repeat; empty input gives no rows. Further columns
     are not read. Texts are scanned whole, one at a time.
     """

@@ -405,8 +405,10 @@ def slow_secrets(text, novelty):
                     if not g:
                         continue
                     x, y = g[0][0], g[-1][1]
-                    mixed = sum(q - p for p, q in g if any(c.isdigit() != d.isdigit() for c, d in zip(*[[c for c in text[p:q] if c != "+"][k:] for k in (0, 1)], strict=False)))
-                    if y - x >= 16 and 2 * mixed > y - x and not taken & set(range(x, y)) and novelty.novel(text, x, y):
+                    both = lambda t: any(c.isdigit() for c in t) and any(c.isalpha() for c in t)
+                    camel = lambda t: t.isalpha() and len(t) == sum(map(len, h := re.findall(r"[A-Z][a-z]*|^[a-z]+", t))) and any(map(str.isupper, t)) and all(len(x) > 2 or x.islower() for x in h)
+                    telling = sum(q - p for p, q in g if both(text[p:q]) or q - p >= 20 and not camel(text[p:q]))
+                    if y - x >= 16 and 2 * telling > y - x and not taken & set(range(x, y)) and novelty.novel(text, x, y):
                         hits.append((x, 3, y))
                 if hits:
                     out += hits
@@ -428,6 +430,19 @@ def test_secrets_match_brute_force():
     assert found > 50
     late = [secret_scan.scan_text(f"password_{key()}_token_session_manager_for_all_of_the_users_here", novelty)[1] for _ in range(100)]
     assert sum(map(bool, late)) >= 95
+    alphabets = {"lower": letters[:26], "letters": letters[:52], "digits": letters[52:], "all": letters}
+    for name, alphabet in alphabets.items():
+        for context in ("export secret ", "`the password is `", "client_id: "):
+            hits = 0
+            for _ in range(100):
+                secret = "".join(rng.choice(alphabet) for _ in range(24))
+                base, more = secret_scan.scan_text(f"{context}{secret} and more", novelty)  # 24 digits are of the base kind hex
+                hits += [(a, b) for a, _, b in base + more] == [(len(context), len(context) + 24)]
+            assert hits >= 95, (name, context, hits)
+    words = "site articles guide trip walk user profile settings account page view index contact product category review gallery".split()
+    for name in ("_".join(rng.choice(words) for _ in range(4)) for _ in range(100)):
+        camel = "".join(w.title() for w in name.split("_"))
+        assert not secret_scan.scan_text(f"client_id: {name} token {camel} password 20240131120000", novelty)[1]
     slugs = [secret_scan.scan_text(f"see token https/site/articles/{rng.choice('abc')}-{rng.choice(['trip', 'walk'])}-{rng.randrange(2000, 2030)}-guide", novelty)[1] for _ in range(100)]
     assert not any(slugs)
 
