@@ -6,9 +6,10 @@ variable fields, and lines that are alike after that form a log group, of which
 tokens would be variable stands for itself. A template, that of a group or a line of its own, is boilerplate if it
 recurs in min_docs documents, and its lines are dropped.
 
-Copies are one document: equal texts, and texts of which most words lie in lines that recur elsewhere, which count by the
-least of those lines. So groups of copies are left to document-level deduplication, however many copies they have. Only
-hashes of lines are shuffled, but for the distinct lines of leaves that may hold a group.
+Copies are one document: equal texts, and texts of which 95% of the words lie in lines that recur elsewhere, which count by the
+least of those lines. So groups of copies are left to document-level deduplication, however many copies they have, while pages
+that are a long licence and few words of their own lose the licence. Only hashes of lines are shuffled, but for the distinct
+lines of leaves that may hold a group.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def _forms(docs: DataFrame, depth: int, text_col: str) -> DataFrame:
     return d.filter((F.col("size") > depth) & _worded(F.col("m"))).select(_leaf(F.col("m"), F.col("size"), depth).alias("leaf"), F.xxhash64("m").alias("h"), "m")
 
 
-def origins(lines: DataFrame, copied: float = 0.8) -> DataFrame:
+def origins(lines: DataFrame, copied: float = 0.95) -> DataFrame:
     """kh, origin of the texts that count by a line of theirs: `copied` of their words lie in lines found in other texts too."""
     again = lines.groupBy("h").agg(F.min("kh").alias("a"), F.max("kh").alias("b")).filter("a < b").select("h")
     held = lines.join(stage(again, "again"), "h", "left_semi").groupBy("kh").agg(F.collect_set(F.struct("line", "size")).alias("ls"), F.max("words").alias("words"), F.min("first").alias("first"))
@@ -70,7 +71,7 @@ def origins(lines: DataFrame, copied: float = 0.8) -> DataFrame:
     return held.filter(share >= copied).select("kh", F.xxhash64(F.lit("line"), "first").alias("origin"))
 
 
-def line_templates(docs: DataFrame, min_docs: int = 10, depth: int = 3, similarity: float = 0.7, copied: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_templates(docs: DataFrame, min_docs: int = 10, depth: int = 3, similarity: float = 0.7, copied: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per line of leaves that min_docs lines of several texts fall into: k, kh, line, origin, template; see _lines().
 
     template is a hash of the line's log group, or of the line with its variable fields masked.
@@ -92,7 +93,7 @@ def line_templates(docs: DataFrame, min_docs: int = 10, depth: int = 3, similari
     return live.select("k", "kh", "line", "origin", F.coalesce("group", "h").alias("template"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, similarity: float = 0.7, copied: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, similarity: float = 0.7, copied: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text less its boilerplate lines, and n_lines, n_dropped (long); other columns pass through.
 
     A template is boilerplate if it is found in at least min_docs documents, copies counting once; what recurs within one
@@ -124,7 +125,7 @@ l AS (SELECT rid, text, unnest(range(0, len(ls))) AS line, unnest(list_transform
 m AS MATERIALIZED (SELECT rid, text, line, w, array_to_string(w, ' ') AS m, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf, sum(len(w)) OVER (PARTITION BY rid) AS words FROM l WHERE len(w) > 0),
 c AS MATERIALIZED (SELECT * FROM m WHERE regexp_matches(replace(m, '<*>', ''), '\p{L}')),
 again AS (SELECT m FROM c GROUP BY m HAVING count(DISTINCT text) > 1),
-copies AS (SELECT rid, min(substr(md5(m), 1, 8)) AS origin FROM c WHERE m IN (SELECT m FROM again) GROUP BY rid, words HAVING sum(len(w)) >= 0.8 * words),
+copies AS (SELECT rid, min(substr(md5(m), 1, 8)) AS origin FROM c WHERE m IN (SELECT m FROM again) GROUP BY rid, words HAVING sum(len(w)) >= 0.95 * words),
 o AS MATERIALIZED (SELECT c.*, coalesce('line ' || origin, 'text ' || text) AS origin FROM c LEFT JOIN copies USING (rid)),
 forms AS MATERIALIZED (SELECT leaf, m, any_value(w) AS w, count(DISTINCT origin) AS n FROM o WHERE len(w) > 3 GROUP BY leaf, m),
 cells AS MATERIALIZED (SELECT leaf, m, n, len(w) AS size, unnest(range(3, len(w))) AS pos, unnest(w[4:]) AS token FROM forms),

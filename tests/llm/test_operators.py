@@ -293,7 +293,7 @@ def slow_lines(texts, least=10):
     for t, ms in zip(texts, lines, strict=True):
         shared = [m for m in ms if good(m) and len(holders[m]) > 1]
         first = min((hashlib.md5(" ".join(m).encode()).hexdigest()[:8] for m in shared), default="")
-        origin.append(("line", first) if shared and sum(map(len, shared)) >= 0.8 * sum(map(len, ms)) else ("text", t))
+        origin.append(("line", first) if shared and sum(map(len, shared)) >= 0.95 * sum(map(len, ms)) else ("text", t))
     docs, leaves, places = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(int)
     for o, ms in zip(origin, lines, strict=True):
         for m in ms:
@@ -327,6 +327,7 @@ def line_cases():
     near = "\n".join(f"mark {_text(rng, 9)}" for _ in range(12)).split("\n")
     return {
         "a block in many documents": ([own(i) + "\n" + "\n".join(block) + "\n" + own(i + 400) for i in range(20)], True),
+        "a licence of most words": ([f"{_name(i)} " * (own_words - 1) + "end\n" + "\n".join(x + f" {x[5:]}" * 4 for x in block) for own_words in (5, 10, 40) for i in range(1000 * own_words, 1000 * own_words + 20)], True),
         "a chorus in one document": (["\n".join(f"{_name(i)}\nmark sing it again" for i in range(15)) + "\n" + own(20)], False),
         "too few documents": ([own(i) + "\nmark only nine of these" for i in range(9)], False),
         "copies": (["\n".join(near)] * 40, False),
