@@ -60,9 +60,18 @@ class Space:
         return np.hstack([x, np.zeros((len(x), 1))]) - self.mean
 
 
-def permutations(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
-    """(rows, k) numbers of the pivots nearest to each row, nearest first, ties to the smaller number."""
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :k].astype(np.int16)
+def permutations(x: np.ndarray, pivots: np.ndarray, k: int, block: int = 512) -> np.ndarray:
+    """(rows, k) numbers of the pivots nearest to each row, nearest first, ties to the smaller number (at the last place: to either).
+
+    Taken `block` rows at a time, so that block * pivots products are held, however many rows there are.
+    """
+    out = np.zeros((len(x), k), np.int16)
+    for lo in range(0, len(x), block):
+        far = -(x[lo : lo + block] @ pivots.T)
+        near = np.sort(np.argpartition(far, k - 1, axis=1)[:, :k], axis=1) if k < len(pivots) else np.tile(np.arange(len(pivots)), (len(far), 1))
+        order = np.argsort(np.take_along_axis(far, near, axis=1), axis=1, kind="stable")
+        out[lo : lo + block] = np.take_along_axis(near, order, axis=1)
+    return out
 
 
 def weights(perm: np.ndarray, pivots: int, k: int) -> np.ndarray:
@@ -145,6 +154,28 @@ class Index:
         read = int(files[min(len(files) - 1, int(np.ceil((1 - loss) * len(files))))]) + 1
         return read, int(np.sort([r.shared for r in true])[int(loss * len(true))])
 
+    def exact(self, asked: DataFrame, top: int, block: int = 1024) -> DataFrame:
+        """query_id, vec_id, score: what each partition of all rows has nearest to the queries, which go round `block` at a time."""
+        dim, blocks = self.dim, -(-asked.count() // block)
+        asked = stage(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "asked")
+        out = asked.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+        for k in range(blocks):
+            rows = asked.filter(F.col("block") == k).collect()  # about `block` of them
+            ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float64).reshape(len(rows), dim)
+
+            def run(batches: Iterator[pa.RecordBatch], ids=ids, x=x) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if batch.num_rows:
+                        v, own = _matrix(batch.column(1), dim).astype(np.float64), batch.column(0).to_numpy()
+                        for i, q in zip(ids, x, strict=True):
+                            other = np.flatnonzero(own != i)
+                            score = (v[other] * q).sum(axis=1)
+                            best = _best(own[other], score, top)
+                            yield pa.record_batch([pa.array(np.full(len(best), i)), pa.array(own[other][best].astype(np.int64)), pa.array(score[best])], names=["query_id", "vec_id", "score"])
+
+            out = out.unionByName(stage(self.good.mapInArrow(run, "query_id long, vec_id long, score double"), "exact"))
+        return out
+
     def search(self, every: int, top: int, recall: float, probes: int, chunk_rows: int) -> DataFrame:
         space, pivots, k, posted, dim = self.space, self.pivots, self.k, self.posted, self.dim
         kind = {f.name: f.dataType.simpleString() for f in self.good.schema}
@@ -193,6 +224,13 @@ class Index:
             return pa.table({"query_id": pa.array(q.astype(np.int64)), "vec_id": pa.array(v.astype(np.int64)), "score": pa.array(s.astype(np.float64))})
 
         found = left.groupBy("file", "chunk").cogroup(right.groupBy("file", "chunk")).applyInArrow(meet, "query_id long, vec_id long, score double")
+        found = stage(found, "found")
+        # lists that came out short, though candidates are left, are asked again of all rows
+        own = self.good.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
+        held = asked.select("vec_id").join(own, "vec_id").join(found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n")), "vec_id", "left")
+        short = stage(held.filter(F.coalesce("n", F.lit(0)) < F.least(F.lit(top), self.total - F.col("own"))).select("vec_id"), "short")
+        if not short.isEmpty():
+            found = found.join(short.withColumnRenamed("vec_id", "query_id"), "query_id", "left_anti").unionByName(self.exact(asked.join(short, "vec_id", "left_semi"), top))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", place).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

@@ -210,6 +210,27 @@ def test_permutation_index(spark):
     assert permutation_index.search(f.limit(0)).count() == 0
 
 
+def test_short_lists_are_filled_up(spark):
+    rng = np.random.default_rng(15)
+    for ids in ([20 * k for k in range(15)], [*range(30)], [0, 20, 20, 20, 7]):
+        x = rng.normal(size=(len(ids), 8)).astype(np.float32)
+        got = permutation_index.search(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")).collect()
+        by = collections.Counter(r.query_id for r in got)
+        assert by == {q: min(20, sum(i != q for i in ids)) for q in ids if q % 20 == 0 and any(i != q for i in ids)}
+        if len(set(ids)) == len(ids):
+            for q in by:
+                near = sorted(((x[ids.index(q)].astype(float) * v.astype(float)).sum(), -i) for i, v in zip(ids, x, strict=True) if i != q)[::-1][:20]
+                if len(ids) <= 21:
+                    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [-i for _, i in near]
+
+
+def test_pivot_orders_in_blocks():
+    rng = np.random.default_rng(3)
+    x, p = rng.normal(size=(1300, 6)), rng.normal(size=(90, 6))
+    for k in (1, 7, 90):
+        assert (permutation_index.permutations(x, p, k, 512) == np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :k]).all()
+
+
 def test_permutation_index_of_clusters_and_cones(spark):
     """Recall where raw orders tell nothing: one narrow cone, of unit and of raw vectors, clusters in it, and equal vectors."""
     rng = np.random.default_rng(16)
