@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog_sql import SQL
-from .functions import ngrams, text
-from .operators import containment, cover, labels, language_model, partition, search
+from .functions import ngrams, text, tokens
+from .operators import containment, cover, labels, language_model, partition, search, whole
+from .plans.parse import parse_corpus
 from .plans.tables import settle
 from .sources import corpus as corpora
 from .sources import graphs
-from .streaming.incremental import StreamingCounts
+from .streaming.incremental import StreamingCounts, StreamingLabels
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -183,6 +184,93 @@ def joined_partitions(spark, sf):
     return partition.joined_partitions(inner.union(g.select("parent", middle, F.lit(True)).distinct()))
 
 
+def joined_patterns(spark, sf):
+    """The nodes and patterns that splitting every label in its middle brings about; see joined_partitions."""
+    g = _grammar(spark, sf)
+    middle = F.floor(F.length("parent") / 2).cast("int")
+    inner = g.filter("offset > 0").select("parent", F.col("offset").alias("at"), F.lit(False).alias("top"))
+    return partition.joined_patterns(g, inner.union(g.select("parent", middle, F.lit(True)).distinct()))
+
+
+def read_sequences(spark, sf):
+    """The part types read into the labels of the part names: each as known strings one after the other."""
+    return search.read_sequences(_types(spark, sf), _labels(spark, sf))[0]
+
+
+def document_labels(spark, sf):
+    """Whole documents, their characters, and all that recurs in them without a fixed neighbour, of any width."""
+    return whole.text_labels(_documents(spark, sf))
+
+
+def document_short_labels(spark, sf):
+    """What recurs in whole documents without a fixed neighbour, in two to nine characters, with its counts."""
+    return whole.repeated_closed(_documents(spark, sf), seed=4).filter("n <= 9").select("ngram", "n", "cnt")
+
+
+def document_spelling(spark, sf):
+    """Each document as its rule of recurring strings spells it."""
+    docs = _documents(spark, sf)
+    found = settle(whole.text_labels(docs).filter("kind <> 'root'"), "labels")
+    rules = whole.tiled(docs, found)
+    return whole.joined_cells(rules, "text_id").select(F.col("text_id").alias("doc_id"), F.md5(F.col("spelled").cast("binary")).alias("digest"))
+
+
+def parsed_types(spark, sf):
+    """The grammar of the part types, parsed with n-grams of at most four characters: every text has a rule that spells it."""
+    corpus = _types(spark, sf).select(F.xxhash64("query").alias("text_id"), F.col("query").alias("text"))
+    graph = parse_corpus(corpus, max_n=4).graph.join(corpus.select(F.col("text").alias("parent")), "parent", "left_semi")
+    return whole.joined_cells(graph).select(F.col("parent").alias("text"), "spelled")
+
+
+def wrapper_ranges(spark, sf):
+    """Where chains of overlapping labelled intervals of the part names lead to."""
+    names = _names(spark, sf)
+    base = labels.base_labels(settle(_vocab(spark, sf), "vocab"))
+    return labels.wrapper_ranges(labels.labelled_intervals(names, base))
+
+
+def ngram_postings(spark, sf):
+    d = ngrams.postings(_names(spark, sf), block_texts=16)
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return d.select("ngram", "block", "cnt", joined("texts"), joined("at"))
+
+
+def search_places(spark, sf):
+    """Where the largest prefixes of the part types occur in the part names, from the postings."""
+    names = settle(_names(spark, sf), "names")
+    found = settle(search.largest_prefix(_types(spark, sf), containment.vocabulary(names)), "found")
+    places = ngrams.located(ngrams.postings(names, block_texts=16), found.select(F.col("match").alias("ngram")), block_texts=16)
+    return found.join(places, found["match"] == places["ngram"]).select("query", "match", "text_id", "pos")
+
+
+def _event_texts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = corpora.sequences(_table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type")
+    symbols = tokens.alphabet(rows)
+    return settle(tokens.encoded(rows, symbols), "sequences"), symbols
+
+
+def event_labels(spark, sf):
+    """Runs of events that recur without a fixed neighbour, in all users' sequences, and the sequences and events themselves."""
+    corpus, symbols = _event_texts(spark, sf)
+    return tokens.decoded(whole.text_labels(corpus, seed=3), symbols, "ngram").select(F.col("ngram").alias("gram"), "n", "kind")
+
+
+def event_rules(spark, sf):
+    """Each user's events as recurring runs one after the other, the longest from the left."""
+    corpus, symbols = _event_texts(spark, sf)
+    found = settle(whole.text_labels(corpus, seed=3).filter("kind <> 'root'"), "labels")
+    rules = tokens.decoded(whole.tiled(corpus, found), symbols, "child")
+    return rules.select(F.col("text_id").alias("user_id"), "sub_index", "offset", F.col("child").alias("gram"), F.col("child_n").alias("n"))
+
+
+def word_labels(spark, sf):
+    """Runs of words that recur in the documents without a fixed neighbour, of any length, with their counts."""
+    d = _table(spark, sf, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("text_id"), ngrams.words(F.col("text")).alias("tokens"))
+    symbols = tokens.alphabet(d)
+    found = settle(whole.repeated_closed(settle(tokens.encoded(d, symbols), "words"), seed=2), "labels")
+    return tokens.decoded(found, symbols, "ngram").select(F.md5(F.col("ngram").cast("binary")).alias("gram"), "n", "cnt")
+
+
 def reconstruct_texts(spark, sf):
     c = _names(spark, sf)
     return partition.reconstructed(_grammar(spark, sf), c.select("text"))
@@ -332,13 +420,23 @@ def streaming_counts(spark, sf):
     return StreamingCounts(spark).run(stream.select(F.col("p_name").alias("text")))
 
 
+def streaming_labels(spark, sf):
+    """Labels of a stream of part names that comes in five files, one a batch."""
+    folder = settle(_names(spark, sf).select("text").repartition(5, "text"), "files").inputFiles()[0].rpartition("/")[0]
+    stream = spark.readStream.schema("text string").option("maxFilesPerTrigger", 1).parquet(folder)
+    kept = StreamingLabels(spark)
+    kept.run(stream)
+    return kept.labels()
+
+
 _ALL = (
     ngram_occurrences, occurrence_context, ngram_counts_all, ngram_counts_bounded9, document_ngram_counts, repeated_ngrams, count_histogram, corpus_statistics,
     vocab_roots_leaves, first_seen_roots, containment_edges, bottom_up_neighbours, node_degree, nodes_by_width, edge_offsets, frequency_labels, wrapper_labels,
     all_labels, child_cover, cover_overlaps, cover_hull, partition_static, partition_graph, partition_offsets, partition_cells, digrams, pattern_splits, completed_splits, joined_partitions,
     reconstruct_texts, grammar_nodes, grammar_edges, count_propagation, search_largest_prefix, search_root, search_trace, read_decomposition, unknown_blocks,
     insert_texts, insert_grammar, rule_union, example_graphs, vocab_widest_first, most_frequent_ngrams, shared_ngrams, match_patterns, neighbourhood, cond_prob, prob_within_n, next_token, most_likely_next, backoff, node_contexts, similarity, semantic_distance,
-    word_ngrams, event_ngrams, scalar_functions, streaming_counts,
+    word_ngrams, event_ngrams, scalar_functions, streaming_counts, streaming_labels, joined_patterns, read_sequences, document_labels, document_short_labels, document_spelling,
+    parsed_types, wrapper_ranges, ngram_postings, search_places, event_labels, event_rules, word_labels,
 )
 
 

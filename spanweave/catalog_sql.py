@@ -78,6 +78,35 @@ _GROWN, _GROWN_GRAMMAR = (_with(x).replace(_PARTS["corpus"], """SELECT row_numbe
 #: The example graphs as rows of (graph, parent, pattern_id, cells).
 _EXAMPLES = ", ".join(f"({g}, '{parent}', {i}, {cells})" for g, rules in EXAMPLES.items() for parent, patterns in rules.items() for i, cells in enumerate(patterns))
 
+#: Users' events as texts of one character an event, and the closed strings of them.
+_EVENTS = """WITH kinds AS (SELECT event_type, chr((96 + row_number() OVER (ORDER BY event_type))::INT) AS c FROM (SELECT DISTINCT event_type FROM events)),
+  corpus AS MATERIALIZED (SELECT user_id AS text_id, string_agg(c, '' ORDER BY ts, event_id) AS text, list(event_type ORDER BY ts, event_id) AS names FROM events JOIN kinds USING (event_type) GROUP BY user_id),
+  occ AS (SELECT text_id, text, names, pos, n, substring(text, pos + 1, n) AS ngram FROM (SELECT *, unnest(range(1, length(text) - pos + 1)) AS n FROM (SELECT *, unnest(range(0, length(text))) AS pos FROM corpus))),
+  stats AS MATERIALIZED (SELECT ngram, n, count(*) AS cnt, bool_or(n = length(text)) AS is_root, any_value(array_to_string(names[pos + 1:pos + n], ' ')) AS gram,
+    count(nullif(substring(text, pos, 1), '')) AS pc, min(nullif(substring(text, pos, 1), '')) AS pl, max(nullif(substring(text, pos, 1), '')) AS pm,
+    count(nullif(substring(text, pos + n + 1, 1), '')) AS nc, min(nullif(substring(text, pos + n + 1, 1), '')) AS nl, max(nullif(substring(text, pos + n + 1, 1), '')) AS nm FROM occ GROUP BY ngram, n),
+  base AS MATERIALIZED (SELECT ngram, n::INT AS n, gram, CASE WHEN is_root THEN 'root' WHEN n = 1 THEN 'leaf' ELSE 'frequency' END AS kind FROM stats
+    WHERE is_root OR n = 1 OR NOT coalesce(pc = cnt AND pl = pm, FALSE) AND NOT coalesce(nc = cnt AND nl = nm, FALSE))
+"""
+
+def _read(rounds: int) -> str:
+    """Reading by induction, with as many rounds as the part types settle in at any scale (a round more changes nothing)."""
+    out = """, letters AS (SELECT DISTINCT unnest(string_split(query, '')) AS ngram FROM queries), k0 AS MATERIALIZED (SELECT ngram FROM labels UNION SELECT ngram FROM letters)"""
+    for r in range(rounds + 1):
+        out += f""", b{r} AS MATERIALIZED (SELECT query, pos, max(w) AS w FROM (SELECT *, unnest(range(1, length(query) - pos + 1)) AS w FROM (SELECT query, unnest(range(0, length(query))) AS pos FROM queries))
+        WHERE substring(query, pos + 1, w) IN (SELECT ngram FROM k{r}) GROUP BY query, pos),
+      m{r} AS (SELECT * FROM b{r} a WHERE NOT EXISTS (SELECT 1 FROM b{r} b WHERE b.query = a.query AND b.pos < a.pos AND b.pos + b.w >= a.pos + a.w)),
+      c{r} AS MATERIALIZED (SELECT query, min(pos) AS pos, max(pos + w) AS e, count(*) AS links FROM (SELECT *, sum(f) OVER (PARTITION BY query ORDER BY pos) AS chain FROM
+        (SELECT *, CASE WHEN coalesce(max(pos + w) OVER (PARTITION BY query ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= pos, TRUE) THEN 1 ELSE 0 END AS f FROM m{r})) GROUP BY query, chain),
+      k{r + 1} AS MATERIALIZED (SELECT ngram FROM k{r} UNION SELECT substring(query, pos + 1, e - pos) FROM c{r} WHERE links > 1)"""
+    return out + f""" SELECT query, (row_number() OVER (PARTITION BY query ORDER BY pos) - 1)::INT AS sub_index, pos::INT AS "offset", substring(query, pos + 1, e - pos) AS child, (e - pos)::INT AS child_n FROM c{rounds}"""
+
+
+_CUT = """, cut AS (SELECT parent, (length(parent) // 2)::INT AS "at", TRUE AS top FROM grammar UNION SELECT parent, "offset", FALSE FROM grammar WHERE "offset" > 0),
+  borders AS (SELECT parent, "at" FROM cut UNION SELECT parent, 0 FROM cut UNION SELECT parent, length(parent)::INT FROM cut),
+  ranges AS MATERIALIZED (SELECT a.parent, a."at" AS lo, b."at" AS hi FROM borders a JOIN borders b ON a.parent = b.parent AND a."at" < b."at"
+    WHERE EXISTS (SELECT 1 FROM cut t WHERE t.top AND t.parent = a.parent AND (a."at" >= t."at" OR b."at" <= t."at")))"""
+
 def _completed(rounds: int) -> str:
     """Inner and passed splits of the part names' thirds; texts of at most `rounds` characters settle in as many rounds."""
     inner = """SELECT DISTINCT r.parent, "at" FROM (SELECT parent, unnest([min("offset"), max("offset" + child_n)]) AS "at" FROM
@@ -183,5 +212,32 @@ SQL = {
       SELECT array_to_string(c[i:i + n - 1], ' ') AS gram, n::INT AS n, count(*) AS cnt FROM (SELECT *, unnest(range(1, least(3, len(c) - i + 1) + 1)) AS n FROM (SELECT c, unnest(range(1, len(c) + 1)) AS i FROM s)) GROUP BY 1, 2""",
     "scalar_functions": _with("corpus") + """SELECT text, strlen(text)::INT AS bytes, left(text, 1) AS first, CASE WHEN length(text) > 8 THEN left(text, 5) || '...' ELSE text END AS short,
       base64(encode(text)) AS b64, text AS back, length(text)::INT AS chars, round(100.0::DOUBLE * length(text) / 12, 6) AS percent FROM corpus""",
+    "streaming_labels": _with("base") + "SELECT * FROM base",
+    "joined_patterns": _with("grammar") + _CUT + """, rules AS (SELECT substring(r.parent, lo + 1, hi - lo) AS node, [c."at" - lo] AS b FROM ranges r JOIN cut c ON c.parent = r.parent AND lo < c."at" AND c."at" < hi
+        UNION SELECT parent, ["at"] FROM cut WHERE top
+        UNION SELECT substring(r.parent, lo + 1, hi - lo), list_sort(list_distinct(list(g."offset" - lo) FILTER (g."offset" > lo AND g."offset" < hi))) FROM ranges r JOIN grammar g ON g.parent = r.parent
+          WHERE NOT EXISTS (SELECT 1 FROM cut c WHERE c.parent = r.parent AND lo < c."at" AND c."at" < hi) GROUP BY r.parent, lo, hi, g.pattern_id HAVING count(*) FILTER (g."offset" > lo AND g."offset" < hi) > 0),
+      numbered AS (SELECT node, [0] || b || [length(node)] AS e, row_number() OVER (PARTITION BY node ORDER BY b) - 1 AS pattern_id FROM rules),
+      cells AS (SELECT *, unnest(range(1, len(e))) AS i FROM numbered)
+      SELECT node AS parent, pattern_id::INT AS pattern_id, (i - 1)::INT AS sub_index, e[i]::INT AS "offset", substring(node, e[i] + 1, e[i + 1] - e[i]) AS child, (e[i + 1] - e[i])::INT AS child_n FROM cells""",
+    "read_sequences": _with("queries", "labels") + _read(6),
+    "document_short_labels": """WITH d AS MATERIALIZED (SELECT string_split(text, '') AS c FROM documents WHERE length(text) > 0),
+      p AS (SELECT c, unnest(range(1, len(c) + 1)) AS i FROM d), o AS (SELECT array_to_string(c[i:i + 8], '') AS w, c[i - 1] AS prev, i, len(c) AS len, c[i + 9] AS far FROM p),
+      s AS (SELECT left(w, n) AS ngram, n, count(*) AS cnt, count(prev) AS pc, min(prev) AS pl, max(prev) AS pm, count(nx) AS nc, min(nx) AS nl, max(nx) AS nm FROM
+        (SELECT w, n, prev, CASE WHEN n = 9 THEN far WHEN n < length(w) THEN substring(w, n + 1, 1) END AS nx FROM (SELECT *, unnest(range(2, length(w) + 1)) AS n FROM o)) GROUP BY left(w, n), n)
+      SELECT ngram, n::INT AS n, cnt FROM s WHERE cnt > 1 AND NOT coalesce(pc = cnt AND pl = pm, FALSE) AND NOT coalesce(nc = cnt AND nl = nm, FALSE)""",
+    "document_spelling": "SELECT doc_id, md5(text) AS digest FROM documents WHERE length(text) > 1",
+    "parsed_types": _with("queries") + "SELECT query AS text, query AS spelled FROM queries WHERE length(query) > 1",
+    "wrapper_ranges": _with("li", "corpus") + """, spans AS (SELECT DISTINCT a.text_id, a.s, b.e FROM (SELECT DISTINCT text_id, s FROM li) a JOIN (SELECT DISTINCT text_id, e FROM li) b ON a.text_id = b.text_id AND b.e - a.s > 1
+        WHERE NOT EXISTS (SELECT 1 FROM (SELECT text_id, unnest(range(1, length(text))) AS x FROM corpus) i WHERE i.text_id = a.text_id AND i.x > a.s AND i.x < b.e
+          AND NOT EXISTS (SELECT 1 FROM li l WHERE l.text_id = i.text_id AND l.s >= a.s AND l.e <= b.e AND l.s < i.x AND i.x < l.e)))
+      SELECT text_id, s::INT AS s, min(e)::INT AS lo, max(e)::INT AS hi FROM (SELECT *, e - row_number() OVER (PARTITION BY text_id, s ORDER BY e) AS island FROM spans) GROUP BY text_id, s, island""",
+    "ngram_postings": _with("occ") + """, x AS (SELECT ngram, text_id // 16 AS block, text_id % 16 AS t, pos, lag(text_id % 16) OVER w AS lt, lag(pos) OVER w AS lp FROM occ WINDOW w AS (PARTITION BY ngram, text_id // 16 ORDER BY text_id, pos))
+      SELECT ngram, block, count(*) AS cnt, string_agg((t - coalesce(lt, 0))::VARCHAR, ',' ORDER BY t, pos) AS texts, string_agg((pos - CASE WHEN lt = t THEN lp ELSE 0 END)::VARCHAR, ',' ORDER BY t, pos) AS "at" FROM x GROUP BY ngram, block""",
+    "search_places": _with("prefix", "occ") + """SELECT query, left(query, prefix.n) AS "match", text_id, pos FROM prefix JOIN occ ON ngram = left(query, prefix.n)""",
+    "event_labels": _EVENTS + "SELECT gram, n, kind FROM base",
+    "event_rules": _EVENTS.replace("WITH ", "WITH RECURSIVE ", 1) + """, best AS MATERIALIZED (SELECT text_id, pos, max(n) AS n FROM occ WHERE ngram IN (SELECT ngram FROM base WHERE kind <> 'root') GROUP BY text_id, pos),
+      walk AS (SELECT text_id, 0 AS pos, 0 AS i FROM corpus WHERE length(text) > 1 UNION ALL SELECT w.text_id, w.pos + b.n, w.i + 1 FROM walk w JOIN best b USING (text_id, pos) JOIN corpus c USING (text_id) WHERE w.pos + b.n < length(c.text))
+      SELECT text_id AS user_id, i::INT AS sub_index, pos::INT AS "offset", array_to_string(names[pos + 1:pos + n], ' ') AS gram, n::INT AS n FROM walk JOIN best USING (text_id, pos) JOIN corpus USING (text_id)""",
     "streaming_counts": _with("vocab") + "SELECT ngram, n, cnt FROM vocab",
 }

@@ -49,20 +49,40 @@ def occurrences(corpus: DataFrame, max_n: int | None = None, min_n: int = 1, ngr
 
 
 def counts(corpus: DataFrame, max_n: int | None = None, min_n: int = 1) -> DataFrame:
-    """ngram, n, cnt. Occurrences are aggregated where they are made and carry nothing else."""
-    return occurrences(corpus, max_n, min_n, ngrams_only=True).groupBy("ngram").agg(F.count("*").alias("cnt")).select("ngram", F.length("ngram").alias("n"), "cnt")
+    """ngram, n, cnt. Occurrences are aggregated where they are made and carry nothing else.
+
+    With max_n, each position yields its widest n-gram alone; narrower ones are prefixes of those, so they are summed over
+    the distinct ones, which are far fewer than the positions.
+    """
+    if max_n is None:
+        return occurrences(corpus, max_n, min_n, ngrams_only=True).groupBy("ngram").agg(F.count("*").alias("cnt")).select("ngram", F.length("ngram").alias("n"), "cnt")
+    widest = _widest(corpus, max_n).groupBy("ngram").agg(F.count("*").alias("cnt")).filter(F.length("ngram") >= min_n)
+    each = widest.select("cnt", F.explode(F.transform(F.sequence(F.lit(min_n), F.length("ngram")), lambda n: F.substring("ngram", F.lit(1), n))).alias("ngram"))
+    return each.groupBy("ngram").agg(F.sum("cnt").alias("cnt")).select("ngram", F.length("ngram").alias("n"), "cnt")
+
+
+def _widest(corpus: DataFrame, max_n: int) -> DataFrame:
+    """(ngram): the widest n-gram of at most max_n characters that starts at each position of a corpus."""
+    d = corpus.filter(F.length("text") > 0).select(F.lit(0).alias("base"), F.lit(0).alias("lead"), F.length("text").alias("starts"), "text")
+    for size in CHUNKS:
+        d = d.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("starts") - 1, F.lit(size)), _cut(size, max_n))).alias("x")).select("x.*")
+    grams = F.transform(F.sequence(F.lit(1), F.col("starts")), lambda p: F.substring(F.col("text"), F.col("lead") + p, F.lit(max_n)))
+    return d.select(F.explode(grams).alias("ngram"))
 
 
 def token_counts(tokens: DataFrame, max_n: int, column: str = "tokens") -> DataFrame:
-    """gram (array<string>), n, cnt of token arrays: keys are arrays, so tokens may hold any character."""
+    """gram (array<string>), n, cnt of token arrays: keys are arrays, so tokens may hold any character.
+
+    As in counts(), each position yields its widest gram alone, and narrower ones are summed over the distinct ones.
+    """
     d = tokens.select(F.col(column).alias("w")).filter(F.size("w") > 0)
     # pieces of start positions with the tokens they need, so no row carries a whole text for each of its positions
     starts = F.sequence(F.lit(1), F.size("w"), F.lit(TOKEN_CHUNK))
     d = d.select(F.explode(F.transform(starts, lambda p: F.struct(F.least(F.lit(TOKEN_CHUNK), F.size("w") - p + 1).alias("starts"), F.slice("w", p, TOKEN_CHUNK + max_n - 1).alias("w")))).alias("x")).select("x.*")
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.least(F.col("starts"), F.size("w") - n + 1)), lambda p: F.slice("w", p, n))
-    some = [F.when(F.size("w") >= n, grams(n)).otherwise(F.array().cast("array<array<string>>")) for n in range(1, max_n + 1)]
-    d = d.select(F.explode(F.concat(*some)).alias("gram"))
-    return d.groupBy("gram").agg(F.count("*").alias("cnt")).select("gram", F.size("gram").alias("n"), "cnt")
+    d = d.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("starts")), lambda p: F.slice("w", p, max_n))).alias("gram"))
+    d = d.groupBy("gram").agg(F.count("*").alias("cnt"))
+    each = d.select("cnt", F.explode(F.transform(F.sequence(F.lit(1), F.size("gram")), lambda n: F.slice("gram", 1, n))).alias("gram"))
+    return each.groupBy("gram").agg(F.sum("cnt").alias("cnt")).select("gram", F.size("gram").alias("n"), "cnt")
 
 
 def repeated(counted: DataFrame) -> DataFrame:
@@ -92,3 +112,33 @@ def running_offset(edges: DataFrame) -> DataFrame:
     """Pattern cells with their offset, as the sum of the widths before them."""
     w = Window.partitionBy("parent", "pattern_id").orderBy("sub_index").rowsBetween(Window.unboundedPreceding, -1)
     return edges.withColumn("offset", F.coalesce(F.sum("child_n").over(w), F.lit(0)).cast("int"))
+
+
+def postings(corpus: DataFrame, max_n: int | None = None, block_texts: int = 4096) -> DataFrame:
+    """ngram, block, cnt, texts, at: an inverted index. A block covers block_texts consecutive text ids, so an n-gram of every text
+    is as many rows as there are blocks, and no row grows with the corpus.
+
+    texts and at hold each occurrence in order: the text id less that of the occurrence before it (of the block's first id,
+    at the beginning), and the position, less that before it where both are in one text.
+    """
+    begin = F.floor(F.col("text_id") / block_texts) * block_texts
+    o = occurrences(corpus, max_n).select("ngram", F.floor(F.col("text_id") / block_texts).alias("block"), F.struct((F.col("text_id") - begin).cast("int").alias("t"), "pos").alias("x"))
+    d = o.groupBy("ngram", "block").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    last = lambda i: F.get("xs", i - 1)
+    texts = F.transform("xs", lambda x, i: x["t"] - F.coalesce(last(i)["t"], F.lit(0)))
+    at = F.transform("xs", lambda x, i: x["pos"] - F.when(last(i)["t"] == x["t"], last(i)["pos"]).otherwise(0))
+    return d.select("ngram", "block", F.size("xs").cast("long").alias("cnt"), texts.alias("texts"), at.alias("at"))
+
+
+def located(index: DataFrame, ngrams: DataFrame, block_texts: int = 4096) -> DataFrame:
+    """ngrams(ngram) -> (ngram, text_id, pos): where they occur, read from postings()."""
+    step = F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).alias("p"), F.array().cast("array<struct<t:bigint,p:int>>").alias("out"))
+
+    def add(s, x):
+        t = s["t"] + x["texts"]
+        p = F.when((x["texts"] == 0) & (F.size(s["out"]) > 0), s["p"]).otherwise(0) + x["at"]
+        return F.struct(t.alias("t"), p.alias("p"), F.concat(s["out"], F.array(F.struct(t.alias("t"), p.alias("p")))).alias("out"))
+
+    hit = index.join(ngrams.select("ngram").distinct(), "ngram", "left_semi")
+    hit = hit.select("ngram", "block", F.explode(F.aggregate(F.arrays_zip("texts", "at"), step, add, lambda s: s["out"])).alias("x"))
+    return hit.select("ngram", (F.col("block") * block_texts + F.col("x.t")).alias("text_id"), F.col("x.p").alias("pos"))

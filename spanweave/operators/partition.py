@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,17 +81,18 @@ def partition_lines(cover: DataFrame) -> DataFrame:
     return cover.groupBy("parent").applyInPandas(_pack, EDGE)
 
 
-def partition_graph(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def partition_graph(labels: DataFrame, check: Callable[[], None] = lambda: None) -> tuple[DataFrame, DataFrame]:
     """(partition_edge, labels) from the roots down, layer by layer.
 
     All nodes of a layer use the labels of its start. Unlabelled children become labels, and so do the maximal strings that
     two or more of them share; every new label is partitioned in a later layer. Children are narrower than their parents, so
-    there are at most as many layers as the widest label has characters.
+    there are at most as many layers as the widest label has characters. check is called before each layer, and may raise.
     """
     labels = settle(labels.select("ngram", "n", "kind"), "labels")
     layer = settle(labels.filter("kind = 'root' AND n > 1").select("ngram", "n"), "layer")
     done, found = layer.limit(0), []
     while not layer.isEmpty():
+        check()
         edges = settle(partition_lines(child_cover(labels, layer)), "lines")
         found.append(edges)
         done = settle(done.union(layer), "done")
@@ -189,3 +192,28 @@ def joined_partitions(splits: DataFrame) -> DataFrame:
     ends = d.select("parent", "at").union(d.select("parent", F.lit(0))).union(d.select("parent", F.length("parent"))).distinct()
     pairs = ends.withColumnRenamed("at", "lo").join(ends.withColumnRenamed("at", "hi"), "parent").filter("lo < hi").join(tops, "parent")
     return pairs.filter("lo >= first_top OR hi <= last_top").select("parent", "lo", "hi", F.substring("parent", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("part"))
+
+
+def joined_patterns(edges: DataFrame, splits: DataFrame) -> DataFrame:
+    """partition_edge rows of the nodes that splits(parent, at, top) bring about, and the new ones of their parents.
+
+    Every range of joined_partitions() is one node, whatever pattern or parent it comes from. A range without a split inside
+    keeps its parent's patterns, as far as they lie in it, cells at its ends cut. A wider one has a pattern of two narrower
+    nodes for each split inside it, and a parent one for each of its top splits. A pattern is known by where it is cut, so
+    patterns that several ranges bring about are one row each.
+    """
+    ranges = joined_partitions(splits).distinct()
+    cuts = splits.select("parent", "at").distinct()
+    inside = ranges.join(cuts, "parent").filter("lo < at AND at < hi")
+    wider = inside.select(F.col("part").alias("node"), F.array(F.col("at") - F.col("lo")).alias("bounds"))
+    whole = splits.filter("top").select(F.col("parent").alias("node"), F.array("at").alias("bounds"))
+    alone = ranges.join(inside.select("parent", "lo", "hi").distinct(), ["parent", "lo", "hi"], "left_anti")
+    cells = alone.join(edges.select("parent", "pattern_id", "offset"), "parent")
+    own = F.sort_array(F.collect_set(F.when((F.col("offset") > F.col("lo")) & (F.col("offset") < F.col("hi")), F.col("offset") - F.col("lo"))))
+    kept = cells.groupBy("parent", "lo", "hi", "part", "pattern_id").agg(own.alias("bounds")).filter(F.size("bounds") > 0).select(F.col("part").alias("node"), "bounds")
+    rules = wider.union(whole).union(kept).distinct()
+    rules = rules.withColumn("pattern_id", F.row_number().over(Window.partitionBy("node").orderBy("bounds")) - 1)
+    ends = F.concat(F.array(F.lit(0)), "bounds", F.array(F.length("node")))
+    out = rules.select("node", "pattern_id", ends.alias("ends"), F.posexplode(F.slice(ends, 1, F.size("bounds") + 1)).alias("sub_index", "offset"))
+    child = F.substring("node", F.col("offset") + 1, F.get("ends", F.col("sub_index") + 1) - F.col("offset"))
+    return out.select(F.col("node").alias("parent"), "pattern_id", "sub_index", "offset", child.alias("child"), F.length(child).alias("child_n"))

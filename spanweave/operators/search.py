@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.ngrams import occurrences
 from ..plans.tables import settle
 from .containment import vocabulary
-from .cover import maximal
+from .cover import NARROW, maximal
 from .labels import base_labels, wrapper_labels
+from .whole import labelled_prefixes
 
 
 def match_patterns(a: Column, b: Column) -> Column:
@@ -77,14 +78,25 @@ def trace(matches: DataFrame) -> DataFrame:
     return every.distinct()
 
 
-def decomposition(queries: DataFrame, labels: DataFrame) -> DataFrame:
-    """query, offset, ngram, n: at each place the longest label that starts there, less those inside another."""
-    q = queries.filter(F.length("query") > 0)
+def longest_labels(queries: DataFrame, labels: DataFrame) -> DataFrame:
+    """query, offset, child_n: the longest label that starts at each place. Queries of up to NARROW characters are compared by all
+    their substrings, in one join; wider ones by labelled_prefixes()."""
+    wide = queries.filter(F.length("query") > NARROW).select("query").distinct()
+    wide = settle(wide.select(F.monotonically_increasing_id().alias("text_id"), F.col("query").alias("text")), "wide")
+    q = queries.filter((F.length("query") > 0) & (F.length("query") <= NARROW))
     q = q.select("query", F.explode(F.sequence(F.lit(0), F.length("query") - 1)).alias("offset"))
     q = q.select("*", F.explode(F.sequence(F.lit(1), F.length("query") - F.col("offset"))).alias("n"))
     q = q.withColumn("ngram", F.substring("query", F.col("offset") + 1, F.col("n")))
     hit = q.join(labels.select("ngram"), "ngram", "left_semi").groupBy("query", "offset").agg(F.max("n").alias("child_n"))
-    best = maximal(hit, "query")
+    if wide.isEmpty():
+        return hit
+    more = labelled_prefixes(wide, labels).join(wide, "text_id")
+    return hit.unionByName(more.select(F.col("text").alias("query"), F.col("pos").alias("offset"), F.col("n").alias("child_n")))
+
+
+def decomposition(queries: DataFrame, labels: DataFrame) -> DataFrame:
+    """query, offset, ngram, n: at each place the longest label that starts there, less those inside another."""
+    best = maximal(longest_labels(queries, labels), "query")
     return best.select("query", "offset", F.substring("query", F.col("offset") + 1, F.col("child_n")).alias("ngram"), F.col("child_n").alias("n"))
 
 
@@ -111,3 +123,46 @@ def inserted(corpus: DataFrame, labels: DataFrame, texts: DataFrame, max_n: int
     kept = labels.filter("kind <> 'wrapper'").select("ngram", "n", "kind").join(again, "ngram", "left_anti")
     base = settle(kept.unionByName(again), "base")
     return base.unionByName(wrapper_labels(every, base, max_n).withColumn("kind", F.lit("wrapper")))
+
+
+def overlap_chains(queries: DataFrame, labels: DataFrame) -> DataFrame:
+    """query, offset, n, links: runs of known strings of which each starts before the one before it ends, as one interval each.
+
+    The strings are the longest that start at each place, less those inside another: from a match, the next one is that of its
+    longest postfix that a known string continues beyond it. Places where nothing known starts are strings of one character.
+    """
+    q = queries.filter(F.length("query") > 0).select("query").distinct()
+    single = q.select("query", F.explode(F.sequence(F.lit(0), F.length("query") - 1)).alias("offset"), F.lit(1).alias("child_n"))
+    best = longest_labels(q, labels).unionByName(single).groupBy("query", "offset").agg(F.max("child_n").alias("child_n"))
+    best = maximal(best, "query")
+    before = Window.partitionBy("query").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.max(F.col("offset") + F.col("child_n")).over(before) <= F.col("offset"), F.lit(True))
+    chain = F.sum(first.cast("int")).over(Window.partitionBy("query").orderBy("offset"))
+    runs = best.withColumn("first", first).withColumn("chain", chain).groupBy("query", "chain")
+    runs = runs.agg(F.min("offset").alias("offset"), F.max(F.col("offset") + F.col("child_n")).alias("end"), F.count("*").alias("links"))
+    return runs.select("query", "offset", (F.col("end") - F.col("offset")).cast("int").alias("n"), "links")
+
+
+def read_sequences(queries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rules, labels) after all sequences of queries(query) were read, by induction.
+
+    A round takes every sequence's chains of overlapping known strings with the labels of its start, and inserts what each chain
+    spans as a label (kind inserted), which the next round's matches begin with. Rounds end when no chain is new, with each
+    sequence a row of known strings that don't overlap; that is its rule (query, sub_index, offset, child, child_n). Unknown
+    characters become labels too, and the sequences themselves (kind root). All sequences of a round see the same labels, so
+    neither their order nor their partitioning matters.
+    """
+    q = settle(queries.filter(F.length("query") > 0).select("query").distinct(), "sequences")
+    leaves = q.select(F.explode(F.array_distinct(F.split("query", ""))).alias("ngram")).distinct().join(labels.select("ngram"), "ngram", "left_anti")
+    known = settle(labels.select("ngram", "n", "kind").unionByName(leaves.select("ngram", F.lit(1).alias("n"), F.lit("leaf").alias("kind"))), "known")
+    while True:
+        chains = settle(overlap_chains(q, known), "chains")
+        spans = chains.filter("links > 1").select(F.substring("query", F.col("offset") + 1, F.col("n")).alias("ngram")).distinct()
+        new = settle(spans.join(known.select("ngram"), "ngram", "left_anti"), "inserted")
+        if new.isEmpty():
+            break
+        known = settle(known.unionByName(new.select("ngram", F.length("ngram").alias("n"), F.lit("inserted").alias("kind"))), "known")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("offset")) - 1
+    rules = chains.select("query", place.alias("sub_index"), "offset", F.substring("query", F.col("offset") + 1, F.col("n")).alias("child"), F.col("n").alias("child_n"))
+    roots = q.select(F.col("query").alias("ngram")).join(known.select("ngram"), "ngram", "left_anti")
+    return rules, known.unionByName(roots.select("ngram", F.length("ngram").alias("n"), F.lit("root").alias("kind")))

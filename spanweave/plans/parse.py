@@ -7,8 +7,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import containment, labels, partition
+from ..operators import containment, labels, partition, whole
 from ..sources.corpus import non_empty
 from .tables import settle
 
@@ -18,7 +19,7 @@ class Stage(enum.IntEnum):
 
 
 class Cancelled(RuntimeError):
-    """The run was told to stop between two stages."""
+    """The run was told to stop between two stages or layers."""
 
 
 @dataclass
@@ -36,22 +37,41 @@ class Parsed:
 
 def parse_corpus(corpus: DataFrame, until: Stage = Stage.FINISHED, max_n: int | None = None, resume: Parsed | None = None,
                  progress: Callable[[Stage], None] | None = None, cancelled: Callable[[], bool] | None = None) -> Parsed:
-    """Runs the stages that `resume` has not run yet. max_n bounds n-grams, which long texts need: labels are then exact up
-    to that width. progress is told each stage before it runs; cancelled is asked between stages. Run it by run_tagged() to stop its jobs."""
+    """Runs the stages that `resume` has not run yet. max_n bounds n-grams, which long texts need: labels are then the whole texts
+    and what is exact up to that width, and the grammar has one rule a label, its tiling by the longest narrower ones from
+    the left, so that every text is spelled. progress is told each stage before it runs; cancelled is asked between stages and
+    between the layers of the grammar. Run it by run_tagged() to stop its jobs."""
     out = resume or Parsed(non_empty(corpus))
 
+    def check() -> None:
+        if cancelled and cancelled():
+            raise Cancelled("within a stage")
+
+    def with_roots(found: DataFrame) -> DataFrame:
+        """found with the texts that are wider than max_n."""
+        if max_n is None:
+            return found
+        wide = out.corpus.filter(F.length("text") > max_n).select(F.col("text").alias("ngram")).distinct()
+        return found.unionByName(wide.select("ngram", F.length("ngram").alias("n"), F.lit("root").alias("kind")))
+
     def contained() -> None:
         out.vocab = settle(containment.vocabulary(out.corpus, max_n), "vocab")
         out.containment = containment.edges(out.vocab)
 
     def frequent() -> None:
-        out.labels = labels.base_labels(out.vocab)
+        out.labels = with_roots(labels.base_labels(out.vocab))
 
     def wrapped() -> None:
-        out.labels = settle(labels.all_labels(out.corpus, out.vocab, max_n), "labels")
+        out.labels = settle(with_roots(labels.all_labels(out.corpus, out.vocab, max_n)), "labels")
 
     def partitioned() -> None:
-        out.graph, out.labels = partition.partition_graph(out.labels)
+        if max_n is None:
+            out.graph, out.labels = partition.partition_graph(out.labels, check)
+        else:
+            roots = settle(out.labels.filter("kind = 'root'").select(F.monotonically_increasing_id().alias("text_id"), F.col("ngram").alias("text")), "roots")
+            tops, rules = whole.text_grammar(roots, out.labels)
+            named = tops.join(roots.withColumnRenamed("text", "parent"), "text_id").select("parent", "sub_index", "offset", "child", "child_n")
+            out.graph = settle(named.unionByName(rules).withColumn("pattern_id", F.lit(0)), "graph")
 
     work = {Stage.CONTAINMENT: contained, Stage.FREQUENCY: frequent, Stage.WRAPPERS: wrapped, Stage.PARTITIONS: partitioned, Stage.FINISHED: lambda: None}
     for stage, run in work.items():
