@@ -221,8 +221,10 @@ SQL = {
       cells AS (SELECT *, unnest(range(1, len(e))) AS i FROM numbered)
       SELECT node AS parent, pattern_id::INT AS pattern_id, (i - 1)::INT AS sub_index, e[i]::INT AS "offset", substring(node, e[i] + 1, e[i + 1] - e[i]) AS child, (e[i + 1] - e[i])::INT AS child_n FROM cells""",
     "read_sequences": _with("queries", "labels") + _read(6),
-    "document_short_labels": """WITH d AS MATERIALIZED (SELECT string_split(text, '') AS c FROM documents WHERE length(text) > 0),
-      p AS (SELECT c, unnest(range(1, len(c) + 1)) AS i FROM d), o AS (SELECT array_to_string(c[i:i + 8], '') AS w, c[i - 1] AS prev, i, len(c) AS len, c[i + 9] AS far FROM p),
+    "document_short_labels": """WITH d AS MATERIALIZED (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE length(text) > 0),
+      p AS (SELECT doc_id, unnest(c) AS ch, unnest(range(len(c))) AS i FROM d),
+      o AS (SELECT lag(ch) OVER t AS prev, concat(ch, lead(ch, 1) OVER t, lead(ch, 2) OVER t, lead(ch, 3) OVER t, lead(ch, 4) OVER t, lead(ch, 5) OVER t, lead(ch, 6) OVER t, lead(ch, 7) OVER t, lead(ch, 8) OVER t) AS w,
+        lead(ch, 9) OVER t AS far FROM p WINDOW t AS (PARTITION BY doc_id ORDER BY i)),
       s AS (SELECT left(w, n) AS ngram, n, count(*) AS cnt, count(prev) AS pc, min(prev) AS pl, max(prev) AS pm, count(nx) AS nc, min(nx) AS nl, max(nx) AS nm FROM
         (SELECT w, n, prev, CASE WHEN n = 9 THEN far WHEN n < length(w) THEN substring(w, n + 1, 1) END AS nx FROM (SELECT *, unnest(range(2, length(w) + 1)) AS n FROM o)) GROUP BY left(w, n), n)
       SELECT ngram, n::INT AS n, cnt FROM s WHERE cnt > 1 AND NOT coalesce(pc = cnt AND pl = pm, FALSE) AND NOT coalesce(nc = cnt AND nl = nm, FALSE)""",

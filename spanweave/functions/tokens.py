@@ -15,7 +15,7 @@ MOST = LAST + 1 - FIRST - GAP
 def _character(number: Column) -> Column:
     code = number + FIRST
     code = F.when(code >= GAP_AT, code + GAP).otherwise(code)
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")  # behind a byte order mark
 
 
 def alphabet(sequences: DataFrame, column: str = "tokens") -> DataFrame:

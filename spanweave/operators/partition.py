@@ -202,7 +202,8 @@ def joined_patterns(edges: DataFrame, splits: DataFrame) -> DataFrame:
     nodes for each split inside it, and a parent one for each of its top splits. A pattern is known by where it is cut, so
     patterns that several ranges bring about are one row each.
     """
-    ranges = joined_partitions(splits).distinct()
+    splits, edges = settle(splits.select("parent", "at", "top"), "splits"), settle(edges.select("parent", "pattern_id", "offset"), "cells")
+    ranges = settle(joined_partitions(splits).distinct(), "ranges")
     cuts = splits.select("parent", "at").distinct()
     inside = ranges.join(cuts, "parent").filter("lo < at AND at < hi")
     wider = inside.select(F.col("part").alias("node"), F.array(F.col("at") - F.col("lo")).alias("bounds"))
@@ -211,7 +212,7 @@ def joined_patterns(edges: DataFrame, splits: DataFrame) -> DataFrame:
     cells = alone.join(edges.select("parent", "pattern_id", "offset"), "parent")
     own = F.sort_array(F.collect_set(F.when((F.col("offset") > F.col("lo")) & (F.col("offset") < F.col("hi")), F.col("offset") - F.col("lo"))))
     kept = cells.groupBy("parent", "lo", "hi", "part", "pattern_id").agg(own.alias("bounds")).filter(F.size("bounds") > 0).select(F.col("part").alias("node"), "bounds")
-    rules = wider.union(whole).union(kept).distinct()
+    rules = settle(wider.union(whole).union(kept).distinct(), "rules")
     rules = rules.withColumn("pattern_id", F.row_number().over(Window.partitionBy("node").orderBy("bounds")) - 1)
     ends = F.concat(F.array(F.lit(0)), "bounds", F.array(F.length("node")))
     out = rules.select("node", "pattern_id", ends.alias("ends"), F.posexplode(F.slice(ends, 1, F.size("bounds") + 1)).alias("sub_index", "offset"))
