@@ -45,8 +45,9 @@ def encoded(sequences: DataFrame, symbols: DataFrame, column: str = "tokens") ->
 
 def decoded(rows: DataFrame, symbols: DataFrame, column: str, between: str = " ") -> DataFrame:
     """rows with `column`, a text of symbols, as its tokens, joined by `between`. Each distinct text is looked up once."""
-    texts = rows.select(F.col(column).alias("__text")).distinct()
-    each = texts.select("__text", F.posexplode(F.split("__text", "")).alias("pos", "symbol")).join(symbols, "symbol")
+    key = F.sha2(F.col(column), 256)  # a text is not carried along with each of its characters
+    texts = rows.select(F.col(column).alias("__text")).distinct().withColumn(column, F.col("__text"))
+    each = texts.select(key.alias("__key"), F.posexplode(F.split("__text", "")).alias("pos", "symbol")).join(symbols, "symbol")
     spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), between)
-    named = each.groupBy("__text").agg(spelled.alias("__spelled"))
-    return rows.join(named, rows[column] == named["__text"]).withColumn(column, F.col("__spelled")).select(*rows.columns)
+    named = each.groupBy("__key").agg(spelled.alias("__spelled"))
+    return rows.withColumn("__key", key).join(named, "__key").withColumn(column, F.col("__spelled")).select(*rows.columns)
