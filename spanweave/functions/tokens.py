@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import settle
+from ..sources.corpus import numbered
 
 #: Characters from the first on, less the surrogates, which are no characters.
 FIRST, GAP_AT, GAP, LAST = 0x100, 0xD800, 0x800, 0x10FFFF
@@ -19,21 +20,12 @@ def _character(number: Column) -> Column:
 
 
 def alphabet(sequences: DataFrame, column: str = "tokens") -> DataFrame:
-    """(token, symbol): a character for each distinct token, in no particular order; an error for more than MOST of them.
-
-    Partitions number their own tokens, from where those before them end.
-    """
-    each = settle(sequences.select(F.explode(column).alias("token")).filter("token IS NOT NULL").distinct().withColumn("m", F.monotonically_increasing_id()), "alphabet")
-    sizes = each.groupBy(F.shiftright("m", 33).alias("part")).agg(F.count("*").alias("k")).orderBy("part").collect()  # a row a partition
-    begins, at = [], 0
-    for r in sizes:
-        begins.append((r.part, at))
-        at += r.k
-    if at > MOST:
-        raise ValueError(f"{at} distinct tokens; at most {MOST} have a character")
-    begin = each.sparkSession.createDataFrame(begins, "part long, begin long")
-    numbered = each.withColumn("part", F.shiftright("m", 33)).join(F.broadcast(begin), "part")
-    return settle(numbered.select("token", _character(F.col("begin") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("symbol")), "alphabet")
+    """(token, symbol): a character for each distinct token, in their order; an error for more than MOST of them."""
+    each = numbered(sequences.select(F.explode(column).alias("token")).filter("token IS NOT NULL").distinct(), "token", "number")
+    most = each.agg(F.max("number")).first()[0]
+    if (most or 0) >= MOST:
+        raise ValueError(f"{most + 1} distinct tokens; at most {MOST} have a character")
+    return settle(each.select("token", _character(F.col("number")).alias("symbol")), "alphabet")
 
 
 def encoded(sequences: DataFrame, symbols: DataFrame, column: str = "tokens") -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import settle
+
 
 class EmptyVocabularyError(ValueError):
     """A corpus without a character has no vocabulary."""
@@ -21,14 +23,28 @@ def from_column(df: DataFrame, text: str, text_id: str | None = None, distinct:
     """A column as a corpus, empty and null texts left out.
 
     With text_id, ids are taken from that column and nothing is shuffled: the way for large tables. Without it, the
-    (distinct) texts are numbered in their order, which sorts them in one pass: for vocabularies such as names.
+    (distinct) texts are numbered in their order: dealt by ranges, they are numbered within each and from where those before
+    it end.
     """
     d = df.filter(F.length(text) > 0)
     if text_id:
         return d.select(F.col(text_id).cast("long").alias("text_id"), F.col(text).alias("text"))
     d = d.select(F.col(text).alias("text"))
     d = d.distinct() if distinct else d
-    return d.select((F.row_number().over(Window.orderBy("text")) - 1).cast("long").alias("text_id"), "text")
+    return numbered(d, "text").select("text_id", "text")
+
+
+def numbered(rows: DataFrame, order: str, number: str = "text_id") -> DataFrame:
+    """rows with their place in the order of a column, from 0, without gathering them: a row a partition reaches the driver."""
+    placed = settle(rows.orderBy(order).withColumn("__m", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__m", 33)
+    begins, at = [], 0
+    for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("k")).orderBy("part").collect():
+        begins.append((r.part, at))
+        at += r.k
+    begin = rows.sparkSession.createDataFrame(begins, "__part long, __begin long")
+    placed = placed.withColumn("__part", part).join(F.broadcast(begin), "__part")
+    return placed.withColumn(number, F.col("__begin") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__begin", "__m")
 
 
 def from_tsv(spark: SparkSession, path: str, column: int = 1, header: bool = True) -> DataFrame:

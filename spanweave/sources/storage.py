@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,6 +18,18 @@ class NotFoundError(StorageError):
     """No image has this key."""
 
 
+class SerializeError(StorageError):
+    """A table of an image has a column that Parquet has no type for."""
+
+
+class DeserializeError(StorageError):
+    """What is stored under a key is no image: a folder of it is no Parquet table."""
+
+
+class UnavailableError(StorageError):
+    """The store's file system cannot be reached."""
+
+
 class ImageStore:
     """Images as folders of Parquet tables below one root, on any file system that Spark writes to."""
 
@@ -23,8 +37,11 @@ class ImageStore:
         self.spark, self.root, self.enabled = spark, root.rstrip("/"), enabled
 
     def _path(self, key: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}")
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}")
+            return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        except Py4JJavaError as cause:
+            raise UnavailableError(f"{self.root}: {cause.java_exception.getMessage()}") from cause
 
     def exists(self, key: str) -> bool:
         path, fs = self._path(key)
@@ -38,7 +55,10 @@ class ImageStore:
         """Tables are written to a folder beside the image and appear under its key at once, by a rename."""
         aside = f".{key}-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{aside}/{name}")
+            try:
+                df.write.parquet(f"{self.root}/{aside}/{name}")
+            except AnalysisException as cause:
+                raise SerializeError(f"{name} of {key}: {cause}") from cause
         path, fs = self._path(key)
         fs.mkdirs(path.getParent())
         fs.delete(path, True)
@@ -50,7 +70,10 @@ class ImageStore:
         if not self.exists(key):
             raise NotFoundError(key)
         path, fs = self._path(key)
-        return {s.getPath().getName(): self.spark.read.parquet(str(s.getPath())) for s in fs.listStatus(path)}
+        try:
+            return {s.getPath().getName(): self.spark.read.parquet(str(s.getPath())) for s in fs.listStatus(path)}
+        except (AnalysisException, Py4JJavaError) as cause:
+            raise DeserializeError(f"{key}: {cause}") from cause
 
     def through(self, key: str, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
         """The stored image, or else a built one, which is stored if the cache is enabled."""
@@ -59,3 +82,10 @@ class ImageStore:
         if not self.exists(key):
             self.store(key, build())
         return self.load(key)
+
+
+def bucketed(df: DataFrame, table: str, key: str = "ngram", buckets: int = 64) -> DataFrame:
+    """df as a table of the warehouse, dealt to buckets by a column and sorted in them: joins and groupings of such tables on that
+    column, with as many buckets, move no rows. An image's vocab, labels and edges are joined on their n-grams again and again."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)

@@ -11,7 +11,8 @@ from spanweave.functions import ngrams, tokens
 from spanweave.operators import containment, cover, labels, partition, search, whole
 from spanweave.plans.parse import Cancelled, Stage, parse_corpus
 from spanweave.plans.tables import settle
-from spanweave.sources.corpus import from_texts
+from spanweave.sources.corpus import from_column, from_texts
+from spanweave.sources.storage import DeserializeError, ImageStore, SerializeError, UnavailableError, bucketed
 from spanweave.streaming.incremental import StreamingLabels
 
 
@@ -255,3 +256,40 @@ def test_counts_by_widest_ngrams(spark):
                 for j in range(i + least, min(len(t), i + most) + 1):
                     want[t[i:j]] = want.get(t[i:j], 0) + 1
         assert {r.ngram: r.cnt for r in ngrams.counts(from_texts(spark, texts), most, least).collect()} == want
+
+
+def test_numbers_follow_the_order(spark):
+    texts = [f"{(k * 7919) % 1000:03}" for k in range(1000)] + ["000", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(7)
+    assert sorted(tuple(r) for r in from_column(rows, "t").collect()) == [(k, f"{k:03}") for k in range(1000)]
+    assert from_column(rows.filter("t IS NULL"), "t").count() == 0
+
+
+def test_kinds_of_storage_errors(spark, tmp_path):
+    store = ImageStore(spark, f"file://{tmp_path}/s")
+    with pytest.raises(SerializeError):
+        store.store("k", {"vocab": spark.sql("SELECT INTERVAL 1 MONTH + INTERVAL 0 MONTH AS i, parse_json('1') IS NULL AS j, make_interval(1) AS m")})
+    assert not store.exists("k")
+    (tmp_path / "s" / "bad" / "vocab").mkdir(parents=True)
+    (tmp_path / "s" / "bad" / "vocab" / "x.parquet").write_text("no table")
+    with pytest.raises(DeserializeError):
+        store.load("bad")
+    with pytest.raises(UnavailableError):
+        ImageStore(spark, "nosuchscheme://host/x").exists("k")
+
+
+def test_bucketed_images_join_without_an_exchange(spark):
+    c = from_texts(spark, ["abab", "babc", "abcabc"])
+    vocab = containment.vocabulary(c)
+    names = [f"spanweave_test_{k}_{os.getpid()}" for k in ("vocab", "labels", "edges")]
+    try:
+        v, lab = bucketed(vocab, names[0], buckets=4), bucketed(labels.base_labels(vocab), names[1], buckets=4)
+        e = bucketed(containment.edges(vocab).withColumnRenamed("child", "ngram"), names[2], buckets=4)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for joined in (v.join(lab, "ngram", "left_semi"), e.join(lab, "ngram"), v.groupBy("ngram").count()):
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and joined.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for n in names:
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
