@@ -334,6 +334,15 @@ def example_graphs(spark, sf):
     return one.union(two).union(three)
 
 
+def graph_of_names(spark, sf):
+    """A grammar read from a table: each part name as its words and blanks, and as its first word with a blank before the rest."""
+    names = _names(spark, sf).select(F.col("text").alias("parent"))
+    words = names.select("parent", F.lit(0).alias("pattern_id"), F.expr("regexp_extract_all(parent, '[^ ]+| ', 0)").alias("cells"))
+    at = F.instr("parent", " ")
+    halves = names.filter((at > 1) & (at < F.length("parent"))).select("parent", F.lit(1), F.array(F.left("parent", at), F.substring("parent", at + 1, F.length("parent"))))
+    return graphs.from_table(words.union(halves))
+
+
 def vocab_widest_first(spark, sf):
     return containment.widest_first(_vocab(spark, sf)).select("ngram", "n", "cnt")
 
@@ -436,7 +445,7 @@ _ALL = (
     reconstruct_texts, grammar_nodes, grammar_edges, count_propagation, search_largest_prefix, search_root, search_trace, read_decomposition, unknown_blocks,
     insert_texts, insert_grammar, rule_union, example_graphs, vocab_widest_first, most_frequent_ngrams, shared_ngrams, match_patterns, neighbourhood, cond_prob, prob_within_n, next_token, most_likely_next, backoff, node_contexts, similarity, semantic_distance,
     word_ngrams, event_ngrams, scalar_functions, streaming_counts, streaming_labels, joined_patterns, read_sequences, document_labels, document_short_labels, document_spelling,
-    parsed_types, wrapper_ranges, ngram_postings, search_places, event_labels, event_rules, word_labels,
+    parsed_types, graph_of_names, wrapper_ranges, ngram_postings, search_places, event_labels, event_rules, word_labels,
 )
 
 

@@ -130,6 +130,10 @@ SQL = {
       SELECT parent, array_to_string(b, ','), 'second' FROM second s WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.parent = s.parent AND list_has_all(s.b, f.b))""",
     "example_graphs": f"""WITH rules(graph, parent, pattern_id, cells) AS (VALUES {_EXAMPLES}), c AS (SELECT *, unnest(range(1, len(cells) + 1)) AS i FROM rules)
       SELECT graph, parent, pattern_id, (i - 1)::INT AS sub_index, length(array_to_string(cells[1:i - 1], ''))::INT AS "offset", cells[i] AS child, length(cells[i])::INT AS child_n FROM c""",
+    "graph_of_names": _with("corpus") + """, rules AS (SELECT text AS parent, 0 AS pattern_id, regexp_extract_all(text, '[^ ]+| ') AS cells FROM corpus
+        UNION ALL SELECT text, 1, [left(text, strpos(text, ' ')), substring(text, strpos(text, ' ') + 1)] FROM corpus WHERE strpos(text, ' ') > 1 AND strpos(text, ' ') < length(text)),
+      c AS (SELECT *, unnest(range(1, len(cells) + 1)) AS i FROM rules)
+      SELECT parent, pattern_id, (i - 1)::INT AS sub_index, length(array_to_string(cells[1:i - 1], ''))::INT AS "offset", cells[i] AS child, length(cells[i])::INT AS child_n FROM c""",
     "vocab_widest_first": _with("vocab") + "SELECT ngram, n, cnt FROM vocab ORDER BY n DESC, ngram",
     "most_frequent_ngrams": _with("vocab") + "SELECT ngram, n, cnt FROM vocab ORDER BY cnt DESC, ngram",
     "shared_ngrams": _with("vocab", "queries") + """SELECT ngram, n, cnt FROM vocab WHERE ngram IN (SELECT substring(query, pos + 1, n) FROM

@@ -81,6 +81,18 @@ def pattern_graph(spark: SparkSession, rules: dict[str, list[list[str]]]) -> Dat
     return spark.createDataFrame(rows, EDGE)
 
 
+def from_table(rules: DataFrame) -> DataFrame:
+    """rules(parent, pattern_id, cells array<string>) -> partition_edge rows: a grammar of any size from a table. A pattern that does
+    not spell its parent is an error where it is read; a null parent or null cells are left out, and so are empty cells."""
+    cells = F.filter("cells", lambda c: F.length(c) > 0)
+    d = rules.filter("parent IS NOT NULL AND cells IS NOT NULL").select("parent", F.col("pattern_id").cast("int").alias("pattern_id"), cells.alias("cells"))
+    spells = F.array_join("cells", "") == F.col("parent")
+    d = d.withColumn("cells", F.when(spells, F.col("cells")).otherwise(F.raise_error(F.concat(F.lit("a pattern does not spell "), F.col("parent")))))
+    before = lambda i: F.aggregate(F.slice("cells", 1, i), F.lit(0), lambda n, c: n + F.length(c))
+    each = F.transform("cells", lambda c, i: F.struct(i.alias("sub_index"), before(i).alias("offset"), c.alias("child"), F.length(c).alias("child_n")))
+    return d.select("parent", "pattern_id", F.explode(each).alias("x")).select("parent", "pattern_id", "x.*")
+
+
 def example(spark: SparkSession, number: int) -> DataFrame:
     return pattern_graph(spark, EXAMPLES[number])
 

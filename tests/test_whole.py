@@ -293,3 +293,14 @@ def test_bucketed_images_join_without_an_exchange(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for n in names:
             spark.sql(f"DROP TABLE IF EXISTS {n}")
+
+
+def test_graphs_from_tables(spark):
+    from spanweave.sources import graphs
+
+    rules = [(p, k, c) for p, patterns in graphs.EXAMPLES[2].items() for k, c in enumerate(patterns)]
+    schema = "parent string, pattern_id int, cells array<string>"
+    got = graphs.from_table(spark.createDataFrame([*rules, (None, 0, ["a"]), ("b", 0, None), ("cd", 0, ["c", "", "d"])], schema)).collect()
+    assert sorted(map(tuple, got)) == sorted([*map(tuple, graphs.example(spark, 2).collect()), ("cd", 0, 0, 0, "c", 1), ("cd", 0, 1, 1, "d", 1)])
+    with pytest.raises(Exception, match="does not spell"):
+        graphs.from_table(spark.createDataFrame([("ab", 0, ["a"])], schema)).collect()
