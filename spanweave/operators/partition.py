@@ -77,8 +77,15 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def partition_lines(cover: DataFrame) -> DataFrame:
-    """partition_edge of covers in general, by first-fit lines; a group is one parent's cover."""
-    return cover.groupBy("parent").applyInPandas(_pack, EDGE)
+    """partition_edge of covers in general, by first-fit lines. A cover that tiles its parent is one line as it stands; only the
+    others are packed, one parent's cover at a time. Both are parted by the one shuffle by parent."""
+    inside = Window.partitionBy("parent").orderBy("offset")
+    step = F.col("offset") - F.coalesce(F.lag(F.col("offset") + F.col("child_n")).over(inside), F.lit(0))
+    d = cover.select("parent", "offset", "child", "child_n", step.alias("step"), (F.row_number().over(inside) - 1).alias("sub_index"))
+    every = Window.partitionBy("parent")
+    d = d.withColumn("tiles", (F.max(F.abs("step")).over(every) == 0) & (F.sum("child_n").over(every) == F.length("parent")))
+    tiled = d.filter("tiles").select("parent", F.lit(0).alias("pattern_id"), "sub_index", "offset", "child", "child_n")
+    return tiled.unionByName(d.filter("NOT tiles").select("parent", "offset", "child", "child_n").groupBy("parent").applyInPandas(_pack, EDGE))
 
 
 def partition_graph(labels: DataFrame, check: Callable[[], None] = lambda: None) -> tuple[DataFrame, DataFrame]:

@@ -304,3 +304,49 @@ def test_graphs_from_tables(spark):
     assert sorted(map(tuple, got)) == sorted([*map(tuple, graphs.example(spark, 2).collect()), ("cd", 0, 0, 0, "c", 1), ("cd", 0, 1, 1, "d", 1)])
     with pytest.raises(Exception, match="does not spell"):
         graphs.from_table(spark.createDataFrame([("ab", 0, ["a"])], schema)).collect()
+
+
+def slow_graph(known):
+    """The layered partition graph by its definition: (rows, labels) from the labels with their kinds."""
+    labels_now, done, rows = set(known), set(), set()
+    layer = {g for g, kind in known.items() if kind == "root" and len(g) > 1}
+    while layer:
+        children = set()
+        for p in layer:
+            held = [(i, j) for i in range(len(p)) for j in range(i + 1, len(p) + 1) if j - i < len(p) and p[i:j] in labels_now]
+            top = [x for x in held if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in held)]
+            lines = []
+            for i, j in sorted(top):
+                open_lines = [line for line in lines if line[-1][1] <= i]
+                if open_lines:
+                    max(open_lines, key=lambda line: line[-1][0]).append((i, j))
+                else:
+                    lines.append([(i, j)])
+            for k, line in enumerate(lines):
+                ends = [0, *(x for cell in line for x in cell), len(p)]
+                cells = [(a, b) for a, b in zip(ends, ends[1:], strict=False) if a < b]
+                rows |= {(p, k, m, a, p[a:b], b - a) for m, (a, b) in enumerate(cells)}
+                children |= {p[a:b] for a, b in cells if b - a > 1}
+        gaps = children - labels_now
+        inner = {g: {g[i:j] for i in range(len(g)) for j in range(i + 2, len(g) + 1) if j - i < len(g)} for g in gaps}
+        common = {s for g in gaps for s in inner[g] if sum(s in inner[h] for h in gaps) > 1}
+        shared = set()
+        for g in gaps:
+            own = [(i, j) for i in range(len(g)) for j in range(i + 2, len(g) + 1) if j - i < len(g) and g[i:j] in common]
+            shared |= {g[i:j] for i, j in own if not any((x, y) != (i, j) and x <= i and j <= y for x, y in own)}
+        labels_now |= gaps | shared
+        done |= layer
+        layer = children - done
+    return rows, labels_now
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_layered_graph_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    texts = sorted({"".join(rng.choice("abcd"[: 2 + seed]) for _ in range(rng.randrange(4, 13))) for _ in range(6)})
+    # labels that are not closed under overlap, so that lines have gaps
+    known = {c: "leaf" for t in texts for c in t} | {t[i : i + rng.randrange(2, 5)]: "frequency" for t in texts for i in rng.choices(range(len(t) - 3), k=3)} | dict.fromkeys(texts, "root")
+    graph, after = partition.partition_graph(spark.createDataFrame([(g, len(g), k) for g, k in sorted(known.items())], "ngram string, n int, kind string"))
+    rows, labels_after = slow_graph(known)
+    assert {(r.parent, r.pattern_id, r.sub_index, r.offset, r.child, r.child_n) for r in graph.collect()} == rows
+    assert {r.ngram for r in after.collect()} == labels_after and any(r[1] > 0 for r in rows)
