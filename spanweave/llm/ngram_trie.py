@@ -9,7 +9,6 @@ search relative to its context's base. Beside the words lie their probabilities,
 from __future__ import annotations
 
 import mmap
-import tempfile
 
 import numpy as np
 
@@ -153,13 +152,12 @@ def build(context: np.ndarray, word: np.ndarray, count: np.ndarray, split: np.nd
 
 
 class Trie:
-    """The levels of build(), served from a memory map of a file that has no name and goes with it."""
+    """The levels of build(), served from a memory map without a file, so that nothing is left on the executor's disk."""
 
     def __init__(self, levels: bytes):
-        self.file = tempfile.TemporaryFile()
-        self.file.write(levels)
-        self.file.flush()
-        arrays = unflat(memoryview(mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)))
+        pages = mmap.mmap(-1, len(levels))
+        pages.write(levels)
+        arrays = unflat(memoryview(pages))
         self.contexts, self.pointers, self.words = (EliasFano(arrays[k : k + 4]) for k in (0, 4, 8))
         self.codes, self.weights = arrays[12], arrays[13]
 
