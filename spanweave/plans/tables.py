@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -24,10 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Cuts df's lineage: a Parquet table that outlives lost executors and has true sizes for the planner."""
+    """Cuts df's lineage: a Parquet table that outlives lost executors and has true sizes for the planner. Shuffle files of the
+    write go with its end, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    try:
+        spark.conf.set(_CLEAN, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
