@@ -7,9 +7,10 @@ rounds and ends outside. A class that is not falls apart: each of its elements i
 are none. Classes nest into the host's template: its elements are frames, and what lies in a frame outside of deeper frames
 is a slot; texts of valid classes belong to the template and are no content.
 
-Which slots are content is told by what they hold, summed over the host's pages: from the root down, the frame that has most
-of the text outside of menus, links and the like is entered, until none has, or a main element (article, main) is reached,
-which also decides between frames of which none has most. A page's text is what the slots in that frame hold on it.
+Which slots are content is told by what they hold, summed over the pages of each of the host's layouts (pages with the same outer
+frames): from the root down, a main element (article, main) is entered, or else the frame that has most of the text outside of
+menus, links and the like, until none has. Frames of repeated blocks that follow the text are readers' remarks. A page's
+text is what the slots in those frames hold on it.
 
 Vectors are compared by a 64-bit sum of page hash times count, so a host's pages are never gathered, however many.
 """
@@ -199,28 +200,54 @@ def class_orders(tokens: list[int], classes: dict[int, int]) -> dict[int, tuple[
     return out
 
 
-def content_frames(frames: dict[int, tuple[int, str, bool, bool, int, int]], most: float = 0.6, main_most: float = 0.2) -> list[int]:
-    """frames: key -> (parent, name, aside, main, most on one page, mass of its own slot). The keys of the content's frames.
+Facts = dict[int, tuple[int, str, bool, bool, int, int, int, bool]]
 
-    From the root (key 0), the child frame that holds at least `most` of the mass is entered; if none does, the heaviest one
-    that is or leads to a main element and holds main_most. Frames that repeat on a page, and what is no frame by its name, are not.
-    """
+
+def layout_of(frames: dict[int, tuple[int, str, bool, bool]], times: Counter[int], depth: int = 4) -> int:
+    """A page's layout: a hash of its outer frames, those that occur once on it and lie at most depth frames below its root."""
+    deep, outer = {0: 0}, []
+    for key, (up, name, aside, _) in frames.items():  # a frame comes after the one around it
+        deep[key] = deep[up] + 1
+        if deep[key] <= depth and not aside and times[key] == 1 and name in FRAMES:
+            outer.append(key)
+    return _hash(",".join(map(str, sorted(outer))))
+
+
+def _below(frames: Facts) -> dict[int, list[int]]:
     below: dict[int, list[int]] = {}
     for key, f in frames.items():
         if key:
             below.setdefault(f[0], []).append(key)
+    return below
+
+
+def content_top(frames: Facts, most: float = 0.6, main_most: float = 0.2, share: float = 0.1, remarks: float = 0.5) -> tuple[int, set[int]]:
+    """frames: key -> (parent, name, aside, main, most on one page, mass of its own slot, place on a page, slot differs by page).
+    The key of the frame that holds the content, and the frames in it that hold none.
+
+    From the root (key 0), the heaviest child frame that is or leads to a main element is entered, if it holds main_most of the
+    mass; else the one that holds at least `most` of it. Of frames that hold a share, those of which more than `remarks` lies in
+    blocks that repeat on a page are readers' remarks if they follow one whose text is not in such blocks; they go. A frame that
+    has most is not entered past another one before it that holds a share of text which differs by page: both are content then, and
+    their neighbours of less than a share are none. Frames that repeat on a page, and what is no frame by its name, are not entered.
+    """
+    below = _below(frames)
     order, i = [0], 0
     while i < len(order):
         order += below.get(order[i], [])
         i += 1
     mass: dict[int, int] = {}
+    again: dict[int, int] = {}
     leads: dict[int, bool] = {}
+    varies: dict[int, bool] = {}
     for key in reversed(order):
-        own = frames.get(key, (0, "", False, False, 1, 0))
+        own = frames.get(key, (0, "", False, False, 1, 0, 0, False))
         kids = [k for k in below.get(key, []) if not frames[k][2]]
         mass[key] = own[5] + sum(mass[k] for k in kids)
-        leads[key] = own[3] or any(leads[k] for k in kids)
-    at = 0
+        again[key] = mass[key] if own[4] > 1 and (own[1] in FRAMES or own[1] in ENDS_SAME) else sum(again[k] for k in kids)
+        leads[key] = own[3] and own[4] == 1 or any(leads[k] for k in kids)
+        varies[key] = own[7] or any(varies[k] for k in kids)
+    at, gone = 0, set()
     while True:
         inside = at and frames[at][3]
         kids = [k for k in below.get(at, []) if not frames[k][2] and frames[k][4] == 1 and frames[k][1] in FRAMES]
@@ -229,23 +256,47 @@ def content_frames(frames: dict[int, tuple[int, str, bool, bool, int, int]], mos
         kids.sort(key=lambda k: (-mass[k], k))
         if not kids or not mass[at] or not mass[kids[0]]:
             break
-        to = kids[0] if mass[kids[0]] >= most * mass[at] else next((k for k in kids if not inside and leads[k] and mass[k] >= main_most * mass[at]), None)
+        to = next((k for k in kids if not inside and leads[k] and mass[k] >= main_most * mass[at]), None)
+        if to is None:
+            large = [k for k in kids if mass[k] >= share * mass[at] and varies[k]]
+            told = [frames[k][6] for k in large if again[k] <= remarks * mass[k]]
+            said = set() if inside or not told else {k for k in large if again[k] > remarks * mass[k] and frames[k][6] > min(told)}
+            gone |= said
+            rest, kids = mass[at] - sum(mass[k] for k in said), [k for k in kids if k not in said]
+            if mass[kids[0]] >= most * rest:
+                before = [] if inside else [k for k in large if k not in said and k != kids[0] and frames[k][6] < frames[kids[0]][6]]
+                if before:
+                    gone |= {k for k in kids if mass[k] < share * rest}
+                else:
+                    to = kids[0]
         if to is None:
             break
         at = to
-    out, i = [at], 0
-    while i < len(out):
-        out += [k for k in below.get(out[i], []) if not frames[k][2]]
-        i += 1
-    return out
+    return at, gone
+
+
+def content_frames(frames: Facts, layouts: list[Facts]) -> list[int]:
+    """The keys of the frames that hold content: for each layout its content's frame, with all frames of the host in it but
+    those that hold none; for the host as a whole if no layout is given."""
+    below, out = _below(frames), set()
+    for facts in layouts or [frames]:
+        at, gone = content_top(facts)
+        inside, i = [at], 0
+        while i < len(inside):
+            inside += [k for k in below.get(inside[i], []) if not frames[k][2] and k not in gone]
+            i += 1
+        out |= set(inside)
+    return sorted(out)
 
 
-def templates(pages: DataFrame, min_pages: int = 10, least: float = 0.1, text_least: float = 0.8) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = 10, least: float = 0.1, text_least: float = 0.8, min_layout: int = 5) -> DataFrame:
     """pages(host, html) -> host, frames, content, texts: the template's elements, those that hold content, its texts.
 
     Tokens on `least` of the host's distinct pages take part (so a host has at most 1 / least times the tokens of a page);
     texts only on text_least of at least min_pages pages, and in a class with another token. Each step aggregates rows of
-    (host, token) or (host, class) with partial aggregation; a host's last row is no longer than its template.
+    (host, token), (host, class) or (host, layout, frame) with partial aggregation. A layout of at least min_layout pages and
+    `least` of the host's has a content of its own (so a host has at most 1 / least of them); a host's last row is no longer than
+    its template times these.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,32 +311,37 @@ def templates(pages: DataFrame, min_pages: int = 10, least: float = 0.1, text_le
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [], [], [], [], [], [])
+            cols: tuple[list, ...] = tuple([] for _ in range(12))
             for h, s, known in zip(strings(batch.column(0)), strings(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 classes = {x["token"]: x["vector"] for x in known}
                 page = Page(s, {x["token"] for x in known if not x["is_text"]})
                 texts = {x["token"] for x in known if x["is_text"]}
                 for c, (seen, nested) in class_orders([t for t, _ in page.tokens], classes).items():
-                    for col, v in zip(cols, (h, c, None, seen if nested else None, nested and seen != 0, None, None, None, None, None), strict=True):
+                    for col, v in zip(cols, (h, 0, c, None, seen if nested else None, nested and seen != 0, None, None, None, None, None, None), strict=True):
                         col.append(v)
                 own: Counter[int] = Counter()
+                slot: dict[int, int] = {}
                 for _, frame, place, aside, link, _, part in page.texts:
-                    if not aside and not link and text_key(place, part) not in texts:
+                    if not aside and not link and not part.isspace() and text_key(place, part) not in texts:
                         own[frame] += len("".join(part.split()))
+                        slot[frame] = _hash(part, slot.get(frame, 0))
                 times = Counter(t for t, _ in page.tokens)
-                for key, (up, name, aside, main) in [*page.frames.items(), (0, (0, "", False, False))]:
-                    for col, v in zip(cols, (h, None, key, None, None, up, name, (1 if aside else 0) + (2 if main else 0), times[key] if key else 1, own[key]), strict=True):
+                layout = layout_of(page.frames, times)
+                for at, (key, (up, name, aside, main)) in enumerate([(0, (0, "", False, False)), *page.frames.items()]):
+                    for col, v in zip(cols, (h, layout, None, key, slot.get(key, 0), None, up, name, (1 if aside else 0) + (2 if main else 0), times[key] if key else 1, own[key], at), strict=True):
                         col.append(v)
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "vector", "token", "seen", "fits", "up", "name", "kind", "n", "mass"])
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "layout", "vector", "token", "seen", "fits", "up", "name", "kind", "n", "mass", "at"])
 
     def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, frames, contents = batch.column(0), [], []
             for rows in batch.column(1).to_pylist():
-                found = {r["token"]: (r["up"], r["name"], bool(r["kind"] & 1), bool(r["kind"] & 2), r["n"], r["mass"]) for r in rows}
-                frames.append(sorted(k for k in found if k))
-                contents.append(content_frames(found))
+                by: dict[int | None, Facts] = {None: {}}  # the whole host, and its layouts
+                for r in rows:
+                    by.setdefault(r["layout"], {})[r["token"]] = (r["up"], r["name"], bool(r["kind"] & 1), bool(r["kind"] & 2), r["n"], r["mass"], r["at"], r["low"] != r["high"])
+                frames.append(sorted(k for k in by[None] if k))
+                contents.append(content_frames(by.pop(None), [by[k] for k in sorted(by)]))
             yield pa.record_batch([hosts, pa.array(frames, pa.list_(pa.int64())), pa.array(contents, pa.list_(pa.int64())), batch.column(2)], names=["host", "frames", "content", "texts"])
 
     rows = pages.select("host", F.coalesce("html", F.lit("")).alias("html"))
@@ -300,12 +356,18 @@ def templates(pages: DataFrame, min_pages: int = 10, least: float = 0.1, text_le
     known = stage(kept.groupBy("host").agg(F.collect_list(F.struct("token", "vector", "is_text")).alias("known")), "known")
     known = known.withColumnRenamed("host", "__host")
     facts = rows.join(known, rows["host"] == known["__host"], "left").select("host", "html", F.coalesce("known", F.array().cast(known.schema["known"].dataType)).alias("known"))
-    facts = stage(facts.mapInArrow(order, "host string, vector long, token long, seen long, fits boolean, up long, name string, kind int, n int, mass long")
-                  .groupBy("host", "vector", "token").agg(F.min("seen").alias("low"), F.max("seen").alias("high"), F.min("fits").alias("fits"), F.first("up").alias("up"), F.first("name").alias("name"),
-                                                          F.first("kind").alias("kind"), F.max("n").alias("n"), F.sum("mass").alias("mass")), "facts")
+    merged = {"low": F.min, "high": F.max, "fits": F.min, "up": F.first, "name": F.first, "kind": F.first, "n": F.max, "mass": F.sum, "at": F.min, "pages": F.sum}
+    each = facts.mapInArrow(order, "host string, layout long, vector long, token long, seen long, fits boolean, up long, name string, kind int, n int, mass long, at int")
+    each = each.select("*", F.col("seen").alias("low"), F.col("seen").alias("high"), F.lit(1).alias("pages"))
+    facts = stage(each.groupBy("host", "layout", "vector", "token").agg(*[f(c).alias(c) for c, f in merged.items()]), "facts")
     valid = facts.filter("vector IS NOT NULL AND fits AND low = high").select("host", "vector")
     texts = kept.filter("is_text").join(valid, ["host", "vector"], "left_semi").groupBy("host").agg(F.collect_list("token").alias("texts"))
-    frames = facts.filter("token IS NOT NULL").groupBy("host").agg(F.collect_list(F.struct("token", "up", "name", "kind", "n", "mass")).alias("rows"))
+    found = facts.filter("token IS NOT NULL")
+    roots = found.filter("token = 0").select("host", "layout", "pages")
+    large = roots.join(roots.groupBy("host").agg(F.sum("pages").alias("every")), "host").filter((F.col("pages") >= min_layout) & (F.col("pages") >= least * F.col("every")))
+    whole = found.groupBy("host", "token").agg(*[f(c).alias(c) for c, f in merged.items()]).withColumn("layout", F.lit(None).cast("long"))
+    rows = found.join(large.select("host", "layout"), ["host", "layout"], "left_semi").unionByName(whole, allowMissingColumns=True)
+    frames = rows.groupBy("host").agg(F.collect_list(F.struct("layout", "token", "up", "name", "kind", "n", "mass", "at", "low", "high")).alias("rows"))
     return frames.join(texts, "host", "left").select("host", "rows", "texts").mapInArrow(nest, "host string, frames array<long>, content array<long>, texts array<long>")
 
 

@@ -139,3 +139,49 @@ def test_bytes_that_are_no_text(spark):
 
 def test_empty_table(spark):
     assert html_extract.extract(frame(spark, [(1, None, None)]).limit(0)).count() == 0
+
+
+def _words(rng, n):
+    return " ".join(rng.choice("amber brook cedar dune ember fjord grove heath islet knoll".split()) + str(rng.randrange(1000)) for _ in range(n))
+
+
+@pytest.mark.parametrize("remark", ["<div class='r'><b>someone</b><p>{}</p></div>", "<p>{}</p>"])
+def test_remarks_longer_than_the_article(spark, remark):
+    rng, rows, bodies, said = random.Random(8), [], [], []
+    for i in range(14):
+        body, talk = _words(rng, 30), [_words(rng, 20) for _ in range(3)]
+        bodies.append(body)
+        said.append(talk)
+        talk = "".join(remark.format(t) for t in talk)
+        rows.append((i, "http://h/", f"<html><body><div class='top'>Site name</div><div class='a'><h1>{body[:10]}</h1><p>{body}</p></div><div class='b'>{talk}</div></body></html>"))
+    got = texts(spark, rows)
+    for i, (body, talk) in enumerate(zip(bodies, said, strict=True)):
+        # what repeats in blocks goes; remarks that look like an article's paragraphs can't be told from it, but never replace it
+        assert got[i] == " ".join([body[:10], body, *(talk if "div" not in remark else [])])
+
+
+@pytest.mark.parametrize("element", ["article", "main"])
+def test_a_short_main_element_wins(spark, element):
+    rng = random.Random(9)
+    bodies = [_words(rng, 30) for _ in range(12)]
+    rows = [(i, "http://h/", f"<body><{element}><p>{b}</p></{element}><div class='b'><p>{_words(rng, 60)}</p></div></body>") for i, b in enumerate(bodies)]
+    assert texts(spark, rows) == dict(enumerate(bodies))
+
+
+def test_two_layouts_of_a_host(spark):
+    rng, rows, want = random.Random(10), [], []
+    for i in range(20):
+        want.append(_words(rng, 50))
+        one = f"<div class='page'><div class='rail'><p>All about us and our work</p></div><div class='text'><p>{want[-1]}</p></div></div>"
+        two = f"<table><tr><td class='rail'><p>Where to find the other things of this site and more</p></td><td class='body'><p>{want[-1]}</p></td></tr></table>"
+        rows.append((i, "http://h/", f"<html><body>{one if i < 13 else two}</body></html>"))
+    assert texts(spark, rows) == dict(enumerate(want))
+
+
+def test_frames_of_few_pages_stay_in_the_article(spark):
+    rng, rows, want = random.Random(11), [], []
+    for i in range(40):
+        body, more = _words(rng, 40), _words(rng, 8) if i % 9 == 0 else ""
+        want.append(f"{body} {more}".strip())
+        rows.append((i, "http://h/", f"<body><div class='side'><a href='x'>{_words(rng, 3)}</a></div><div class='text'><p>{body}</p>{f'<div class=box>{more}</div>' if more else ''}</div></body>"))
+    assert texts(spark, rows) == dict(enumerate(want))
