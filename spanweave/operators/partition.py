@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -88,35 +89,48 @@ def partition_lines(cover: DataFrame) -> DataFrame:
     return tiled.unionByName(d.filter("NOT tiles").select("parent", "offset", "child", "child_n").groupBy("parent").applyInPandas(_pack, EDGE))
 
 
-def partition_graph(labels: DataFrame, check: Callable[[], None] = lambda: None) -> tuple[DataFrame, DataFrame]:
+@dataclass
+class Layers:
+    """How far partition_graph() came: its tables are replaced together, when a layer is whole."""
+
+    labels: DataFrame | None = None
+    layer: DataFrame | None = None
+    done: DataFrame | None = None
+    edges: list[DataFrame] = field(default_factory=list)
+
+
+def partition_graph(labels: DataFrame, check: Callable[[], None] = lambda: None, layers: Layers | None = None) -> tuple[DataFrame, DataFrame]:
     """(partition_edge, labels) from the roots down, layer by layer.
 
     All nodes of a layer use the labels of its start. Unlabelled children become labels, and so do the maximal strings that
     two or more of them share; every new label is partitioned in a later layer. Children are narrower than their parents, so
-    there are at most as many layers as the widest label has characters. check is called before each layer, and may raise.
+    there are at most as many layers as the widest label has characters. check is called before each layer, and may raise; a run
+    that ended so, or whose jobs were stopped in a layer, goes on with that layer when it is called with the same `layers`.
     """
-    labels = settle(labels.select("ngram", "n", "kind"), "labels")
-    layer = settle(labels.filter("kind = 'root' AND n > 1").select("ngram", "n"), "layer")
-    done, found = layer.limit(0), []
-    while not layer.isEmpty():
+    at = layers or Layers()
+    if at.layer is None:
+        known = settle(labels.select("ngram", "n", "kind"), "labels")
+        first = settle(known.filter("kind = 'root' AND n > 1").select("ngram", "n"), "layer")
+        at.labels, at.layer, at.done = known, first, first.limit(0)
+    while not at.layer.isEmpty():
         check()
-        edges = settle(partition_lines(child_cover(labels, layer)), "lines")
-        found.append(edges)
-        done = settle(done.union(layer), "done")
+        edges = settle(partition_lines(child_cover(at.labels, at.layer)), "lines")
+        done = settle(at.done.union(at.layer), "done")
         children = edges.filter("child_n > 1").select(F.col("child").alias("ngram"), F.col("child_n").alias("n")).distinct()
-        gaps = settle(children.join(labels, "ngram", "left_anti"), "gaps")
+        gaps = settle(children.join(at.labels, "ngram", "left_anti"), "gaps")
         inner = gaps.select(F.col("ngram").alias("parent"), "n", F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("offset"))
         inner = inner.select("*", F.explode(F.sequence(F.lit(2), F.col("n") - F.col("offset"))).alias("child_n")).filter("child_n < n")
         inner = inner.withColumn("child", F.substring("parent", F.col("offset") + 1, F.col("child_n")))
         common = inner.groupBy("child").agg(F.countDistinct("parent").alias("k")).filter("k > 1").select("child")
         shared = maximal(inner.join(common, "child", "left_semi")).select(F.col("child").alias("ngram"), F.col("child_n").alias("n")).distinct()
-        new = gaps.union(shared.select("ngram", "n")).distinct().join(labels, "ngram", "left_anti").withColumn("kind", F.lit("partition"))
-        labels = settle(labels.unionByName(new), "labels")
-        layer = settle(children.join(done, "ngram", "left_anti"), "layer")
-    edges = found[0] if found else partition_lines(child_cover(labels, layer))
-    for e in found[1:]:
+        new = gaps.union(shared.select("ngram", "n")).distinct().join(at.labels, "ngram", "left_anti").withColumn("kind", F.lit("partition"))
+        grown = settle(at.labels.unionByName(new), "labels")
+        below = settle(children.join(done, "ngram", "left_anti"), "layer")
+        at.labels, at.layer, at.done, at.edges = grown, below, done, [*at.edges, edges]
+    edges = at.edges[0] if at.edges else partition_lines(child_cover(at.labels, at.layer))
+    for e in at.edges[1:]:
         edges = edges.union(e)
-    return edges, labels
+    return edges, at.labels
 
 
 def reconstructed(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ngrams import occurrences
@@ -47,15 +47,21 @@ class StreamingLabels:
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{kind}/{n}" for n in batches])
 
     def merge(self, batch: DataFrame, number: int) -> None:
-        new = batch.filter(F.length("text") > 0).select("text").distinct()
+        """Adds a batch; progress then has its number, rows, new texts and n-grams, counted by the jobs that write them."""
+        rows, texts, grams = (Observation(f"{name}-{uuid.uuid4().hex}") for name in ("rows", "texts", "ngrams"))
+        size = F.count(F.lit(1)).alias("k")
+        new = batch.observe(rows, size).filter(F.length("text") > 0).select("text").distinct()
         new = new.join(self._read("texts", self.batches(number), "text string"), "text", "left_anti")
-        new.write.mode("overwrite").parquet(f"{self.root}/new/{number}")
+        new.observe(texts, size).write.mode("overwrite").parquet(f"{self.root}/new/{number}")
         new = self.spark.read.schema("text string").parquet(f"{self.root}/new/{number}")
         occ = occurrences(new.select(F.xxhash64("text").alias("text_id"), "text"), self.max_n)
         one = occ.select("ngram", F.ascii("prev").alias("prev"), F.ascii("next").alias("next"), (F.col("prev").isNull() & F.col("next").isNull()).alias("whole"))
         sides = [f(c).alias(f"{c}_{f.__name__}") for c in ("prev", "next") for f in (F.count, F.min, F.max)]
-        one.groupBy("ngram").agg(F.count("*").alias("cnt"), *sides, F.max("whole").alias("whole")).write.mode("overwrite").parquet(f"{self.root}/summary/{number}")
+        summary = one.groupBy("ngram").agg(F.count("*").alias("cnt"), *sides, F.max("whole").alias("whole"))
+        summary.observe(grams, size).write.mode("overwrite").parquet(f"{self.root}/summary/{number}")
         new.write.mode("overwrite").parquet(f"{self.root}/texts/{number}")  # last: it marks the batch as whole
+        done = {"batch": number, **{name: seen.get["k"] for name, seen in (("rows", rows), ("texts", texts), ("ngrams", grams))}}
+        self.progress = [p for p in self.progress if p["batch"] != number] + [done]
 
     def summary(self, batches: list[int] | None = None) -> DataFrame:
         rows = self._read("summary", self.batches() if batches is None else batches, _SUMMARY)
@@ -83,10 +89,9 @@ class StreamingLabels:
 
     def run(self, texts: DataFrame) -> DataFrame:
         """Consumes all that a streaming DataFrame of (text) has now, in the batches that its source makes (as by
-        maxFilesPerTrigger); ngram, n, cnt. progress then has batch and rows of each that had any."""
+        maxFilesPerTrigger); ngram, n, cnt."""
         query = texts.writeStream.foreachBatch(self.merge).option("checkpointLocation", f"{self.root}/progress").trigger(availableNow=True).start()
         query.awaitTermination()
-        self.progress += [{"batch": p["batchId"], "rows": p["numInputRows"]} for p in query.recentProgress if p["numInputRows"]]
         return self.counts()
 
     def counts(self) -> DataFrame:

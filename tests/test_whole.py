@@ -2,6 +2,7 @@
 
 import os
 import random
+import threading
 import time
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import ngrams, tokens
 from spanweave.operators import containment, cover, labels, partition, search, whole
-from spanweave.plans.parse import Cancelled, Stage, parse_corpus
+from spanweave.plans.parse import Cancelled, Parsed, Stage, parse_corpus, run_tagged, stop_tagged
 from spanweave.plans.tables import settle
 from spanweave.sources.corpus import from_column, from_texts
 from spanweave.sources.storage import DeserializeError, ImageStore, SerializeError, UnavailableError, bucketed
@@ -127,6 +128,31 @@ def test_a_running_layer_is_cancelled_and_resumed(spark):
     assert parse_corpus(out.corpus, resume=out).graph.count() > 0
 
 
+def test_layers_that_are_whole_are_kept(spark, monkeypatch):
+    texts = ["abcabdabc", "babcabab", "aabbdcab"]
+    want = parse_corpus(from_texts(spark, texts))
+    assert want.steps["vocab"] == want.vocab.count() and want.steps["labels"] > 0
+    made, cover = [], partition.child_cover
+
+    def slow_cover(known, layer):
+        made.append(sorted(r.ngram for r in layer.collect()))
+        if len(made) == 2:  # a job that only a stop from outside ends
+            for after in (1, 4, 8):  # the job may not have begun yet
+                threading.Timer(after, stop_tagged, [spark, "layers"]).start()
+            spark.range(8, numPartitions=4).filter("length(java_method('java.lang.Thread', 'sleep', id * 0 + 5000)) >= 0").collect()
+        return cover(known, layer)
+
+    monkeypatch.setattr(partition, "child_cover", slow_cover)
+    mine = Parsed(from_texts(spark, texts))
+    with pytest.raises(Exception, match="(?i)cancel|interrupt"):
+        run_tagged(spark, "layers", lambda: parse_corpus(mine.corpus, resume=mine).graph)
+    assert len(made) == 2
+    assert mine.stage == Stage.WRAPPERS and mine.graph is None and len(mine.layers.edges) == 1
+    parse_corpus(mine.corpus, resume=mine)
+    assert made[1] == made[2] and made.count(made[0]) == 1  # the layer that was stopped runs again, that before it does not
+    assert sorted(map(tuple, mine.graph.collect())) == sorted(map(tuple, want.graph.collect()))
+
+
 def slow_wrappers(intervals):
     """All intervals that overlapping ones merge into, with what they are made of."""
     found = set(intervals)
@@ -213,6 +239,7 @@ def test_labels_of_a_stream(spark, tmp_path):
     s = StreamingLabels(spark, root=f"file://{tmp_path}/s")
     s.run(spark.readStream.schema("text string").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in"))
     assert [p["rows"] for p in s.progress] and sorted(p["rows"] for p in s.progress) == [4, 4, 4, 4, 5] and len(s.batches()) == 5
+    assert sum(p["texts"] for p in s.progress) == 20 and all(p["ngrams"] == spark.read.parquet(f"{s.root}/summary/{p['batch']}").count() for p in s.progress)
     every = sorted({t for p in parts for t in p})
     want = {tuple(r) for r in labels.base_labels(containment.vocabulary(from_texts(spark, every))).collect()}
     assert {tuple(r) for r in s.labels().collect()} == want
