@@ -7,7 +7,8 @@ are shuffled at first:
 
 * a key seen once has no repeated window;
 * a span whose whole content occurs twice is repeated throughout;
-* other spans that share a key differ somewhere. One text of each distinct one goes to a shard, and the shard's suffix array
+* other spans that share a key differ somewhere. One text of each distinct one goes to a shard, those that share neither half of
+  a window around the minimiser are left out, and the shard's suffix array
   (induced sorting) and permuted common prefixes tell which of its windows repeat.
 
 Copies thus collapse before any text moves. A key with more distinct spans than a shard should hold has its windows counted
@@ -155,6 +156,33 @@ def _runs(flags: np.ndarray, lo: int, length: int) -> list[tuple[int, int]]:
     return [(lo + a, lo + b - 1 + length) for a, b in zip(step[::2].tolist(), step[1::2].tolist(), strict=True)]
 
 
+def candidates(parts: list[np.ndarray], keys: list[int], length: int, k: int = K) -> np.ndarray:
+    """Which parts may share a window with another one of their key; the others have no repeated window.
+
+    All windows of a part hold its minimiser, the k bytes that hash to its key. Two equal windows agree in `length` - k bytes around
+    it, so in at least half of these on its left or on its right. Keys with a part that holds its minimiser twice are kept whole.
+    """
+    half, size = (length - k) // 2, np.array([len(p) for p in parts])
+    if half < 1 or not len(parts):
+        return np.ones(len(parts), bool)
+    data, end, key = np.concatenate(parts), np.cumsum(size), np.array(keys, np.int64).view(np.uint64)
+    hashes, begin, owner = Hashes(data), end - size, np.repeat(np.arange(len(parts)), size)
+    at = np.arange(len(data) - k + 1)
+    at = at[at + k <= end[owner[at]]]
+    at = at[hashes.of(at, at + k) == key[owner[at]]]
+    sure = np.bincount(owner[at], minlength=len(parts)) == 1
+    keep = np.isin(key, key[~sure])
+    at = at[sure[owner[at]]]
+    for lo in (at - half, at + k):
+        ok = (lo >= begin[owner[at]]) & (lo + half <= end[owner[at]])
+        some = owner[at[ok]]
+        pair = _mixed(key[some] ^ _mixed(hashes.of(lo[ok], lo[ok] + half)))  # equal pairs of unlike parts only keep more
+        by = np.argsort(pair)
+        same = pair[by[1:]] == pair[by[:-1]]
+        keep[some[by[1:][same]]] = keep[some[by[:-1][same]]] = True
+    return keep
+
+
 def _sort_shards(length: int, kind: str):
     """Rows sorted by unit -> the repeated ranges of each unit's parts."""
     names = ["doc", "h", "lo", "hi"]
@@ -162,7 +190,11 @@ def _sort_shards(length: int, kind: str):
     def solve(rows: list[tuple]) -> tuple[list[list], ...]:
         cols: tuple[list[list], ...] = ([], [], [], [])
         parts = [np.frombuffer(r[3], np.uint8) for r in rows]
-        for (doc, h, lo, _), flags in zip(rows, repeated_starts(parts, length), strict=True):
+        keep = np.flatnonzero(candidates(parts, [r[4] for r in rows], length)).tolist()
+        rows, parts = [rows[i] for i in keep], [parts[i] for i in keep]
+        if len(parts) < 2:
+            return cols
+        for (doc, h, lo, *_), flags in zip(rows, repeated_starts(parts, length), strict=True):
             for a, b in _runs(flags, lo, length):
                 for c, v in zip(cols, (doc, h, a, b), strict=True):
                     c.append(v)
@@ -177,7 +209,7 @@ def _sort_shards(length: int, kind: str):
 
         for batch in batches:
             types = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64()]
-            for u, *row in zip(*(batch.column(c).to_pylist() for c in ("unit", "doc", "h", "lo", "part")), strict=True):
+            for u, *row in zip(*(batch.column(c).to_pylist() for c in ("unit", "doc", "h", "lo", "part", "key")), strict=True):
                 if u != unit and rows:
                     yield flush()
                     rows = []

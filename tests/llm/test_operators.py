@@ -558,3 +558,23 @@ def test_mixing_without_ids(spark):
 @pytest.mark.parametrize("run", [quality_rules.judge, suffix_dedup.dedup, simhash.near_groups, simhash.near_copies, packing.pack, line_dedup.dedup_lines, secret_scan.scan, language_id.identify, mixing.mix, mixing.emit])
 def test_empty_tables(frame, run):
     assert run(frame.limit(0)).count() == 0
+
+
+def test_suffix_dedup_leaves_out_parts_without_repeats():
+    """Parts that share no half of a window around their minimiser are not sorted; all with a repeated window are."""
+    import random
+
+    from spanweave.llm import suffix_dedup
+
+    rng = random.Random(7)
+    k, length = suffix_dedup.K, 200
+    core = rng.randbytes(k)
+    common = rng.randbytes(500)
+    own = lambda left, right: rng.randbytes(168 - left) + common[250 - left : 250] + core + common[250 : 250 + right] + rng.randbytes(168 - right)
+    parts = [np.frombuffer(p, np.uint8) for p in (own(0, 0), own(168, 0), own(168, 0), own(40, 40), own(90, 90), own(0, 168), own(100, 20))]
+    key = int(suffix_dedup.Hashes(np.frombuffer(core, np.uint8)).of(np.array([0]), np.array([k])).view(np.int64)[0])
+    keep = suffix_dedup.candidates(parts, [key] * len(parts), length)
+    assert not keep[0] and not keep[3]
+    assert all(keep[i] for i, flags in enumerate(suffix_dedup.repeated_starts(parts, length)) if flags[: len(parts[i]) - length + 1].any())
+    twice = [np.frombuffer(core + core + rng.randbytes(200), np.uint8), parts[0]]
+    assert suffix_dedup.candidates(twice, [key, key], length).all()
