@@ -119,6 +119,35 @@ def test_tilings_spell_their_texts(spark):
     assert children <= parents and not children & {t for t in texts if len(t) > 1 and texts.count(t) == 1 and all(t not in u for u in texts if u != t)}
 
 
+@pytest.mark.parametrize(("letters", "piece"), [("abé😀", 1 << 21), ("ab\0", 50), ("".join(map(chr, range(300, 700))), 200)])
+def test_tilings_against_brute_force_without_a_row_for_each_position(spark, monkeypatch, letters, piece):
+    rng = random.Random(piece)
+    texts = [t for t in _texts(rng, letters, 4, 90) if t]
+    texts += ["".join(rng.choice(texts[:3]) for _ in range(30))]
+    known = {t[i : i + rng.choice([1, 2, 3, 5, 6, 15, 16, 17, 40, 64, 70])] for t in texts for i in rng.choices(range(len(t)), k=12)} | {*texts[:3], "a?", "?b" * 40}
+    held = []
+
+    def settled(df, name):
+        out = settle(df, name)
+        held.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(whole, "settle", settled)
+    got = {}
+    for r in sorted(whole.tiled(from_texts(spark, texts), spark.createDataFrame([(x,) for x in sorted(known)], "ngram string"), piece).collect()):
+        assert r.sub_index == len(got.setdefault(r.text_id, [])) and r.child_n == len(r.child)
+        got[r.text_id].append((r.offset, r.child))
+    want = {}
+    for i, t in enumerate(texts):
+        at = 0
+        while at < len(t) > 1:
+            n = max([n for n in range(1, len(t) - at + 1) if n < len(t) and t[at : at + n] in known], default=1)
+            want.setdefault(i, []).append((at, t[at : at + n]))
+            at += n
+    assert got == want
+    assert held and (piece < 1 << 21 or max(held)[0] < sum(map(len, texts)) / 4)
+
+
 def test_bounded_parse_has_a_grammar_of_whole_texts(spark):
     rng = random.Random(3)
     words = ["ottos", "mops", "hopst", "fort", "trotzt", "soso", "und", "wieder"]
