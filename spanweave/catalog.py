@@ -406,8 +406,7 @@ def semantic_distance(spark, sf):
 def word_ngrams(spark, sf):
     """Word n-grams (up to 2) that recur in the documents."""
     d = _table(spark, sf, "documents").filter("text IS NOT NULL").select(ngrams.words(F.col("text")).alias("tokens"))
-    g = ngrams.repeated(ngrams.token_counts(d, 2))
-    return g.select(F.array_join("gram", " ").alias("gram"), "n", "cnt")
+    return ngrams.repeated(ngrams.token_counts(d, 2, between=" "))  # words hold no space
 
 
 def event_ngrams(spark, sf):

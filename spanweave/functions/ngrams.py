@@ -70,11 +70,21 @@ def _widest(corpus: DataFrame, max_n: int) -> DataFrame:
     return d.select(F.explode(grams).alias("ngram"))
 
 
-def token_counts(tokens: DataFrame, max_n: int, column: str = "tokens") -> DataFrame:
+def token_counts(tokens: DataFrame, max_n: int, column: str = "tokens", between: str | None = None) -> DataFrame:
     """gram (array<string>), n, cnt of token arrays: keys are arrays, so tokens may hold any character.
 
-    As in counts(), each position yields its widest gram alone, and narrower ones are summed over the distinct ones.
+    As in counts(), each position yields its widest gram alone, and narrower ones are summed over the distinct ones. With `between`,
+    a string that no token holds, grams are tokens joined by it, null tokens left out: keys are small, and as most wide grams of
+    words are distinct, each position yields all its grams, for one exchange in place of two.
     """
+    if between is not None:
+        w = F.array_compact(column) if tokens.schema[column].dataType.containsNull else F.col(column)
+        names = [f"t{k}" for k in range(max_n)]
+        d = tokens.select(w.alias("w")).select(F.inline(F.arrays_zip(*[F.slice("w", k + 1, F.size("w")) for k in range(max_n)])).alias(*names))
+        grams = [F.when(F.col(names[k]).isNotNull(), F.concat_ws(between, *names[: k + 1])) for k in range(max_n)]
+        d = d.select(F.explode(F.array(*grams)).alias("gram")).filter("gram IS NOT NULL").groupBy("gram").agg(F.count("*").alias("cnt"))
+        n = F.length("gram") - F.length(F.replace("gram", F.lit(between), F.lit("")))
+        return d.select("gram", (n / len(between) + 1).cast("int").alias("n"), "cnt")
     d = tokens.select(F.col(column).alias("w")).filter(F.size("w") > 0)
     # pieces of start positions with the tokens they need, so no row carries a whole text for each of its positions
     starts = F.sequence(F.lit(1), F.size("w"), F.lit(TOKEN_CHUNK))

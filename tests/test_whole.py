@@ -331,6 +331,22 @@ def test_counts_by_widest_ngrams(spark):
         assert {r.ngram: r.cnt for r in ngrams.counts(from_texts(spark, texts), most, least).collect()} == want
 
 
+def test_joined_token_grams_are_dealt_once(spark):
+    rng = random.Random(7)
+    rows = [[rng.choice(["a", "b", "ab", "é😀"]) for _ in range(k)] for k in (0, 1, 2, 3, 700)] + [["a", None, "b"], [None]]
+    for most in (1, 2, 4):
+        want = {}
+        for w in rows:
+            w = [x for x in w if x]
+            for i in range(len(w)):
+                for j in range(i + 1, min(len(w), i + most) + 1):
+                    want[tuple(w[i:j])] = want.get(tuple(w[i:j]), 0) + 1
+        d = ngrams.token_counts(spark.createDataFrame([(w,) for w in rows], "tokens array<string>"), most, between="--")
+        got = d.collect()
+        assert {tuple(r.gram.split("--")): r.cnt for r in got} == want and all(r.n == len(r.gram.split("--")) for r in got)
+        assert d._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_numbers_follow_the_order(spark):
     texts = [f"{(k * 7919) % 1000:03}" for k in range(1000)] + ["000", "", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(7)
